@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -36,3 +36,12 @@ def use_checkpoints(spark: SparkSession) -> str:
     folder = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once to the shared checkpoint folder and go on from there.
+
+    For results that several later steps read: the plan is cut, and a lost executor costs a re-read, not a recomputation.
+    """
+    use_checkpoints(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from workload.registry import ORACLE, QUERIES
 
-for _module in ("events", "series", "text", "link", "quality", "web", "evidence"):
+for _module in ("events", "series", "text", "link", "quality", "web", "evidence", "ratios", "pit", "scoring", "plans"):
     import_module(f"workload.{_module}")
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitlake.operators import cohort, events
+from pitlake.plans import outcomes
 from workload.registry import day, query, r6, table
 
 
@@ -37,6 +38,10 @@ def part_outcomes(spark, d) -> DataFrame:
     return events.build_outcomes(part_anchors(spark, d), part_prices(spark, d), order_index(spark, d))
 
 
+def staged_outcomes(spark, d) -> DataFrame:
+    return outcomes.market_outcomes(part_anchors(spark, d), part_prices(spark, d), order_index(spark, d))
+
+
 PRICES = """
 prices as (
   select l_partkey as entity_id, cast(l_shipdate as date) as obs_date, avg(l_extendedprice / l_quantity) as close
@@ -151,13 +156,13 @@ members as (
    and o.start_date < t.as_of and t.as_of - o.start_date <= 90 and o.start_date + 9 <= t.as_of)"""
 
 
-def _targets(outcomes):
-    return outcomes.where(F.col("start_date").isNotNull()).select(
+def _targets(settled):
+    return settled.where(F.col("start_date").isNotNull()).select(
         F.col("entity_id").alias("target_id"), F.date_add("start_date", 30).alias("as_of"))
 
 
-def _text_ids(outcomes):
-    return outcomes.withColumn("entity_id", F.concat(F.lit("p"), F.col("entity_id")))
+def _text_ids(settled):
+    return settled.withColumn("entity_id", F.concat(F.lit("p"), F.col("entity_id")))
 
 
 @query("cohort_members", f"""with {OUTCOMES},
@@ -165,8 +170,8 @@ dates as (select distinct start_date + 30 as as_of from outcomes where start_dat
 select cast(as_of as varchar) as as_of, entity_id, round(x5, 6) as relative_5d
 from dates join outcomes o on o.x5 is not null and start_date < as_of and as_of - start_date <= 90 and start_date + 9 <= as_of""")
 def cohort_members(spark, d):
-    outcomes = part_outcomes(spark, d)
-    out = cohort.mature_outcomes(outcomes, _targets(outcomes).select("as_of"), "relative_5d")
+    settled = staged_outcomes(spark, d)
+    out = cohort.mature_outcomes(settled, _targets(settled).select("as_of"), "relative_5d")
     return out.select(day("as_of"), "entity_id", r6("relative_5d"))
 
 
@@ -178,9 +183,9 @@ select 'p' || t.target_id as target_id, cast(t.as_of as varchar) as as_of, cast(
   case when n >= 3 then round(med, 6) end as median_return, case when n >= 3 then round(share, 6) end as positive_share
 from targets t left join reads using (target_id)""")
 def cohort_regime(spark, d):
-    outcomes = _text_ids(part_outcomes(spark, d))
-    targets = _targets(outcomes).withColumn("target_id", F.upper("target_id"))
-    out = cohort.cohort_regime(targets, outcomes, "relative_5d")
+    settled = _text_ids(staged_outcomes(spark, d))
+    targets = _targets(settled).withColumn("target_id", F.upper("target_id"))
+    out = outcomes.regimes(targets, settled)
     return out.select(F.lower("target_id").alias("target_id"), day("as_of"), F.col("mature_count").cast("bigint"), "status",
                       r6("median_return"), r6("positive_share"))
 
@@ -191,7 +196,7 @@ select 'p' || t.target_id as target_id, cast(coalesce(n, 0) as bigint) as compar
   round(lo / 100, 6) as observed_worst, round(med / 100, 6) as observed_median, round(hi / 100, 6) as observed_best
 from targets t left join reads using (target_id)""")
 def cohort_observation(spark, d):
-    outcomes = _text_ids(part_outcomes(spark, d))
-    out = cohort.cohort_observation(_targets(outcomes), outcomes, "return_5d", maturity="relative_5d")
+    settled = _text_ids(staged_outcomes(spark, d))
+    out = cohort.cohort_observation(_targets(settled), settled, "return_5d", maturity="relative_5d")
     return out.select("target_id", F.col("comparable_count").cast("bigint"),
                       *[r6(f"observed_{c}") for c in ("worst", "median", "best")])

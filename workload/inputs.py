@@ -26,7 +26,7 @@ from {orders} join (""" + COMPANIES + """) c on c_custkey = o_custkey"""
 OFFERINGS = """
 select case when ticker <> '' then 'ipo:' || ticker else 'ipo:' || company_name end || ':' || coalesce(period, '') as record_id,
   ticker, company_name, period, c_custkey, c_acctbal
-from (""" + COMPANIES + """) c where c_custkey >= 0 and c_nationkey <> 7"""
+from (""" + COMPANIES + """) c where c_acctbal > -600"""
 
 APPLICATIONS = """
 select 'application:' || company_name || ':2024-01-15' as record_id, company_name, c_custkey as position, c_acctbal,

@@ -44,7 +44,7 @@ total as (select count(*) as record_count from r)
 select key, record_count, count(*) as present_count, record_count - count(*) as missing_count, count(*) filter (kind = 'null') as null_count,
   count(*) filter (kind = 'null') = count(*) as always_null, string_agg(distinct kind, ',' order by kind) as types from typed, total group by key, record_count""")
 def profile_mixed_json(spark, d):
-    objects = derive(spark, d, RECORDS).where("event_id >= 0").where("substring(record, 1, 1) = '{'")
+    objects = derive(spark, d, RECORDS).where(F.startswith("record", F.lit("{")))
     return quality.profile_json(objects, "record").withColumn("types", F.array_join("types", ","))
 
 
@@ -92,10 +92,10 @@ def identity_candidates(spark, d):
 
 
 @query("compare_ordering", """select count(*) as first_count, count(*) as second_count, true as same_length, false as stable,
-  min(case when o_orderstatus = 'P' and o_orderkey > 100 then o_orderkey end) as first_divergence from orders""")
+  min(case when o_orderstatus = 'P' and o_totalprice > 400000 then o_orderkey end) as first_divergence from orders""")
 def compare_ordering(spark, d):
-    a = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    b = a.withColumn("o_orderpriority", F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") > 100), "changed").otherwise(F.col("o_orderpriority")))
+    a = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    b = a.withColumn("o_orderpriority", F.when((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000), "changed").otherwise(F.col("o_orderpriority")))
     return quality.compare_ordering(a, b, "o_orderkey")
 
 
