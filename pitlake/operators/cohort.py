@@ -58,9 +58,8 @@ def _cohort_read(targets: DataFrame, outcomes: DataFrame, metric: str, lookback:
     stats = order_statistics(members, ["as_of"], metric, {
         "_v0": half, "_v1": half + 1, "_v2": half + 2,
         "_first": F.lit(1), "_second": F.lit(2), "_last": n, "_before_last": n - 1,
-    })
-    positive = members.groupBy("as_of").agg(F.count_if(F.col(metric) > 0).alias("_pos"))
-    read = _without_own(targets, outcomes, metric, lookback).join(stats, "as_of", "left").join(positive, "as_of", "left")
+    }, {"_pos": F.col(metric) > 0})
+    read = _without_own(targets, outcomes, metric, lookback).join(stats, "as_of", "left")
     is_member = F.col("_own").isNotNull()
     size = F.coalesce(n, F.lit(0)) - F.when(is_member, 1).otherwise(0)
     pos = F.coalesce(F.col("_pos"), F.lit(0)) - F.when(F.col("_own") > 0, 1).otherwise(0)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlake.functions.text import contains_any, fold_text
+from pitlake.operators.ranks import grouped_row_number
+from pitlake.tables import computed_once
 
 # Budgets in characters and the keyword families of each section category, in order.
 TOTAL_CHARS = 12_000
@@ -39,7 +41,8 @@ def budgeted_selection(
     category = F.lit(None).cast("string")
     for name, words in reversed(categories):
         category = F.when(contains_any(F.col("_folded"), words), name).otherwise(category)
-    named = items.withColumn("_folded", fold_text(F.col("text"))).withColumn("category", category).where(F.col("category").isNotNull())
+    folded = computed_once(items, "_folded", fold_text(F.col("text")))
+    named = computed_once(folded, "category", category).where(F.col("category").isNotNull())
     section = F.left(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""), F.lit(section_chars))
     cut = named.withColumn("section", section).drop("_folded", "text").where(F.length("section") > 0)
     line = Window.partitionBy("entity_id").orderBy(*order)
@@ -50,5 +53,7 @@ def budgeted_selection(
 
 def rank_candidates(documents: DataFrame, key: str = "entity_id") -> DataFrame:
     """Numbered parts first, highest number first, then publish time. ``documents``: key, doc_id, part_number, published_at."""
-    order = Window.partitionBy(key).orderBy(F.col("part_number").desc_nulls_last(), "published_at", "doc_id")
-    return documents.withColumn("candidate_rank", F.row_number().over(order))
+    dated = documents.withColumn("_month", F.date_trunc("MONTH", "published_at"))
+    part = F.col("part_number").desc_nulls_last()
+    ranked = grouped_row_number(dated, [key], ["part_number", "_month"], [part, F.col("_month")], [F.col("published_at"), F.col("doc_id")], "candidate_rank")
+    return ranked.drop("_month")

@@ -17,7 +17,7 @@ from pitlake import extraction_rules as rules
 from pitlake.functions.numbers import parse_dotted_date, parse_month_name_date, parse_number
 from pitlake.functions.text import fold_text
 from pitlake.operators.period_tables import with_next_page
-from pitlake.tables import columns
+from pitlake.tables import columns, computed_once
 
 # Folded text is lower case already; (?U) lets \\s and \\w see every space and letter.
 FLAGS = "(?U)"
@@ -242,14 +242,16 @@ def post_offer_evidence(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame
     next, so a passage broken over two pages is still seen.
     """
     joined = with_next_page(pages, PASSAGE_CHARS).withColumn("text", F.concat_ws("\n", "text", "next_text"))
-    folded = joined.withColumn("_folded", fold_text(F.col("text")))
+    folded = computed_once(joined, "_folded", fold_text(F.col("text")))
     low, text = F.col("_folded"), F.col("text")
     pattern = FLAGS + rules.RESULT_END_PATTERN
     match = F.regexp_substr(low, F.lit(pattern))
-    named = parse_month_name_date(F.regexp_extract(match, pattern, 1), F.regexp_extract(match, pattern, 2), F.regexp_extract(match, pattern, 3))
     first_window, second_window = (F.regexp_substr(low, F.lit(FLAGS + p)) for p in rules.WINDOW_PATTERNS)
     token = F.coalesce(*[F.nullif(F.regexp_extract(m, FLAGS + p, 2), F.lit("")) for m, p in zip((first_window, second_window), rules.WINDOW_PATTERNS, strict=True)])
     issuer = F.col("source_system") == "issuer_ir"
+    folded = computed_once(folded, "_match", F.when(~issuer & F.contains(low, F.lit("tarih")), match))
+    match = F.col("_match")
+    named = parse_month_name_date(F.regexp_extract(match, pattern, 1), F.regexp_extract(match, pattern, 2), F.regexp_extract(match, pattern, 3))
     hits = folded.select(
         "doc_id", "page_no", *keep,
         F.when(issuer, parse_dotted_date(token)).when(F.col("document_type") == "ipo_results", named).alias("cutoff_date"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitlake.functions.numbers import parse_series_date
-from pitlake.tables import columns, text_array
+from pitlake.tables import columns, computed_once, text_array
 
 
 def profile_table(df: DataFrame) -> DataFrame:
@@ -30,12 +30,10 @@ def profile_table(df: DataFrame) -> DataFrame:
 
 def json_kind(variant: Column) -> Column:
     """JSON type of a VARIANT value: object, array, string, boolean, integer, number or null."""
-    name = F.schema_of_variant(variant)
-    return (
-        F.when(F.startswith(name, F.lit("OBJECT")), "object").when(F.startswith(name, F.lit("ARRAY")), "array")
-        .when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
-        .when(name == "BIGINT", "integer").otherwise("number")
-    )
+    kinds = F.create_map(*[F.lit(x) for pair in (("OBJECT", "object"), ("ARRAY", "array"), ("STRING", "string"), ("BOOLEAN", "boolean"),
+                                                ("VOID", "null"), ("BIGINT", "integer")) for x in pair])
+    kind = F.regexp_substr(F.schema_of_variant(variant), F.lit("^[A-Z]+"))
+    return F.when(variant.isNotNull(), F.coalesce(F.try_element_at(kinds, kind), F.lit("number")))
 
 
 def profile_json(df: DataFrame, json: str) -> DataFrame:
@@ -49,8 +47,8 @@ def profile_json(df: DataFrame, json: str) -> DataFrame:
         F.sum(F.when(F.col("kind") == "null", F.col("n")).otherwise(0)).alias("null_count"),
         F.array_sort(F.collect_set("kind")).alias("types"),
     )
-    total = df.agg(F.count(F.lit(1)).alias("record_count"))
-    return per_key.join(total, F.lit(True)).select(
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return per_key.withColumn("record_count", total).select(
         "key", "record_count", "present_count", (F.col("record_count") - F.col("present_count")).alias("missing_count"),
         "null_count", (F.col("null_count") == F.col("present_count")).alias("always_null"), "types",
     )
@@ -100,13 +98,13 @@ KINDS_OF_TYPE = {
 
 def validate_schema(df: DataFrame, key: str, json: str, fields: Sequence[tuple[str, str, bool]]) -> DataFrame:
     """Issues per JSON record against documented (field, type, nullable); row-local, no shuffle."""
-    doc = F.try_parse_json(json)
+    doc = F.col("_doc")
     is_object = F.coalesce(json_kind(doc) == "object", F.lit(False))
     names = [f[0] for f in fields]
     keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
     issues = []
-    for name, kind, nullable in fields:
-        found = json_kind(F.try_variant_get(doc, f"$.{name}", "variant"))
+    for i, (name, kind, nullable) in enumerate(fields):
+        found = F.col("_kinds")[i]
         wrong = (
             F.when(~F.array_contains("_keys", name), "missing_documented_field")
             .when((found == "null") & F.lit(not nullable), "unexpected_null")
@@ -119,8 +117,10 @@ def validate_schema(df: DataFrame, key: str, json: str, fields: Sequence[tuple[s
     )
     broken = F.array(F.struct(F.lit("<record>").alias("field_name"), F.lit("not_an_object").alias("issue")))
     listed = F.when(F.col("_object"), F.concat(F.array(*issues), extra)).otherwise(broken)
-    prepared = df.select(key, json, is_object.alias("_object"), keys.alias("_keys"))
-    return prepared.select(key, F.inline(listed)).where(F.col("issue").isNotNull())
+    kinds = F.array(*[json_kind(F.try_variant_get(doc, f"$.{f[0]}", "variant")) for f in fields])
+    parsed = computed_once(df.select(key, json), "_doc", F.try_parse_json(json))
+    prepared = computed_once(parsed.select(key, is_object.alias("_object"), keys.alias("_keys"), "_doc"), "_kinds", kinds)
+    return prepared.select(key, F.inline_outer(listed)).where(F.col("issue").isNotNull())
 
 
 def fields_never_observed(df: DataFrame, json: str, fields: Sequence[tuple[str, str, bool]]) -> DataFrame:

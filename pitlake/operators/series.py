@@ -161,7 +161,8 @@ def fetch_watermarks(points: DataFrame, registry: DataFrame, reference_date, dat
     back = F.create_map(*[F.lit(x) for pair in LOOKBACK_DAYS.items() for x in pair])
     start = F.coalesce(F.date_add("_last", 1), F.date_sub(F.lit(reference_date).cast("date"), F.try_element_at(back, F.col("frequency"))))
     need = registry.join(last, "series", "left").select("series", "frequency", start.alias("next_date"))
-    return need.withColumn("batch_start", F.min("next_date").over(Window.partitionBy("frequency")))
+    earliest = need.groupBy("frequency").agg(F.min("next_date").alias("batch_start"))
+    return need.join(earliest, "frequency").select("series", "frequency", "next_date", "batch_start")
 
 
 def calendar_gaps(points: DataFrame, keys: DataFrame, start, end, known_missing: DataFrame | None = None, date: str = "obs_date") -> DataFrame:

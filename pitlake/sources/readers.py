@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitlake.tables import computed_once
+
 # Layout of the completed-offering feed (field, type, nullable).
 OFFERING_FIELDS = (
     ("ay", "int", False), ("donem", "string", True), ("borsaKodu", "string", True), ("sirketUnvani", "string", True),
@@ -39,22 +41,21 @@ def strict_records(lines: DataFrame, fields: Sequence[tuple[str, str, bool]], js
     """Typed columns from JSON objects. An unknown key, a wrong type or a missing required value stops the job."""
     keys = F.json_object_keys(json)
     known = F.array(*[F.lit(f[0]) for f in fields])
-    doc = F.parse_json(json)
     unknown = F.array_except("_keys", known)
-    checked = lines.select(F.col(json).alias("_raw"), doc.alias("_doc"), keys.alias("_keys"))
-    checked = checked.select(
+    raw = computed_once(lines.select(F.col(json).alias("_raw"), keys.alias("_keys")), "_doc", F.parse_json("_raw"))
+    checked = computed_once(raw, "_record", 
         F.when(F.col("_keys").isNull(), _fail(F.concat(F.lit("record is not a JSON object: "), F.col("_raw"))).cast("variant"))
         .when(F.size(unknown) > 0, _fail(F.concat(F.lit("unknown field(s): "), F.array_join(unknown, ", "))).cast("variant"))
-        .otherwise(F.col("_doc")).alias("_doc"))
+        .otherwise(F.col("_doc")))
     out = []
     for name, kind, nullable in fields:
-        cell = F.try_variant_get("_doc", f"$.{name}", "variant")
+        cell = F.try_variant_get("_record", f"$.{name}", "variant")
         seen = F.schema_of_variant(cell)
         absent = cell.isNull() | (seen == "VOID")
         fits = seen.isin(*_JSON_KINDS[kind]) if kind in _JSON_KINDS else (
             (seen == "BIGINT") | (seen == "DOUBLE") | F.startswith(seen, F.lit("DECIMAL")))
         text_type = "string" if kind == "timestamp_ntz" else kind
-        value = F.try_variant_get("_doc", f"$.{name}", text_type)
+        value = F.try_variant_get("_record", f"$.{name}", text_type)
         value = value.try_cast("timestamp_ntz") if kind == "timestamp_ntz" else value
         wrong = _fail(F.concat(F.lit(f"field {name}: expected {kind}, got "), seen)).cast(kind)
         missing = F.lit(None).cast(kind) if nullable else _fail(F.lit(f"field {name} is required")).cast(kind)

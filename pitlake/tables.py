@@ -31,6 +31,9 @@ def columns(names: Iterable[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
 
-def pick(order: Sequence[Column]) -> Column:
-    """A sort key as one struct, for ``min_by`` / ``max_by`` with explicit ties."""
-    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` for a costly value that several expressions read.
+
+    The optimizer folds a projected column back into every expression that uses it; a generated one it leaves alone.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
