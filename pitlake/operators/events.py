@@ -25,7 +25,7 @@ def event_metrics(sessions: DataFrame, horizons: Mapping[str, int] = HORIZONS) -
     """Wide returns and drawdowns per entity.
 
     ``sessions``: entity_id, obs_date, close, offer_price, session. At least n rows are needed for a horizon of n;
-    a NULL or zero offer price gives NULL. The drawdown's running peak starts at the offer price.
+    a NULL or zero offer price gives NULL. The drawdown's running peak starts at the offer price. Also counts the rows given.
     """
     upto = Window.partitionBy("entity_id").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
     offer = F.when(F.col("offer_price") != 0, F.col("offer_price"))
@@ -44,6 +44,7 @@ def event_metrics(sessions: DataFrame, horizons: Mapping[str, int] = HORIZONS) -
         worst = F.least(F.lit(0.0), F.min(F.when(F.col("session") <= n, F.col("_fall"))))
         has_price = F.min("_fall").isNotNull()
         measures.append(F.when(enough & has_price, worst).alias(f"max_drawdown_{name}"))
+    measures += [F.count(F.lit(1)).alias("price_observation_count"), F.max("obs_date").alias("last_price_observation_date")]
     return lined.groupBy("entity_id").agg(*measures)
 
 
@@ -62,39 +63,36 @@ def sessions_from_start(prices: DataFrame, anchors: DataFrame, reference_date=No
 
 
 def relative_returns(metrics: DataFrame, anchors: DataFrame, index: DataFrame, horizons: Mapping[str, int] = HORIZONS) -> DataFrame:
-    """Each return less the index move from its last close strictly before the start to the return's own date.
+    """Adds ``relative_*``: each return less the index move from its last close strictly before the start to the return's own date.
 
-    Only distinct dates meet the index, so the lookups are bounded by the calendar however many entities there are.
-    ``index``: obs_date, value.
+    ``metrics``: entity_id, start_date, return_* and date_*; ``index``: obs_date, value. Only the distinct start dates of ``anchors``
+    meet the index for the base, so the lookups are bounded by the calendar however many entities there are.
     """
-    long = metrics.select("entity_id", F.inline(F.array(*[
-        F.struct(F.lit(h).alias("horizon"), F.col(f"return_{h}").alias("ret"), F.col(f"date_{h}").alias("end_date")) for h in horizons
-    ]))).where(F.col("ret").isNotNull())
     starts = anchors.where(F.col("start_date").isNotNull()).select("start_date").distinct()
     base = as_of_join(starts, index.withColumnRenamed("value", "_base"), [], "start_date", "obs_date", ["_base"], strict=True)
     ends = index.select(F.col("obs_date").alias("end_date"), F.col("value").alias("_end"))
-    anchored = anchors.select("entity_id", "start_date").join(base.select("start_date", "_base"), "start_date", "left")
-    moved = long.join(anchored, "entity_id").join(ends, "end_date", "left")
+    cells = F.array(*[
+        F.struct(F.lit(h).alias("horizon"), F.col(f"return_{h}").alias("ret"), F.col(f"date_{h}").alias("end_date")) for h in horizons])
+    long = metrics.select("entity_id", "start_date", F.struct(*metrics.columns).alias("_row"), F.inline(cells))
+    moved = long.join(base.select("start_date", "_base"), "start_date", "left").join(ends, "end_date", "left")
     excess = F.col("ret") - (F.try_divide(F.col("_end"), F.col("_base")) - 1) * 100
-    return moved.groupBy("entity_id").agg(*[
+    joined = moved.groupBy("entity_id").agg(F.first("_row").alias("_row"), *[
         F.max(F.when(F.col("horizon") == h, excess)).alias(f"relative_{h}") for h in horizons
     ])
+    return joined.select("_row.*", *[f"relative_{h}" for h in horizons])
 
 
 def build_outcomes(anchors: DataFrame, prices: DataFrame, index: DataFrame, reference_date=None, announcements: DataFrame | None = None) -> DataFrame:
     """One outcome row per anchor. An unresolved start (NULL) keeps its row with count 0 and NULL measures.
 
+    The price window holds at most one row per day, so counts and measures come from one numbering of it.
     ``announcements`` (entity_id, announced_on) adds the sorted distinct announcement dates, bounded by the calendar.
     """
-    resolved = anchors.where(F.col("start_date").isNotNull())
-    inside = sessions_from_start(prices, resolved, reference_date)
-    counts = inside.groupBy("entity_id").agg(
-        F.count(F.lit(1)).alias("price_observation_count"), F.max("obs_date").alias("last_price_observation_date")
-    )
-    metrics = event_metrics(first_sessions(inside, max(HORIZONS.values())))
-    relative = relative_returns(metrics, resolved, index)
-    out = anchors.select("entity_id", "offer_price", "start_date").join(counts, "entity_id", "left")
-    out = out.join(metrics, "entity_id", "left").join(relative, "entity_id", "left")
+    anchors = anchors.select("entity_id", "offer_price", "start_date")
+    inside = sessions_from_start(prices, anchors.where(F.col("start_date").isNotNull()), reference_date)
+    forward = Window.partitionBy("entity_id").orderBy("obs_date")
+    metrics = event_metrics(inside.withColumn("session", F.row_number().over(forward)))
+    out = relative_returns(anchors.join(metrics, "entity_id", "left"), anchors, index)
     if announcements is not None:
         said = announcements.select("entity_id", "announced_on").distinct()
         dates = said.groupBy("entity_id").agg(F.array_sort(F.collect_list("announced_on")).alias("announcement_dates"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlake.operators.asof import as_of_join
@@ -135,21 +135,26 @@ def market_context(index: DataFrame, rates: Mapping[str, DataFrame], monthly: Da
     """Context features for many as-of dates at once, long; what cannot be computed is an absent row.
 
     ``index`` and ``monthly`` are (obs_date, value); ``rates`` maps a feature name to such a series and its first
-    entry is the one the yearly change is subtracted from. ``as_of`` has one distinct DATE column ``as_of``.
+    entry is the one the yearly change is subtracted from. ``as_of`` has one distinct DATE column ``as_of``. The lookups are
+    independent of each other and meet once per date, where ten features at most come together.
     """
-    wide = as_of_join(as_of, rolling_features(index, []), [], "as_of", "obs_date",
-                      ["index_level", *RETURN_WINDOWS, *VOLATILITY_WINDOWS, *DRAWDOWN_WINDOWS], matched_ts="index_on")
-    for name, series in rates.items():
-        wide = as_of_join(wide, series.withColumnRenamed("value", name), [], "as_of", "obs_date", [name], matched_ts=f"{name}_on")
-    wide = as_of_join(wide, monthly_yoy(monthly, []), [], "as_of", "obs_date", ["yoy"], matched_ts="yoy_on")
-    lead = next(iter(rates))
-    cells = [F.struct(F.lit(n).alias("feature"), F.col(n).alias("value"), F.col("index_on").alias("as_of_date"))
-             for n in ["index_level", *RETURN_WINDOWS, *VOLATILITY_WINDOWS, *DRAWDOWN_WINDOWS]]
-    cells += [F.struct(F.lit(n).alias("feature"), F.col(n).alias("value"), F.col(f"{n}_on").alias("as_of_date")) for n in rates]
-    cells.append(F.struct(F.lit("yoy").alias("feature"), F.col("yoy").alias("value"), F.col("yoy_on").alias("as_of_date")))
-    cells.append(F.struct(F.lit(f"{lead}_minus_yoy").alias("feature"), (F.col(lead) - F.col("yoy")).alias("value"),
-                          F.greatest(f"{lead}_on", "yoy_on").alias("as_of_date")))
-    return wide.select("as_of", F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+    from_index = ["index_level", *RETURN_WINDOWS, *VOLATILITY_WINDOWS, *DRAWDOWN_WINDOWS]
+    lookups = [(rolling_features(index, []), from_index), (monthly_yoy(monthly, []), ["yoy"])]
+    lookups += [(points.withColumnRenamed("value", name), [name]) for name, points in rates.items()]
+    lead, cells = next(iter(rates)), None
+    for points, names in lookups:
+        found = as_of_join(as_of, points, [], "as_of", "obs_date", names, matched_ts="as_of_date")
+        listed = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value"), "as_of_date") for n in names])
+        part = found.select("as_of", F.inline(listed)).where(F.col("value").isNotNull())
+        cells = part if cells is None else cells.unionByName(part)
+
+    def of(feature: str) -> Column:
+        return F.max(F.when(F.col("feature") == feature, F.struct("value", "as_of_date")))
+
+    dated = cells.groupBy("as_of").agg(F.collect_list(F.struct("feature", "value", "as_of_date")).alias("_all"), of(lead).alias("_rate"), of("yoy").alias("_yoy"))
+    gap = F.struct(F.lit(f"{lead}_minus_yoy").alias("feature"), (F.col("_rate.value") - F.col("_yoy.value")).alias("value"),
+                   F.greatest("_rate.as_of_date", "_yoy.as_of_date").alias("as_of_date"))
+    return dated.select("as_of", F.inline(F.array_append("_all", gap))).where(F.col("value").isNotNull())
 
 
 def fetch_watermarks(points: DataFrame, registry: DataFrame, reference_date, date: str = "obs_date") -> DataFrame:

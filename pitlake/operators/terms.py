@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitlake.operators.evidence import ITEM
-from pitlake.tables import columns
+from pitlake.tables import columns, computed_once
 
 TERM = f"struct<status:string,value_num:double,value_str:string,value_date:date,value_items:array<{ITEM}>,unit:string,derived:boolean,notes:string>"
 
@@ -108,24 +108,31 @@ def build_terms(facts: DataFrame) -> DataFrame:
     """
     wide = facts_wide(facts, [f for f, _ in PASSED.values()])
     has_items = "value_items" in facts.columns
-    t: dict[str, Column] = {}
-    for name, (field, unit) in PASSED.items():
-        fact = F.col(field)
-        t[name] = term(status_of(fact), fact["value_num"], fact["value_str"], fact["value_date"],
-                       fact["value_items"] if has_items else None, unit, derived=False)
-    price, total, new = t["offer_price"], t["total_offered_shares"], t["new_issue_shares"]
+    passed = [
+        term(status_of(F.col(field)), F.col(field)["value_num"], F.col(field)["value_str"], F.col(field)["value_date"],
+             F.col(field)["value_items"] if has_items else None, unit, derived=False).alias(name)
+        for name, (field, unit) in PASSED.items()
+    ]
+    base = computed_once(wide.select("entity_id", *[f for f, _ in PASSED.values()]), "_t", F.struct(*passed)).select("entity_id", "_t")
+    t = {name: F.col("_t")[name] for name in PASSED}
+
+    def num(name: str) -> Column:
+        return t[name]["value_num"]
+
     direct = t["secondary_sale_shares"]
-    remainder = derive_term([total, new], total["value_num"] - new["value_num"], "shares", "derived as total_offered_shares - new_issue_shares")
-    t["secondary_sale_shares"] = F.when(direct["status"] != "not_found", direct).otherwise(remainder)
-    par = t["par_value_per_share"]
-    for name in ("pre", "post"):
-        capital = t[f"{name}_offer_capital"]
-        t[f"{name}_offer_share_count"] = derive_term(
-            [capital, par], F.try_divide(capital["value_num"], par["value_num"]), "shares", f"derived as {name}_offer_capital / par_value_per_share")
-    t["gross_offer_size"] = derive_term([price, total], price["value_num"] * total["value_num"], "TRY", "derived as offer_price * total_offered_shares")
-    post = t["post_offer_share_count"]
-    t["implied_post_money_market_cap"] = derive_term(
-        [price, post], price["value_num"] * post["value_num"], "TRY", "derived as offer_price * post_offer_share_count")
+    remainder = derive_term(
+        [t["total_offered_shares"], t["new_issue_shares"]], num("total_offered_shares") - num("new_issue_shares"), "shares",
+        "derived as total_offered_shares - new_issue_shares")
+    shares = [F.when(direct["status"] != "not_found", direct).otherwise(remainder).alias("secondary_sale_shares")]
+    for side in ("pre", "post"):
+        capital = f"{side}_offer_capital"
+        shares.append(derive_term(
+            [t[capital], t["par_value_per_share"]], F.try_divide(num(capital), num("par_value_per_share")), "shares",
+            f"derived as {capital} / par_value_per_share").alias(f"{side}_offer_share_count"))
+    row = computed_once(base, "_d", F.struct(*shares))
+    t |= {name: F.col("_d")[name] for name in ("secondary_sale_shares", "pre_offer_share_count", "post_offer_share_count")}
+    for name, count in (("gross_offer_size", "total_offered_shares"), ("implied_post_money_market_cap", "post_offer_share_count")):
+        t[name] = derive_term([t["offer_price"], t[count]], num("offer_price") * num(count), "TRY", f"derived as offer_price * {count}")
     groups, ways = t["investor_group_allocations"], t["investor_group_distribution_rules"]
     retail = group_line(groups["value_items"], "retail")
     gap = "no such group line with this measure"
@@ -134,8 +141,7 @@ def build_terms(facts: DataFrame) -> DataFrame:
     t["institutional_allocation_percentage"] = _items_term(groups, sum_groups(groups["value_items"], INSTITUTIONAL, "percentage"), None, "percent", gap)
     t["institutional_offered_shares"] = _items_term(groups, sum_groups(groups["value_items"], INSTITUTIONAL, "amount"), None, "shares", gap)
     t["retail_distribution_rule"] = _items_term(ways, None, group_line(ways["value_items"], "retail")["method"], None, gap)
-    # Two steps keep each base term computed once per row.
-    rows = wide.select("entity_id", F.inline(F.array(*[F.struct(F.lit(n).alias("term"), t[n].alias("_t")) for n in TERM_NAMES])))
+    rows = row.select("entity_id", F.inline(F.array(*[F.struct(F.lit(n).alias("term"), t[n].alias("_t")) for n in TERM_NAMES])))
     return rows.select("entity_id", "term", "_t.*")
 
 

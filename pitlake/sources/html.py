@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TABLE_SCHEMA = "page_id bigint, table_no int, row_no int, cells array<string>"
+from pitlake.tables import computed_once
+
+TABLES_SCHEMA = "page_id bigint, table_rows array<struct<table_no:int,row_no:int,cells:array<string>>>"
 
 # Words that mark the wanted table and its header row, and the row date shape.
 NAME_WORDS = ("şirket", "sirket")
@@ -65,8 +67,8 @@ class _Tables(HTMLParser):
         self.row = None
 
 
-def html_table_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, table_no, row_no, cells) of every table row. Pages are independent, so tasks stream them in batches."""
+def page_tables(pages: DataFrame) -> DataFrame:
+    """(page_id, table_rows): all table rows of a page, bounded by the page. Tasks stream pages in batches."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -75,48 +77,58 @@ def html_table_rows(pages: DataFrame) -> DataFrame:
                 parser = _Tables()
                 parser.feed(html or "")
                 parser.close()
-                out.extend((page_id, table, row, cells) for table, row, cells in parser.rows)
-            yield pd.DataFrame(out, columns=["page_id", "table_no", "row_no", "cells"])
+                out.append((page_id, [{"table_no": t, "row_no": r, "cells": cells} for t, r, cells in parser.rows]))
+            yield pd.DataFrame(out, columns=["page_id", "table_rows"])
+
+    return pages.select("page_id", "html").mapInPandas(read, TABLES_SCHEMA)
 
-    return pages.select("page_id", "html").mapInPandas(read, TABLE_SCHEMA)
+
+def html_table_rows(pages: DataFrame) -> DataFrame:
+    """(page_id, table_no, row_no, cells) of every table row."""
+    return page_tables(pages).select("page_id", F.inline("table_rows"))
 
 
-def _mentions(text, words):
+def _mentions(text: Column, words: Sequence[str]) -> Column:
     hit = F.lit(False)
     for word in words:
         hit = hit | F.contains(text, F.lit(word))
     return hit
 
 
-def application_rows(table_rows: DataFrame) -> DataFrame:
+def _line(row: Column) -> Column:
+    return F.lower(F.array_join(row["cells"], " "))
+
+
+def _is_header(row: Column) -> Column:
+    last = F.trim(F.try_element_at(row["cells"], F.lit(-1)))
+    return _mentions(_line(row), NAME_WORDS) & _mentions(_line(row), DATE_WORDS) & ~last.rlike(DATE_SHAPE)
+
+
+def application_rows(pages: DataFrame) -> DataFrame:
     """Data rows of each page's one fitting table: blank rows skipped, a leading header dropped, last two cells used.
 
-    Adds ``reason`` to rows that are no record. A page with no or several fitting tables gives one row saying so.
+    Adds ``reason`` to rows that are no record. A page with no or several fitting tables gives one row saying so. Row-local.
     """
-    line = F.lower(F.array_join("cells", " "))
-    rows = table_rows.withColumn("_line", line)
-    early = F.when(F.col("row_no") <= 5, F.col("_line"))
-    fits = rows.groupBy("page_id", "table_no").agg(
-        (F.bool_or(_mentions(early, NAME_WORDS)) & F.bool_or(_mentions(early, DATE_WORDS))).alias("_fits"))
-    chosen = fits.groupBy("page_id").agg(
-        F.count_if("_fits").alias("fitting_tables"), F.min(F.when(F.col("_fits"), F.col("table_no"))).alias("_chosen"))
-    judged = rows.join(chosen, "page_id")
-    data = judged.where((F.col("fitting_tables") == 1) & (F.col("table_no") == F.col("_chosen")) & F.exists("cells", lambda c: c != ""))
-    first = data.groupBy("page_id").agg(F.min("row_no").alias("_first"))
-    last_cell = F.trim(F.try_element_at("cells", F.lit(-1)))
-    header = _mentions(F.col("_line"), NAME_WORDS) & _mentions(F.col("_line"), DATE_WORDS) & ~last_cell.rlike(DATE_SHAPE)
-    body = data.join(first, "page_id").where(~((F.col("row_no") == F.col("_first")) & header))
-    name = F.trim(F.try_element_at("cells", F.lit(-2)))
-    applied = F.try_to_date(last_cell, "d.M.yyyy")
+    def opening(number: Column) -> Column:
+        early = F.filter("table_rows", lambda r: (r["table_no"] == number) & (r["row_no"] <= 5))
+        return F.array_join(F.transform(early, _line), " ")
+
+    numbers = F.array_distinct(F.transform("table_rows", lambda r: r["table_no"]))
+    fitting = F.filter(numbers, lambda n: _mentions(opening(n), NAME_WORDS) & _mentions(opening(n), DATE_WORDS))
+    chosen = computed_once(page_tables(pages), "_fit", fitting)
+    data = F.filter("table_rows", lambda r: (r["table_no"] == F.col("_fit")[0]) & F.exists(r["cells"], lambda c: c != ""))
+    chosen = computed_once(chosen, "_data", F.when(F.size("_fit") == 1, data))
+    headed = F.coalesce(_is_header(F.try_element_at("_data", F.lit(1))), F.lit(False))
+    body = chosen.select("page_id", "_fit", F.posexplode_outer(F.when(headed, F.slice("_data", 2, F.size("_data"))).otherwise(F.col("_data"))).alias("_place", "_r"))
+    kept = body.where(F.col("_r").isNotNull() | (F.size("_fit") != 1))
+    cells = F.col("_r.cells")
+    name, last = F.trim(F.try_element_at(cells, F.lit(-2))), F.trim(F.try_element_at(cells, F.lit(-1)))
+    applied = F.try_to_date(last, "d.M.yyyy")
     reason = (
-        F.when(F.size("cells") < 2, "too few cells").when(name == "", "empty name")
-        .when(~last_cell.rlike(DATE_SHAPE), "date does not match DD.MM.YYYY").when(applied.isNull(), "not a calendar date")
+        F.when(F.size("_fit") == 0, "no fitting table").when(F.size("_fit") > 1, "several fitting tables")
+        .when(F.size(cells) < 2, "too few cells").when(name == "", "empty name")
+        .when(~last.rlike(DATE_SHAPE), "date does not match DD.MM.YYYY").when(applied.isNull(), "not a calendar date")
     )
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("row_no"))
-    records = body.select(
-        "page_id", place.alias("row_index"), name.alias("company_name"), applied.alias("application_date"),
-        last_cell.alias("application_date_raw"), F.col("cells").alias("raw_row"), reason.alias("reason"))
-    unusable = chosen.where(F.col("fitting_tables") != 1).select(
-        "page_id", F.lit(0).alias("row_index"),
-        F.when(F.col("fitting_tables") == 0, "no fitting table").otherwise("several fitting tables").alias("reason"))
-    return records.unionByName(unusable, allowMissingColumns=True)
+    return kept.select(
+        "page_id", F.coalesce(F.col("_place") + 1, F.lit(0)).alias("row_index"), name.alias("company_name"), applied.alias("application_date"),
+        last.alias("application_date_raw"), cells.alias("raw_row"), reason.alias("reason"))

@@ -42,10 +42,11 @@ TABLE = "<table><tr><th>No</th><th>ŞİRKET şirket</th><th>Tarih</th></tr><tr><
 
 def test_html_rows_and_table_choice(spark):
     web = spark.createDataFrame([(1, "<table><tr><td>menu</td></tr></table>" + TABLE), (2, "<p>no</p><table><tr><td>x</td></tr></table>"), (3, TABLE + TABLE)], "page_id bigint, html string")
-    got = rows(html.application_rows(html.html_table_rows(web)), "page_id", "row_index", "company_name", "application_date", "reason")
+    got = rows(html.application_rows(web), "page_id", "row_index", "company_name", "application_date", "reason")
     assert got == [
         (1, 1, "ALtd", date(2024, 4, 5), None), (1, 2, "B", None, "not a calendar date"), (1, 3, "", None, "empty name"), (1, 4, None, None, "too few cells"),
         (2, 0, None, None, "no fitting table"), (3, 0, None, None, "several fitting tables")]
+    assert html.html_table_rows(web).where("page_id = 2").select("table_no", "row_no", "cells").collect() == [(0, 1, ["x"])]
 
 
 def test_links(spark):

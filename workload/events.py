@@ -142,7 +142,7 @@ from outcomes where r1 is not null""")
 def event_relative_returns(spark, d):
     anchors = part_anchors(spark, d)
     inside = events.sessions_from_start(part_prices(spark, d), anchors)
-    metrics = events.event_metrics(events.first_sessions(inside, 60))
+    metrics = events.event_metrics(events.first_sessions(inside, 60)).join(anchors.select("entity_id", "start_date"), "entity_id")
     out = events.relative_returns(metrics, anchors, order_index(spark, d))
     return out.select("entity_id", *[r6(f"relative_{h}") for h in ("1d", "5d", "20d")])
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitlake.operators import ratios, records
 from workload import inputs
-from workload.registry import day, derive, plain, query, r6, table
+from workload.registry import day, derive, plain, query, r6
 
 FIN_SQL = f"base_ as ({plain(inputs.FIN_BASE)}), fin as ({inputs.FIN.replace('{base}', 'base_')})"
 SAME = "n.period_start = d.period_start and n.period_end = d.period_end and n.currency = d.currency and n.scale = d.scale and n.consolidation_scope is not distinct from d.consolidation_scope and n.inflation_adjusted is not distinct from d.inflation_adjusted"

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,8 +36,24 @@ def day(column: str | Column, name: str | None = None) -> Column:
     return text.alias(name or column) if name or isinstance(column, str) else text
 
 
+# A few fixed rows per input row, written once: ``[[name(cols) rows]]`` is a generator in Spark and a value list in DuckDB.
+EACH = re.compile(r"\[\[(\w+)\(([^)]*)\) (.*?)\]\]", re.DOTALL)
+
+
+def _generator(match: re.Match[str]) -> str:
+    name, cols, rows = match.groups()
+    structs = ", ".join(f"struct({r})" for r in re.findall(r"\(([^()]*)\)", rows))
+    return f"lateral view inline(array({structs})) {name} as {cols}"
+
+
+def _value_list(match: re.Match[str]) -> str:
+    name, cols, rows = match.groups()
+    return f"cross join (values {rows}) as {name}({cols})"
+
+
 def plain(sql: str) -> str:
     """The same derivation for DuckDB: ``{orders}`` becomes the table name."""
+    sql = EACH.sub(_value_list, sql)
     for name in TABLE_NAMES:
         sql = sql.replace("{" + name + "}", name)
     return sql
@@ -44,6 +61,7 @@ def plain(sql: str) -> str:
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Input rows derived from the test tables by SQL that both engines read."""
+    sql = EACH.sub(_generator, sql)
     used = {n: table(spark, sf_dir, n) for n in TABLE_NAMES if "{" + n + "}" in sql}
     return spark.sql(sql, **used)
 

@@ -31,8 +31,8 @@ select o_custkey as entity_id, case o_orderpriority when '1-URGENT' then 'approv
 RATIOS = """
 select c_custkey as entity_id, f.name, case when c_mktsegment = 'HOUSEHOLD' and f.name = 'current_ratio' then 'not_applicable' when c_acctbal > f.lo then 'computed' else 'unavailable' end as status,
   case when c_acctbal > f.lo and not (c_mktsegment = 'HOUSEHOLD' and f.name = 'current_ratio') then c_acctbal / f.per end as value
-from {customer} cross join (values ('net_margin', 0, 21000), ('revenue_growth_yoy', 1000, 9100), ('debt_to_equity', 2000, 4200), ('current_ratio', -500, 3300), ('interest_coverage', 500, 770),
-  ('operating_cash_flow_to_net_income', 4000, 5100), ('reported_pe_difference_percentage', 3000, -210)) as f(name, lo, per)"""
+from {customer} [[f(name, lo, per) ('net_margin', 0, 21000), ('revenue_growth_yoy', 1000, 9100), ('debt_to_equity', 2000, 4200), ('current_ratio', -500, 3300), ('interest_coverage', 500, 770),
+  ('operating_cash_flow_to_net_income', 4000, 5100), ('reported_pe_difference_percentage', 3000, -210)]]"""
 
 
 def facts(spark, d):
@@ -221,7 +221,7 @@ def hard_rules(spark, d):
 SCORES = """
 select c_custkey as entity_id, f.category, case when f.category = 'valuation' and c_acctbal < -900 then null else least(100.0, greatest(0.0, (c_acctbal + f.plus) / f.per)) end as score,
   case when c_nationkey = f.off then 0.5 else 0.9 end as coverage, case when c_nationkey = f.off then 'INSUFFICIENT' else 'OK' end as status
-from {customer} cross join (values ('fundamental_quality', 1500, 90, 3), ('valuation', 1000, 100, 4), ('offering_structure', 4000, 120, 5)) as f(category, plus, per, off)"""
+from {customer} [[f(category, plus, per, off) ('fundamental_quality', 1500, 90, 3), ('valuation', 1000, 100, 4), ('offering_structure', 4000, 120, 5)]]"""
 TOTALS_SQL = f"""sc as ({plain(SCORES)}), tot as (select entity_id, case when not bool_or(status = 'INSUFFICIENT') then
   sum(case category when 'fundamental_quality' then 0.5 when 'valuation' then 0.3 else 0.2 end * score) / sum(case when score is not null then case category when 'fundamental_quality' then 0.5 when 'valuation' then 0.3 else 0.2 end end) end as total,
   max(case category when 'fundamental_quality' then score end) as fund, max(case category when 'valuation' then score end) as val from sc group by 1)"""
@@ -303,8 +303,8 @@ select c_custkey as entity_id, f.term, case when c_nationkey = f.off then 'not_f
   case f.term when 'retail_allocation_percentage' then 5.0 + c_nationkey when 'total_offered_shares' then 1000.0 when 'new_issue_shares' then case when c_acctbal < -500 then 500.0 else 1000.0 end else 10.0 end as value_num,
   case when f.term = 'retail_distribution_rule' then case when c_mktsegment = 'FURNITURE' then 'proportional' else 'equal' end else 'x' end as value_str,
   case when f.term = 'subscription_end' then case when c_acctbal > 8500 then date '2024-01-01' else date '2024-12-31' end end as value_date
-from {customer} cross join (values ('offer_price', 1), ('subscription_start', 40), ('subscription_end', 2), ('distribution_method', 40), ('total_offered_shares', 40), ('retail_distribution_rule', 3),
-  ('retail_offered_shares', 4), ('retail_allocation_percentage', 4), ('new_issue_shares', 40)) as f(term, off)"""
+from {customer} [[f(term, off) ('offer_price', 1), ('subscription_start', 40), ('subscription_end', 2), ('distribution_method', 40), ('total_offered_shares', 40), ('retail_distribution_rule', 3),
+  ('retail_offered_shares', 4), ('retail_allocation_percentage', 4), ('new_issue_shares', 40)]]"""
 
 
 @query("gated_decision", f"""with t as ({plain(GATE_TERMS)}), rat as ({plain(RATIOS)}),

@@ -53,7 +53,7 @@ def html_table_rows(spark, d):
     head = ("<html><body><table><tr><td>menu</td></tr></table><table><tr><th>No</th><th>Şirket</th><th>Tarih</th></tr>"
             "<tr><td></td><td> </td></tr>")
     web = rows.select("page_id", F.concat(F.lit(head), "body", F.lit("</table></body></html>")).alias("html"))
-    out = html.application_rows(html.html_table_rows(web))
+    out = html.application_rows(web)
     name = F.regexp_replace("company_name", r"^Firma&", "Firma &")
     return out.select("page_id", F.col("row_index").cast("bigint"), name.alias("company_name"), "reason",
                       F.when(F.col("reason").isNull(), F.date_format("application_date", "yyyy-MM-dd")).alias("application_date"))
