@@ -7,7 +7,7 @@ a fixed short list, so each becomes one conditional minimum.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -106,14 +106,22 @@ def _finders(listed: Sequence[Rule]) -> dict[tuple, list[tuple[int, Rule]]]:
     return groups
 
 
-def first_page_facts(pages: DataFrame, listed: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
+def first_page_facts(pages: DataFrame, listed: Sequence[Rule], keep: Sequence[str] = (), lists: Mapping[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """(doc_id, field, values, snippet, page_no, kept columns): each field by its first rule on the first page that has it.
 
     ``pages``: doc_id, page_no, text and the kept columns. Every distinct search runs once per page; only passages found
-    become rows, and reading numbers or dates happens on those short passages.
+    become rows, and reading numbers or dates happens on those short passages. ``lists`` maps list fields to functions of
+    (folded, text) giving their items; they are read in the same pass.
     """
     groups = _finders(listed)
-    found = [F.struct(F.lit(i).alias("search"), passage(F.col("_folded"), *finder).alias("match")) for i, finder in enumerate(groups)]
+    items = f"array<{ITEM}>"
+    hit_type = f"struct<search:int,match:string,list_field:string,value_items:{items}>"
+    found = [
+        F.struct(F.lit(i).alias("search"), passage(F.col("_folded"), *finder).alias("match"), F.lit(None).alias("list_field"), F.lit(None).cast(items).alias("value_items"))
+        .cast(hit_type) for i, finder in enumerate(groups)]
+    found += [
+        F.struct(F.lit(-1).alias("search"), F.lit(None).alias("match"), F.lit(name).alias("list_field"), items_of(F.col("_folded"), F.col("text")).cast(items).alias("value_items"))
+        .cast(hit_type) for name, items_of in (lists or {}).items()]
     reads = [
         F.array(*[F.struct(
             F.lit(place).alias("place"), F.lit(r.field).alias("field"), F.lit(r.kind).alias("kind"), F.lit(FLAGS + r.pattern).alias("pattern"),
@@ -122,9 +130,13 @@ def first_page_facts(pages: DataFrame, listed: Sequence[Rule], keep: Sequence[st
     ]
     folded = pages.select("doc_id", "page_no", "text", *keep, fold_text(F.col("text")).alias("_folded"))
     # The outer form keeps the optimizer from evaluating the searches a second time in a filter.
-    hits = folded.select("*", F.inline_outer(F.filter(F.array(*found), lambda x: x["match"].isNotNull()))).where(F.col("match").isNotNull())
-    spelled = hits.select("doc_id", "page_no", *keep, "search", "match", original_of(F.col("match"), F.col("_folded"), F.col("text")).alias("snippet"))
-    named = spelled.select("*", F.inline_outer(F.try_element_at(F.array(*reads), F.col("search") + 1))).drop("search")
+    kept = F.filter(F.array(*found), lambda x: x["match"].isNotNull() | (F.size(x["value_items"]) > 0))
+    hits = folded.select("*", F.inline_outer(kept)).where(F.col("search").isNotNull())
+    spelled = hits.select(
+        "doc_id", "page_no", *keep, "search", "match", "list_field", "value_items", original_of(F.col("match"), F.col("_folded"), F.col("text")).alias("snippet"))
+    whole = F.array(F.struct(F.lit(0).alias("place"), F.col("list_field").alias("field"), F.lit("list").alias("kind"), F.lit("").alias("pattern"),
+                             F.lit(0).alias("grp"), F.lit("").alias("constant")))
+    named = spelled.select("*", F.inline_outer(F.when(F.col("search") < 0, whole).otherwise(F.try_element_at(F.array(*reads), F.col("search") + 1)))).drop("search")
     raw = named.withColumn("_raw", F.when(F.col("kind").isin("number", "date", "growth", "head"), F.expr("regexp_extract(match, pattern, grp)")))
     number = parse_number(F.col("_raw"))
     second = parse_number(F.expr("regexp_extract(match, pattern, 2)"))
@@ -133,10 +145,11 @@ def first_page_facts(pages: DataFrame, listed: Sequence[Rule], keep: Sequence[st
         F.when(F.col("kind") == "number", number).when(F.col("kind") == "growth", F.try_divide(second - number, number) * 100).alias("value_num"),
         F.when(F.col("kind") == "text", F.col("snippet")).when(F.col("kind") == "head", F.left("snippet", F.length("_raw")))
         .when(F.col("kind") == "constant", F.col("constant")).alias("value_str"),
-        F.when(F.col("kind") == "date", parse_dotted_date(F.col("_raw"))).alias("value_date"))
-    read = valued.where(F.col("value_num").isNotNull() | F.col("value_str").isNotNull() | F.col("value_date").isNotNull())
+        F.when(F.col("kind") == "date", parse_dotted_date(F.col("_raw"))).alias("value_date"), "value_items")
+    values = VALUES if lists else VALUES[:3]
+    read = valued.where(F.col("value_num").isNotNull() | F.col("value_str").isNotNull() | F.col("value_date").isNotNull() | F.col("value_items").isNotNull())
     first = read.groupBy("doc_id", "field").agg(
-        F.min_by(F.struct("value_num", "value_str", "value_date", "snippet", *keep, "page_no"), F.struct("page_no", "place")).alias("_f"))
+        F.min_by(F.struct(*values, "snippet", *keep, "page_no"), F.struct("page_no", "place")).alias("_f"))
     return first.select("doc_id", "field", "_f.*")
 
 
@@ -145,6 +158,11 @@ def extract_facts(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return first_page_facts(pages, offering_rules(), keep)
 
 
+def extract_observations(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Scalar, date and list fields of offering documents, reading the text once."""
+    return first_page_facts(pages, offering_rules(), keep, list_readers(rules.SECTION_HEADINGS))
+
+
 def extract_pattern_facts(pages: DataFrame, patterns: Mapping[str, Sequence[tuple]], keep: Sequence[str] = ()) -> DataFrame:
     """Number fields by any ordered pattern table: field -> ((pattern, group[, anchor]), ...)."""
     return first_page_facts(pages, number_rules(patterns), keep)
@@ -220,13 +238,17 @@ def section_items(folded: Column, text: Column, headings: Sequence[str]) -> Colu
         none_num.alias("percentage"), none_str.alias("method")))
 
 
+def list_readers(headings: Mapping[str, Sequence[str]]) -> dict[str, Callable[[Column, Column], Column]]:
+    """List fields of a page as functions of (folded, text)."""
+    readers: dict[str, Callable[[Column, Column], Column]] = {
+        name: lambda folded, text, titles=titles: section_items(folded, text, titles) for name, titles in headings.items()}
+    return readers | {"investor_group_allocations": allocation_lines, "investor_group_distribution_rules": distribution_lines}
+
+
 def extract_lists(pages: DataFrame, keep: Sequence[str] = (), headings: Mapping[str, Sequence[str]] = rules.SECTION_HEADINGS) -> DataFrame:
     """List fields: everything on the first page of a document that has any."""
     low, text = F.col("_folded"), F.col("text")
-    lists = {name: section_items(low, text, titles) for name, titles in headings.items()}
-    lists["investor_group_allocations"] = allocation_lines(low, text)
-    lists["investor_group_distribution_rules"] = distribution_lines(low, text)
-    cells = [F.struct(F.lit(name).alias("field"), items.cast(f"array<{ITEM}>").alias("value_items")) for name, items in lists.items()]
+    cells = [F.struct(F.lit(name).alias("field"), items_of(low, text).cast(f"array<{ITEM}>").alias("value_items")) for name, items_of in list_readers(headings).items()]
     folded = pages.select("doc_id", "page_no", "text", *keep, fold_text(F.col("text")).alias("_folded"))
     some = F.filter(F.array(*cells), lambda c: F.size(c["value_items"]) > 0)
     hits = folded.select("doc_id", "page_no", *keep, F.inline_outer(some)).where(F.col("field").isNotNull())

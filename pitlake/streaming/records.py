@@ -15,13 +15,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pitlake.operators.quality import new_first_writes
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder holds anything, on whatever file system the path names."""
+def _read(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
+    """A table or file, or None where nothing has been written yet."""
     try:
-        return bool(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").take(1))
+        return spark.read.format(kind).load(path)
     except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return False
+        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+            return None
         raise
 
 
@@ -39,7 +39,7 @@ def stream_new_records(
 
     A first run is one without a checkpoint. The file sink commits a batch and its state together.
     """
-    announced = send_existing or _exists(stream.sparkSession, checkpoint)
+    announced = send_existing or _read(stream.sparkSession, f"{checkpoint}/metadata", "text") is not None
     fresh = distinct_stream(stream, key, event_time, delay).withColumn("announced", F.lit(announced))
     return fresh.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append").trigger(
         availableNow=True).start()
@@ -66,10 +66,9 @@ def deliver_changed(
     ids = [*key, content_hash]
 
     def send(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        sent = _read(batch.sparkSession, sent_path, "parquet")
         wanted = batch.dropDuplicates(ids)
-        if _exists(spark, sent_path):
-            wanted = wanted.join(spark.read.parquet(sent_path).select(*ids), ids, "left_anti")
+        wanted = wanted if sent is None else wanted.join(sent.select(*ids), ids, "left_anti")
         deliver(wanted).select(*ids).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sent_path)
 
     return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -82,10 +81,9 @@ def stream_first_write_wins(stream: DataFrame, key: Sequence[str], order: Sequen
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         staged = batch.withColumn("month", F.date_format(month_of, "yyyy-MM"))
         ids = [*key, "month"]
-        target = spark.read.parquet(target_path) if _exists(spark, target_path) else staged.limit(0)
-        new_first_writes(target, staged, ids, order).write.mode("append").partitionBy("month").parquet(target_path)
+        target = _read(batch.sparkSession, target_path, "parquet")
+        new_first_writes(staged.limit(0) if target is None else target, staged, ids, order).write.mode("append").partitionBy("month").parquet(target_path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -176,7 +176,7 @@ def collect_series(spark, d):
 def observations(spark, d):
     pages = offering_pages(spark, d)
     keep = ["entity_id", "published_at", "document_type", "method"]
-    both = evidence.extract_facts(pages, keep).unionByName(evidence.extract_lists(pages, keep), allowMissingColumns=True)
+    both = evidence.extract_observations(pages, keep)
     return both.withColumnRenamed("document_type", "source_type")
 
 

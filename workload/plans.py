@@ -26,7 +26,7 @@ def scratch(spark, name: str) -> str:
 def snapshot_inputs(spark, d):
     keep = ["entity_id", "published_at", "document_type", "method"]
     pages = offering_pages(spark, d)
-    both = evidence.extract_facts(pages, keep).unionByName(evidence.extract_lists(pages, keep), allowMissingColumns=True)
+    both = evidence.extract_observations(pages, keep)
     observations = stage(both.withColumnRenamed("document_type", "source_type"))
     later = evidence.post_offer_evidence(pages.withColumn("source_system", F.lit("kap")), ["entity_id"])
     documents = derive(spark, d, DISCLOSURES).select(
