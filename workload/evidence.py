@@ -68,7 +68,7 @@ def fact_snippets(spark, d):
     return out.where(F.col("field").isin("offering_price", "total_offered_shares", "reported_net_debt")).select("doc_id", "field", "snippet")
 
 
-@query("unique_within_region", f"with rows_ as ({ROWS}), {FIRST} select doc_id, 10.0 * q as value_num from firsts where flag = 'N'")
+@query("unique_within_region", f"with rows_ as ({ROWS}), {FIRST} select doc_id, cast(10 * q as double) as value_num from firsts where flag = 'N'")
 def unique_within_region(spark, d):
     rule = evidence.Rule("seller", rules.SELLER_ITEM, how="unique", region=rules.SELLER_REGION)
     return evidence.first_page_facts(offering_pages(spark, d), [rule]).select("doc_id", "value_num")
@@ -82,9 +82,9 @@ def last_match(spark, d):
 
 @query("extract_lists", f"""with rows_ as ({ROWS}), {FIRST},
 n as (select * from firsts where flag = 'N'), a as (select * from firsts where flag = 'A')
-select doc_id, 'investor_group_allocations' as field, 1 as place, 'retail' as grp, 'Yurt İçi Bireysel Yatırımcılar' as label, 10.0 * q as amount, cast(q as double) as percentage, cast(null as varchar) as method from n
-union all select doc_id, 'investor_group_allocations', 2, 'foreign_institutional', 'Yurt Dışı Kurumsal Yatırımcılar', 20.0 * q, q + 1.0, null from n
-union all select doc_id, 'investor_group_allocations', 3, 'domestic_institutional', 'Yurt İçi Kurumsal Yatırımcılar', 30.0 * q, 5.0, null from n
+select doc_id, 'investor_group_allocations' as field, 1 as place, 'retail' as grp, 'Yurt İçi Bireysel Yatırımcılar' as label, cast(10 * q as double) as amount, cast(q as double) as percentage, cast(null as varchar) as method from n
+union all select doc_id, 'investor_group_allocations', 2, 'foreign_institutional', 'Yurt Dışı Kurumsal Yatırımcılar', cast(20 * q as double), cast(q + 1 as double), null from n
+union all select doc_id, 'investor_group_allocations', 3, 'domestic_institutional', 'Yurt İçi Kurumsal Yatırımcılar', cast(30 * q as double), cast(5 as double), null from n
 union all select doc_id, 'investor_group_distribution_rules', 1, 'retail', 'Yurt İçi Bireysel Yatırımcılar', null, null, case st when 'O' then 'proportional' else 'equal' end from n
 union all select doc_id, 'key_risk_items', 1, null, 'Bu sektörde rekabet yoğundur ve kar marjı düşüktür;', null, null, null from a
 union all select doc_id, 'key_risk_items', 2, null, 'kur riski ' || q || ' puan etkilidir.', null, null, null from a
@@ -243,7 +243,7 @@ def derived_terms(spark, d):
     return wide.select("entity_id", gross["status"].alias("gross_status"), F.round(gross["value_num"], 4).alias("gross_offer_size"))
 
 
-@query("group_lines", f"""with rows_ as ({ROWS}), {FIRST} select doc_id, cast(q as double) as retail_percentage, 50.0 * q as institutional_amount from firsts where flag = 'N'""")
+@query("group_lines", f"""with rows_ as ({ROWS}), {FIRST} select doc_id, cast(q as double) as retail_percentage, cast(50 * q as double) as institutional_amount from firsts where flag = 'N'""")
 def group_lines(spark, d):
     lists = evidence.extract_lists(offering_pages(spark, d)).where("field = 'investor_group_allocations'")
     return lists.select("doc_id", terms.group_line(F.col("value_items"), "retail")["percentage"].alias("retail_percentage"),

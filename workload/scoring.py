@@ -178,7 +178,7 @@ ok as (select entity_id, max(value_num) filter (field = 'offering_price' and agr
   count(*) filter (field in ('offering_price', 'distribution_method', 'subscription_start_date', 'subscription_end_date', 'total_offered_shares', 'capital_increase_ratio')) as stated,
   count(*) filter (source_count > 1 and field in ('offering_price', 'distribution_method', 'subscription_start_date', 'subscription_end_date', 'total_offered_shares', 'capital_increase_ratio')) as agreed from facts group by 1),
 age as (select entity_id, floor(epoch(timestamp '2001-12-31 12:00:00' - max(published_at)) / 86400) as days from docs group by 1),
-conf as (select c.entity_id, complete, 20.0 * ((coalesce(price > 0, false))::int + coalesce(method, false)::int + coalesce(window_, false)::int + coalesce(total > 0, false)::int + coalesce(rise >= 0, false)::int) as valid,
+conf as (select c.entity_id, complete, cast(20 as double) * ((coalesce(price > 0, false))::int + coalesce(method, false)::int + coalesce(window_, false)::int + coalesce(total > 0, false)::int + coalesce(rise >= 0, false)::int) as valid,
   digital, coalesce(100.0 * agreed / nullif(stated, 0), 0) as agreement, coalesce(100 + least(1.0, greatest(0.0, (days - 30) / 335.0)) * -100, 0) as fresh from comp c left join ok using (entity_id) left join age using (entity_id))"""
 
 

@@ -201,7 +201,7 @@ def withdrawal_flags(spark, d):
 @query("band_normalize", """select c_custkey,
   round(0.0 + least(1, greatest(0, (c_acctbal + 200) / 6200)) * 100, 6) as rising,
   round(100.0 + least(1, greatest(0, (c_acctbal - 0) / 5000)) * (0 - 100), 6) as falling,
-  round(40.0, 6) as flat from customer""")
+  cast(40 as double) as flat from customer""")
 def band_normalize(spark, d):
     value = F.col("c_acctbal")
 
