@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 
 from pitlake.operators import ratios, scoring
+from pitlake.session import stage
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,8 @@ def decide_entities(
     fields = [scoring.fact_fields(facts), scoring.financial_fields(fin, entities), scoring.derived_fields(derived)]
     fields += [make(table) for make, table in (
         (scoring.market_fields, context), (scoring.record_fields, records), (scoring.application_fields, applications)) if table is not None]
-    status = scoring.audit_features(entities, documents, fields)
+    # Four later steps read the audit, so it is written once.
+    status = stage(scoring.audit_features(entities, documents, fields))
     contributions = scoring.score_contributions(status)
     categories = scoring.score_categories(contributions)
     confidence = scoring.confidence_components(status, facts, documents, reference)

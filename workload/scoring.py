@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pitlake import catalog
 from pitlake import extraction_rules as rules
 from pitlake.operators import decision, economics, evidence, link, scoring
+from pitlake.session import stage
 from pitlake.tables import literal_table
 from workload.ratios import people
 from workload.registry import derive, plain, query, r6, table
@@ -182,9 +183,10 @@ conf as (select c.entity_id, complete, cast(20 as double) * ((coalesce(price > 0
   digital, coalesce(100.0 * agreed / nullif(stated, 0), 0) as agreement, coalesce(100 + least(1.0, greatest(0.0, (days - 30) / 335.0)) * -100, 0) as fresh from comp c left join ok using (entity_id) left join age using (entity_id))"""
 
 
-def confidence(spark, d):
+def confidence(spark, d, status=None):
+    status = feature_status(spark, d) if status is None else status
     when = F.lit("2001-12-31 12:00:00").cast("timestamp_ntz")
-    return scoring.confidence_components(feature_status(spark, d), facts(spark, d), documents(spark, d), when)
+    return scoring.confidence_components(status, facts(spark, d), documents(spark, d), when)
 
 
 @query("confidence_score", f"""with {CONFIDENCE_SQL} select entity_id, round(complete, 6) as required_document_completeness, round(valid, 6) as critical_field_validation, round(digital, 6) as extraction_quality,
@@ -203,8 +205,8 @@ hits as (select w.entity_id,
   (select bool_or(contains(title, 'İPTAL')) from docs where docs.entity_id = w.entity_id) as withdrawn, (select bool_or(status = 'INSUFFICIENT') from cst where cst.entity_id = w.entity_id) as thin from who w)"""
 
 
-def rule_hits(spark, d):
-    status = feature_status(spark, d)
+def rule_hits(spark, d, status=None):
+    status = stage(feature_status(spark, d)) if status is None else status
     cats = scoring.score_categories(scoring.score_contributions(status))
     return scoring.hard_rules(people(spark, d), status, facts(spark, d), documents(spark, d), cats)
 
@@ -252,9 +254,9 @@ union all select entity_id, 'low_confidence', n from (select entity_id, unnest([
 union all select entity_id, 'hard_rule', r from (select entity_id, unnest(['missing_mandatory_documents', 'unresolved_critical_conflict', 'invalid_offer_share_equation', 'withdrawn_cancelled_suspended', 'insufficient_mandatory_category_coverage']) as r,
   unnest([no_document, conflict, equation, withdrawn, thin]) as v from hits) q where v""")
 def decision_warnings(spark, d):
-    status = feature_status(spark, d)
+    status = stage(feature_status(spark, d))
     cats = scoring.score_categories(scoring.score_contributions(status))
-    return scoring.collect_warnings(cats, confidence(spark, d), rule_hits(spark, d))
+    return scoring.collect_warnings(cats, confidence(spark, d, status), rule_hits(spark, d, status))
 
 
 @query("decision_report", f"""with {TOTALS_SQL}, s as (select entity_id, total, case when c_nationkey < 3 then 'insufficient_data' when total is null then 'insufficient_data' else 'other' end as signal from tot join customer on c_custkey = entity_id)
