@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,21 +29,28 @@ def build_session(app_name: str, master: str | None = None, **settings: str) ->
 def use_checkpoints(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) is a private folder made.
+    Only a local session that names none (tests) gets a private folder; on a cluster a machine-local folder would lose data, so that fails.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return named or current
-    folder = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
+    if not (named or current) and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = named or current or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not current:
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write an intermediate result once to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    return f"{use_checkpoints(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-    For results that several later steps read: the plan is cut, and a lost executor costs a re-read, not a recomputation.
+
+def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write an intermediate result once as Parquet to the shared folder and go on from there.
+
+    For results that several later steps read: the plan is cut, later steps prune columns, and a lost executor costs a re-read, not a recomputation.
     """
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = shared_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
