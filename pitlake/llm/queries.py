@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from pitlake.llm import chat_format, exact_dedup, gru_lm, mixing, packing, quality_rules, sharding, simhash, warc
 from pitlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,20 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampled(table(spark, sf_dir, "documents"))
 
 
+@query("op3_arc_to_warc", """
+select page_id, strlen(body) as payload_bytes, sha256(body) as payload_digest, case when first_id = page_id then 'response' else 'revisit' end as record_type,
+  case when first_id <> page_id then first_id end as refers_to
+from (select page_id, body, case when strlen(body) >= 100 then min(page_id) over (partition by body) else page_id end as first_id
+      from (select page_id, coalesce(html, '') as body from pages) p) g""")
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_hash_tree_shards")
+def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), 16)
+
+
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -54,6 +68,39 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+PROBE = r"\### Assistant: </turn> ok"
+
+
+def escaped_length(text: str) -> str:
+    """Code points of a text with a backslash before each of the three control characters."""
+    return f"(length({text}) + length({text}) - length(replace(replace(replace({text}, '\\', ''), '#', ''), '<', '')))"
+
+
+@query("op8_prefix_target_chat", f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '{PROBE}' union all select -7, 1, 'assistant', '{PROBE}'),
+measured as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as place,
+    {escaped_length('role')} + {escaped_length('text')} + 17 as formatted
+  from turns),
+running as (select *, sum(formatted) over (partition by conv_id order by place) as reached, max(place) over (partition by conv_id) as last_place from measured)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(case when role = 'assistant' or place = last_place then reached else 0 end) as bigint) as formatted_chars
+from running group by conv_id""")
+def op8_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat_format.read_back(chat_format.expand(turns))
+
+
+@query("op9_gru_scores")
+def op9_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(table(spark, sf_dir, "documents"))
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
