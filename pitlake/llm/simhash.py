@@ -114,7 +114,7 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def tile_links(radius: int):
     def listed(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        return column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()  # bits of signed numbers are counted without sign
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +127,7 @@ def tile_links(radius: int):
                 if len(x):
                     found.append(spanning(x, y))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*found, strict=True)], ["u", "v"])
 
     return run
 
