@@ -2,7 +2,8 @@
 
 Every assistant turn becomes an example of its own: all preceding turns as context, that reply as the only trainable span. Turns after the last
 reply (or a conversation without one) come as one more example without a span, so the output holds every turn. Turns are marked
-``### role ###`` newline ... ``</turn>``; in roles and texts each of ``\\ # <`` is preceded by a backslash, which is undone exactly.
+``### role ###`` newline ... ``</turn>``; in roles and texts backslash, ``#`` and ``<`` are written as two-character escapes, so no mark can occur
+there, and undone exactly.
 
 Rows are dealt by conversation and sorted by turn; a task keeps the text of one conversation at a time, which its longest example must hold anyway.
 The examples of a conversation of n turns hold about n * n / 2 turns: that is the method's output, not an intermediate.
@@ -22,17 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REPLY_ROLE = "assistant"
+ESCAPES = {"\\": "\\\\", "#": "\\h", "<": "\\l"}
+PLAIN = {written: plain for plain, written in ESCAPES.items()}
 CONTROL = re.compile(r"[\\#<]")
-ESCAPED = re.compile(r"\\(.)", re.DOTALL)
+ESCAPED = re.compile(r"\\[\\hl]")
 TURN = re.compile(r"### (.*?) ###\n(.*?)</turn>\n", re.DOTALL)
 
 
 def escape(text: str) -> str:
-    return CONTROL.sub(r"\\\g<0>", text)
+    return CONTROL.sub(lambda m: ESCAPES[m[0]], text)
 
 
 def unescape(text: str) -> str:
-    return ESCAPED.sub(r"\1", text)
+    return ESCAPED.sub(lambda m: PLAIN[m[0]], text)
 
 
 def opened(role: str) -> str:
