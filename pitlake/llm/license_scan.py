@@ -187,8 +187,9 @@ def build(negatives: Sequence[str], seed: int = 3) -> Model:
     templates = {family: [frozenset(grams(words_of(n))) for n in notices] for family, notices in NOTICES.items()}
     every = [t for ts in templates.values() for t in ts] + [frozenset(grams(words_of(n))) for n in UNKNOWN_NOTICES]
     plain = [words_of(p)[:WINDOW] for p in negatives]
-    plain = [p for p in plain if p and max(len(grams(p) & t) / len(t) for t in every) < 0.3] + [words_of(s) for s in PLAIN_SENTENCES]
-    filler = sorted({w for p in plain for w in p})
+    plain = [p for p in plain if p and max(len(grams(p) & t) / len(t) for t in every) < 0.3]
+    filler = sorted({w for p in plain for w in p} | {w for s in PLAIN_SENTENCES for w in words_of(s)})
+    plain += [v for s in PLAIN_SENTENCES for v in variants(s, filler, rng, VARIANTS)]
     data: list[tuple[list[str], int]] = [(p, 0) for p in plain]
     for i, family in enumerate(CLASSES[1:], 1):
         for notice in NOTICES.get(family, UNKNOWN_NOTICES):
