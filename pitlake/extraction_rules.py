@@ -5,6 +5,8 @@ All patterns are matched against folded text. NUM and DATE are the number and da
 
 from __future__ import annotations
 
+import re
+
 NUM = r"\d{1,3}(?:\.\d{3})*(?:,\d+)?"
 DATE = r"\d{1,2}[./]\d{1,2}[./]\d{4}"
 CELL = r"[%\d][\d.,%]*"
@@ -88,12 +90,11 @@ INVESTOR_GROUPS = (
     ("yurt ici bireysel", "retail"), ("bireysel yatirimci", "retail"), ("yuksek talepte bulunacak", "high_demand"),
     ("yurt ici kurumsal", "domestic_institutional"), ("yurt disi kurumsal", "foreign_institutional"),
 )
-MAX_LINES = 10
 SECTION_HEADINGS = {
     "use_of_proceeds": ("halka arzdan elde edilecek fonun kullanimi", "fon kullanim yeri", "fon kullanimi"),
     "key_risk_items": ("risk faktorleri", "ihracciya iliskin riskler", "halka arz edilecek paylara iliskin riskler"),
 }
-SECTION_BODY_CHARS, SECTION_MIN_CHARS, SECTION_ITEM_CHARS, SECTION_MAX_ITEMS = 4000, 20, 300, 5
+SECTION_MIN_CHARS = 20
 
 FIELD_NAMES = (
     "subscription_start_date", "subscription_end_date", "offering_price", "currency", "distribution_method", "capital_increase_shares",
@@ -130,9 +131,11 @@ METRIC_LABELS = {
     "finance_expense": (r"\bfin\.?\s+gid\w*\b", r"finansman\s+gider\w*"),
 }
 PERIOD_TOKEN = r"(\d{1,2})\.(\d{1,2})\.(\d{4})|(\d{4})/(\d{1,2})(?!\d)|(?<!\d)(\d{4})(?!\d)(?![a-zA-Z])"
+# Two tokens or more, each close to the one before.
+PERIOD_RUN = r"(?:@)(?:[\s\S]{0,35}?(?:@))+".replace("@", re.sub(r"\((?!\?)", "(?:", PERIOD_TOKEN))
 FORECAST_TOKEN = r"(?<!\d)\d{4}t\b"
 SIGNED_NUM = r"(?<![a-zA-Z])\(?-?\d{1,3}(?:\.\d{3})*(?:,\d+)?\)?"
 LABEL_GAP = r"^[\s()./,*\-]*(?:(?:veya|/)\s*zarar\w*[\s()./,*\-]*)?$"
 CURRENCY_MARKS = ((r"\bbin\s*tl\b", "thousand"), (r"\bmntl\b", "million"), (r"\btl\b", "unit"))
 STANDALONE_MARK, CONSOLIDATED_MARK = r"konsolide\s+olmayan", r"\bkonsolide\b"
-HEADER_CHARS, CURRENCY_MARGIN, TOKEN_GAP, MIN_PERIODS, MAX_PERIODS, ROW_CHARS, NEXT_PAGE_CHARS = 300, 80, 35, 2, 8, 400, 1500
+HEADER_CHARS, CURRENCY_MARGIN, ROW_CHARS, NEXT_PAGE_CHARS = 300, 80, 400, 1500

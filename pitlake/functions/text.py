@@ -19,6 +19,23 @@ def fold_text(text: Column) -> Column:
     return F.lower(F.translate(text, FOLD_FROM, FOLD_TO))
 
 
+def located(text: Column, pattern: str) -> Column:
+    """Every match of ``pattern`` with the place where it starts (1-based): array of (match, at), in order."""
+    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+
+    def at(match: Column, i: Column) -> Column:
+        return F.struct(match.alias("match"), i.alias("i"))
+
+    def length(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0), lambda total, part: total + F.length(part))
+
+    def place(both: Column) -> Column:
+        return F.transform(F.transform(both["matches"], at), lambda m: F.struct(
+            m["match"].alias("match"), (1 + length(F.slice(both["between"], F.lit(1), m["i"] + 1)) + length(F.slice(both["matches"], F.lit(1), m["i"]))).alias("at")))
+
+    return F.transform(F.array(F.struct(matches.alias("matches"), between.alias("between"))), place)[0]
+
+
 def contains_any(text: Column, needles: Sequence[str]) -> Column:
     hit = F.lit(False)
     for needle in needles:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from pitlake import extraction_rules as rules
 from pitlake.functions.numbers import parse_dotted_date, parse_month_name_date, parse_number
-from pitlake.functions.text import fold_text
-from pitlake.operators.period_tables import with_next_page
+from pitlake.functions.text import fold_text, located
+from pitlake.operators.period_tables import bound, with_next_page
 from pitlake.tables import columns, computed_once
 
 # Folded text is lower case already; (?U) lets \\s and \\w see every space and letter.
@@ -73,9 +73,21 @@ def window_rules() -> list[Rule]:
     return [Rule(f, p, g, kind="date", anchor=a) for f, g in fields for p, a in zip(rules.WINDOW_PATTERNS, anchors, strict=True)]
 
 
-def original_of(match: Column, folded: Column, text: Column) -> Column:
-    """The original spelling of a folded passage; folding keeps every offset."""
-    return F.substr(text, F.instr(folded, match), F.length(match))
+def spelled_at(text: Column, at: Column, match: Column) -> Column:
+    """The original spelling of a folded passage that starts at ``at``; folding keeps every offset."""
+    return F.substr(text, at, F.length(match))
+
+
+def place_of(folded: Column, match: Column, how: str, pattern: str, anchor: str = "", region: str = "", phrases: Sequence[str] = ()) -> Column:
+    """Where the passage that ``passage`` found starts. What stands around a match may decide it, so an earlier equal text may be no match."""
+    if how == "last":
+        return F.length(folded) - F.length(F.element_at(F.split(folded, FLAGS + pattern), -1)) - F.length(match) + 1
+    if how == "unique":
+        begin = F.regexp_instr(folded, F.lit(FLAGS + region))
+        inside = F.regexp_substr(folded, F.lit(FLAGS + region))
+        return begin + F.regexp_instr(inside, F.lit(FLAGS + pattern)) - 1
+    looks_around = "(?<" in pattern or "(?!" in pattern or "(?=" in pattern or r"\b" in pattern
+    return F.regexp_instr(folded, F.lit(FLAGS + pattern)) if how == "first" and looks_around else F.instr(folded, match)
 
 
 def passage(folded: Column, how: str, pattern: str, anchor: str = "", region: str = "", phrases: Sequence[str] = ()) -> Column:
@@ -132,8 +144,11 @@ def first_page_facts(pages: DataFrame, listed: Sequence[Rule], keep: Sequence[st
     # The outer form keeps the optimizer from evaluating the searches a second time in a filter.
     kept = F.filter(F.array(*found), lambda x: x["match"].isNotNull() | (F.size(x["value_items"]) > 0))
     hits = folded.select("*", F.inline_outer(kept)).where(F.col("search").isNotNull())
+    at = F.lit(None).cast("int")
+    for i, finder in enumerate(groups):
+        at = F.when(F.col("search") == i, place_of(F.col("_folded"), F.col("match"), *finder)).otherwise(at)
     spelled = hits.select(
-        "doc_id", "page_no", *keep, "search", "match", "list_field", "value_items", original_of(F.col("match"), F.col("_folded"), F.col("text")).alias("snippet"))
+        "doc_id", "page_no", *keep, "search", "match", "list_field", "value_items", spelled_at(F.col("text"), at, F.col("match")).alias("snippet"))
     whole = F.array(F.struct(F.lit(0).alias("place"), F.col("list_field").alias("field"), F.lit("list").alias("kind"), F.lit("").alias("pattern"),
                              F.lit(0).alias("grp"), F.lit("").alias("constant")))
     named = spelled.select("*", F.inline_outer(F.when(F.col("search") < 0, whole).otherwise(F.try_element_at(F.array(*reads), F.col("search") + 1)))).drop("search")
@@ -153,14 +168,19 @@ def first_page_facts(pages: DataFrame, listed: Sequence[Rule], keep: Sequence[st
     return first.select("doc_id", "field", "_f.*")
 
 
-def extract_facts(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Scalar and date fields of offering documents."""
-    return first_page_facts(pages, offering_rules(), keep)
+def chosen(fields: Sequence[str] | None) -> list[Rule]:
+    return [r for r in offering_rules() if fields is None or r.field in fields]
+
 
+def extract_facts(pages: DataFrame, keep: Sequence[str] = (), fields: Sequence[str] | None = None) -> DataFrame:
+    """Scalar and date fields of offering documents; with ``fields`` only those are searched for."""
+    return first_page_facts(pages, chosen(fields), keep)
 
-def extract_observations(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Scalar, date and list fields of offering documents, reading the text once."""
-    return first_page_facts(pages, offering_rules(), keep, list_readers(rules.SECTION_HEADINGS))
+
+def extract_observations(pages: DataFrame, keep: Sequence[str] = (), fields: Sequence[str] | None = None) -> DataFrame:
+    """Scalar, date and list fields of offering documents (all, or ``fields``), reading the text once. Restrict the pages' sources before."""
+    readers = list_readers(rules.SECTION_HEADINGS)
+    return first_page_facts(pages, chosen(fields), keep, {n: r for n, r in readers.items() if fields is None or n in fields})
 
 
 def extract_pattern_facts(pages: DataFrame, patterns: Mapping[str, Sequence[tuple]], keep: Sequence[str] = ()) -> DataFrame:
@@ -176,9 +196,8 @@ def _group_of(folded_label: Column) -> Column:
 
 
 def _passages(folded: Column, text: Column, pattern: str) -> Column:
-    """At most ten passages of a page, folded and as spelled."""
-    matches = F.slice(F.regexp_extract_all(folded, F.lit(FLAGS + pattern), F.lit(0)), 1, rules.MAX_LINES)
-    return F.transform(matches, lambda m: F.struct(m.alias("m"), original_of(m, folded, text).alias("spelled")))
+    """All passages of a page, folded and as spelled."""
+    return F.transform(located(folded, FLAGS + pattern), lambda m: F.struct(m["match"].alias("m"), spelled_at(text, m["at"], m["match"]).alias("spelled")))
 
 
 def _named_items(lines: Column) -> Column:
@@ -203,39 +222,39 @@ def allocation_lines(folded: Column, text: Column) -> Column:
 def distribution_lines(folded: Column, text: Column) -> Column:
     """(group, label, equal | proportional) lines of a page.
 
-    The page is cut at the rule words; a label is the rest of its line before the cut, at most 70 characters, which
-    costs one pass instead of trying every start.
+    The page is cut at the rule words; a label is the rest of its line before the cut, which costs one pass instead of trying every start.
     """
     none = F.lit(None).cast("double")
-    pieces = F.split(folded, FLAGS + rules.DISTRIBUTION_CUT)
-    pairs = F.arrays_zip(pieces.alias("before"), F.slice(pieces, 2, rules.MAX_LINES * 10).alias("after"))
-
-    def label_of(x: Column) -> Column:
-        line = F.regexp_replace(F.regexp_replace(x["before"], FLAGS + "^" + rules.DISTRIBUTION_WAY, ""), r"(?U)\s+$", "")
-        return F.right(F.substring_index(F.substring_index(line, "\n", -1), ":", -1), F.lit(70))
-
-    cut = F.transform(F.filter(pairs, lambda x: x["after"].isNotNull()), lambda x: F.struct(
-        label_of(x).alias("low"), F.startswith(x["after"], F.lit("esit")).alias("equal")))
-    kept = F.slice(F.filter(cut, lambda c: F.length(c["low"]) >= 4), 1, rules.MAX_LINES)
-    lines = F.transform(kept, lambda c: F.struct(
-        F.regexp_replace(original_of(c["low"], folded, text), r"^[ \-•\t]+|[ \-•\t]+$", "").alias("label"), none.alias("amount"), none.alias("percentage"),
-        F.when(c["equal"], "equal").otherwise("proportional").alias("method")))
+    cuts = located(folded, FLAGS + rules.DISTRIBUTION_CUT)
+
+    def label_of(c: Column) -> Column:
+        """The line's end before the cut, folded; what an earlier rule on the line took is left out."""
+        line = F.substring_index(F.substring_index(F.left(folded, c["at"] - 1), "\n", -1), ":", -1)
+        return F.regexp_replace(F.regexp_replace(line, FLAGS + "^.*" + rules.DISTRIBUTION_WAY, ""), r"(?U)\s+$", "")
+
+    cut = F.transform(cuts, lambda c: F.struct(c.alias("c"), label_of(c).alias("low")))
+    lines = F.transform(F.filter(cut, lambda x: F.length(x["low"]) >= 4), lambda x: F.struct(
+        F.regexp_replace(spelled_before(text, folded, x), r"^[ \-•\t]+|[ \-•\t]+$", "").alias("label"), none.alias("amount"), none.alias("percentage"),
+        F.when(F.startswith(F.substr(folded, x["c"]["at"] + F.length(x["c"]["match"])), F.lit("esit")), "equal").otherwise("proportional").alias("method")))
     return F.when(F.contains(folded, F.lit("yontemine")), _named_items(lines))
 
 
+def spelled_before(text: Column, folded: Column, cut: Column) -> Column:
+    """The label before a cut as the page spells it."""
+    end = F.length(F.regexp_replace(F.left(folded, cut["c"]["at"] - 1), r"(?U)\s+$", ""))
+    return spelled_at(text, end - F.length(cut["low"]) + 1, cut["low"])
+
+
 def section_items(folded: Column, text: Column, headings: Sequence[str]) -> Column:
-    """At most five sentences after the first listed heading that occurs."""
+    """The sentences after the first listed heading that occurs, to the end of the page."""
     start = F.lit(None).cast("int")
     for heading in reversed(headings):
         at = F.instr(folded, F.lit(heading))
         start = F.when(at > 0, at + len(heading)).otherwise(start)
-    body = F.substr(text, start, F.lit(rules.SECTION_BODY_CHARS))
-    sentences = F.transform(F.split(body, r"(?U)(?<=[.;])\s+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
-    kept = F.slice(F.filter(sentences, lambda s: F.length(s) >= rules.SECTION_MIN_CHARS), 1, rules.SECTION_MAX_ITEMS)
+    sentences = F.transform(F.split(F.substr(text, start), r"(?U)(?<=[.;])\s+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
     none_num, none_str = F.lit(None).cast("double"), F.lit(None).cast("string")
-    return F.transform(kept, lambda s: F.struct(
-        none_str.alias("group"), F.left(s, F.lit(rules.SECTION_ITEM_CHARS)).alias("label"), none_num.alias("amount"),
-        none_num.alias("percentage"), none_str.alias("method")))
+    return F.transform(F.filter(sentences, lambda s: F.length(s) >= rules.SECTION_MIN_CHARS), lambda s: F.struct(
+        none_str.alias("group"), s.alias("label"), none_num.alias("amount"), none_num.alias("percentage"), none_str.alias("method")))
 
 
 def list_readers(headings: Mapping[str, Sequence[str]]) -> dict[str, Callable[[Column, Column], Column]]:
@@ -245,10 +264,15 @@ def list_readers(headings: Mapping[str, Sequence[str]]) -> dict[str, Callable[[C
     return readers | {"investor_group_allocations": allocation_lines, "investor_group_distribution_rules": distribution_lines}
 
 
-def extract_lists(pages: DataFrame, keep: Sequence[str] = (), headings: Mapping[str, Sequence[str]] = rules.SECTION_HEADINGS) -> DataFrame:
-    """List fields: everything on the first page of a document that has any."""
+def extract_lists(
+    pages: DataFrame, keep: Sequence[str] = (), headings: Mapping[str, Sequence[str]] = rules.SECTION_HEADINGS, fields: Sequence[str] | None = None, most: int | None = None,
+) -> DataFrame:
+    """List fields (all, or ``fields``): everything on the first page of a document that has any; ``most`` limits the items of a list."""
     low, text = F.col("_folded"), F.col("text")
-    cells = [F.struct(F.lit(name).alias("field"), items_of(low, text).cast(f"array<{ITEM}>").alias("value_items")) for name, items_of in list_readers(headings).items()]
+    readers = {n: r for n, r in list_readers(headings).items() if fields is None or n in fields}
+    cells = [F.struct(F.lit(name).alias("field"), items_of(low, text).cast(f"array<{ITEM}>").alias("value_items")) for name, items_of in readers.items()]
+    if most is not None:
+        cells = [F.struct(c["field"].alias("field"), F.slice(c["value_items"], 1, most).alias("value_items")) for c in cells]
     folded = pages.select("doc_id", "page_no", "text", *keep, fold_text(F.col("text")).alias("_folded"))
     some = F.filter(F.array(*cells), lambda c: F.size(c["value_items"]) > 0)
     hits = folded.select("doc_id", "page_no", *keep, F.inline_outer(some)).where(F.col("field").isNotNull())
@@ -256,32 +280,36 @@ def extract_lists(pages: DataFrame, keep: Sequence[str] = (), headings: Mapping[
     return first.select("doc_id", "field", "_f.*")
 
 
-def post_offer_evidence(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def post_offer_evidence(pages: DataFrame, keep: Sequence[str] = (), passage_chars: int = PASSAGE_CHARS) -> DataFrame:
     """Window ends as later documents word them, kept apart from the facts: (doc_id, cutoff_date, snippet, source).
 
     ``pages``: doc_id, page_no, text, source_system, document_type. Result announcements name the month; issuer pages
-    repeat the window itself. The first passage with a readable date counts; each page is read with the opening of the
-    next, so a passage broken over two pages is still seen.
+    repeat the window itself. Each page is read with the opening of the next (``passage_chars``), so a passage broken over two pages is still seen.
     """
-    joined = with_next_page(pages, PASSAGE_CHARS).withColumn("text", F.concat_ws("\n", "text", "next_text"))
+    joined = with_next_page(pages, passage_chars).withColumn("text", F.concat_ws("\n", "text", "next_text"))
     folded = computed_once(joined, "_folded", fold_text(F.col("text")))
     low, text = F.col("_folded"), F.col("text")
-    pattern = FLAGS + rules.RESULT_END_PATTERN
-    match = F.regexp_substr(low, F.lit(pattern))
-    first_window, second_window = (F.regexp_substr(low, F.lit(FLAGS + p)) for p in rules.WINDOW_PATTERNS)
-    token = F.coalesce(*[F.nullif(F.regexp_extract(m, FLAGS + p, 2), F.lit("")) for m, p in zip((first_window, second_window), rules.WINDOW_PATTERNS, strict=True)])
+    month_named = [(FLAGS + rules.RESULT_END_PATTERN, "tarih", lambda m, p: parse_month_name_date(*[F.regexp_extract(m, p, g) for g in (1, 2, 3)]))]
+    windows = [(FLAGS + p, "", lambda m, p: parse_dotted_date(F.regexp_extract(m, p, 2))) for p in rules.WINDOW_PATTERNS]
+
+    def reading(rank: int, pattern: str, anchor: str, read: Callable[[Column, str], Column]) -> Column:
+        match = F.regexp_substr(low, F.lit(pattern))
+        match = F.when(F.contains(low, F.lit(anchor)), match) if anchor else match
+        return bound(match, lambda m: F.struct(
+            F.lit(rank).alias("rank"), read(m, pattern).alias("cutoff_date"), spelled_at(text, F.regexp_instr(low, F.lit(pattern)), m).alias("snippet"), m.isNotNull().alias("hit")))
+
+    def readings(listed: list[tuple]) -> Column:
+        """(rank of the pattern, date or NULL, snippet) of every pattern that the page holds."""
+        return F.filter(F.array(*[reading(rank, *one) for rank, one in enumerate(listed)]), lambda c: c["hit"])
+
     issuer = F.col("source_system") == "issuer_ir"
-    folded = computed_once(folded, "_match", F.when(~issuer & F.contains(low, F.lit("tarih")), match))
-    match = F.col("_match")
-    named = parse_month_name_date(F.regexp_extract(match, pattern, 1), F.regexp_extract(match, pattern, 2), F.regexp_extract(match, pattern, 3))
-    hits = folded.select(
-        "doc_id", "page_no", *keep,
-        F.when(issuer, parse_dotted_date(token)).when(F.col("document_type") == "ipo_results", named).alias("cutoff_date"),
-        F.when(issuer, original_of(F.coalesce(first_window, second_window), low, text)).otherwise(original_of(match, low, text)).alias("snippet"),
-        F.when(issuer, "issuer_ir.subscription_end_date").otherwise("kap_ipo_results.subscription_end_date").alias("source"),
-    ).where(F.col("cutoff_date").isNotNull())
-    first = hits.groupBy("doc_id").agg(F.min_by(F.struct("cutoff_date", "snippet", "source", *keep), "page_no").alias("_f"))
-    return first.select("doc_id", "_f.*")
+    hits = folded.where(issuer | (F.col("document_type") == "ipo_results")).select(
+        "doc_id", "page_no", *keep, issuer.alias("_issuer"), F.inline(F.when(issuer, readings(windows)).otherwise(readings(month_named))))
+    # issuer pages: the first pattern anywhere in the document decides, readable or not; announcements: the first readable date
+    counted = hits.where(F.col("_issuer") | F.col("cutoff_date").isNotNull()).withColumn(
+        "source", F.when(F.col("_issuer"), "issuer_ir.subscription_end_date").otherwise("kap_ipo_results.subscription_end_date"))
+    first = counted.groupBy("doc_id").agg(F.min_by(F.struct("cutoff_date", "snippet", "source", *keep), F.struct("rank", "page_no")).alias("_f"))
+    return first.select("doc_id", "_f.*").where(F.col("cutoff_date").isNotNull())
 
 
 OBSERVATION_ORDER = ("published_at", "doc_id", "page_no")

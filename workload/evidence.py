@@ -64,8 +64,8 @@ select doc_id, 'offering_price' as field, 'Halka Arz Fiyatı (TL): ' || q || ',5
 union all select doc_id, 'total_offered_shares', 'toplam ' || {inputs.tr('(e + 10 * q)')} || ' TL nominal değerli' from firsts where flag = 'N'
 union all select doc_id, 'reported_net_debt', 'Piyasa Değeri ' || {inputs.tr('(e + 7)')} || ' Net Borç ' || q || ' Firma Değeri ' || {inputs.tr('(e + 7 + q)')} from firsts where flag = 'R'""")
 def fact_snippets(spark, d):
-    out = evidence.extract_facts(offering_pages(spark, d))
-    return out.where(F.col("field").isin("offering_price", "total_offered_shares", "reported_net_debt")).select("doc_id", "field", "snippet")
+    out = evidence.extract_facts(offering_pages(spark, d), fields=("offering_price", "total_offered_shares", "reported_net_debt"))
+    return out.select("doc_id", "field", "snippet")
 
 
 @query("unique_within_region", f"with rows_ as ({ROWS}), {FIRST} select doc_id, cast(10 * q as double) as value_num from firsts where flag = 'N'")
@@ -97,13 +97,13 @@ def extract_lists(spark, d):
 
 @query("section_items", f"""with f as (select doc_id, text, {fold('text')} as f from documents),
 heads as (select doc_id, text, case when contains(f, 'released under') then strpos(f, 'released under') + 14 when contains(f, 'licensed under') then strpos(f, 'licensed under') + 14 end as p from f),
-s as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(substring(text, p, 4000), '([.;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')),
-  lambda x: length(x) >= 20)[:5] as items from heads where p is not null)
-select doc_id, len(items) as n, left(items[1], 300) as first_item from s where len(items) > 0""")
+s as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(substring(text, p), '([.;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')),
+  lambda x: length(x) >= 20) as items from heads where p is not null)
+select doc_id, len(items) as n, items[1] as first_item, items[len(items)] as last_item from s where len(items) > 0""")
 def section_items(spark, d):
     pages = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page_no"), "text")
     out = evidence.extract_lists(pages, headings={"licensing": ("released under", "licensed under")}).where("field = 'licensing'")
-    return out.select("doc_id", F.size("value_items").cast("bigint").alias("n"), F.element_at("value_items", 1)["label"].alias("first_item"))
+    return out.select("doc_id", F.size("value_items").cast("bigint").alias("n"), F.element_at("value_items", 1)["label"].alias("first_item"), F.element_at("value_items", -1)["label"].alias("last_item"))
 
 
 @query("post_offer_evidence", f"""with rows_ as ({ROWS}), r as (select * from rows_ where flag = 'R' and document_type = 'ipo_results')
@@ -113,6 +113,13 @@ def post_offer_evidence(spark, d):
     return evidence.post_offer_evidence(pages).select("doc_id", day("cutoff_date"), "source")
 
 
+@query("issuer_window_ends", f"""with rows_ as ({ROWS}), a as (select * from rows_ where flag = 'A')
+select doc_id, '2024-04-1' || arg_min(ln, page_no) as cutoff_date, 'issuer_ir.subscription_end_date' as source from a group by 1""")
+def issuer_window_ends(spark, d):
+    pages = offering_pages(spark, d).withColumn("source_system", F.lit("issuer_ir"))
+    return evidence.post_offer_evidence(pages).select("doc_id", day("cutoff_date"), "source")
+
+
 # Merging over all lines: entity = order, source = return flag, two fields, first by line order.
 LINES = """
 lines as (
@@ -173,15 +180,17 @@ def collect_series(spark, d):
 
 
 # Terms per customer from its prospectuses and announcements.
-def observations(spark, d):
+def observations(spark, d, sources=None):
     pages = offering_pages(spark, d)
+    if sources is not None:  # before any text is searched
+        pages = evidence.restrict_sources(pages.withColumnRenamed("document_type", "source_type"), sources).withColumnRenamed("source_type", "document_type")
     keep = ["entity_id", "published_at", "document_type", "method"]
     both = evidence.extract_observations(pages, keep)
     return both.withColumnRenamed("document_type", "source_type")
 
 
 def offering_facts(spark, d, sources=rules.PRE_OFFER_SOURCES):
-    return evidence.merge_evidence(evidence.restrict_sources(observations(spark, d), sources), leading=evidence.OFFERING_LEADING)
+    return evidence.merge_evidence(observations(spark, d, sources), leading=evidence.OFFERING_LEADING)
 
 
 def both_sides(expr: str, flag: str) -> tuple[str, str]:
@@ -245,7 +254,7 @@ def derived_terms(spark, d):
 
 @query("group_lines", f"""with rows_ as ({ROWS}), {FIRST} select doc_id, cast(q as double) as retail_percentage, cast(50 * q as double) as institutional_amount from firsts where flag = 'N'""")
 def group_lines(spark, d):
-    lists = evidence.extract_lists(offering_pages(spark, d)).where("field = 'investor_group_allocations'")
+    lists = evidence.extract_lists(offering_pages(spark, d), fields=("investor_group_allocations",))
     return lists.select("doc_id", terms.group_line(F.col("value_items"), "retail")["percentage"].alias("retail_percentage"),
                         terms.sum_groups(F.col("value_items"), terms.INSTITUTIONAL, "amount").alias("institutional_amount"))
 

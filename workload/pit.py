@@ -7,26 +7,31 @@ from pyspark.sql import functions as F
 from pitlake.operators import pit
 from workload.registry import day, query, table
 
-CUTOFFS = """ev as (select user_id as entity_id, case event_type when 'purchase' then 1 when 'signup' then 2 when 'view' then 3 end as tier, cast(ts as date) as cutoff_date, event_id as doc_id, event_type as source
-  from events where event_type in ('purchase', 'signup', 'view') and value > 90),
+CUTOFFS = """ev as (select user_id || ' ' || hour(ts) || ' ' || dayofweek(ts) as entity_id, case event_type when 'purchase' then 1 when 'signup' then 2 when 'view' then 3 end as tier, cast(ts as date) as cutoff_date, event_id as doc_id, event_type as source
+  from events where event_type in ('purchase', 'signup', 'view')),
 top as (select entity_id, min(tier) as tier from ev group by 1),
 final as (select entity_id, count(distinct cutoff_date) as n, min(cutoff_date) as one, min(doc_id) as doc_id, min(source) as source, string_agg(distinct cast(cutoff_date as varchar), ',' order by cast(cutoff_date as varchar)) as dates
   from ev join top using (entity_id, tier) group by 1),
 cutoffs as (select u.entity_id, case when n is null then 'missing' when n = 1 then 'resolved' else 'conflicting' end as cutoff_status, case when n = 1 then one end as cutoff_date,
   case when n = 1 then source end as cutoff_source, case when n = 1 then doc_id end as evidence_doc_id, coalesce(dates, '') as candidate_dates
-  from (select distinct user_id as entity_id from events) u left join final using (entity_id))"""
+  from (select distinct user_id || ' ' || hour(ts) || ' ' || dayofweek(ts) as entity_id from events) u left join final using (entity_id))"""
+
+
+# An entity is a user at an hour of a weekday: few evidence rows each, so every status occurs and all events take part.
+def entity():
+    return F.concat_ws(" ", "user_id", F.hour("ts"), F.dayofweek("ts") - 1).alias("entity_id")
 
 
 def cutoffs(spark, d):
-    ev = table(spark, d, "events").where("event_type in ('purchase', 'signup', 'view') and value > 90")
+    ev = table(spark, d, "events").where("event_type in ('purchase', 'signup', 'view')")
     tier = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "signup", 2).otherwise(3)
-    evidence = ev.select(F.col("user_id").alias("entity_id"), tier.alias("tier"), F.to_date("ts").alias("cutoff_date"), F.col("event_id").alias("doc_id"), F.col("event_type").alias("source"))
-    users = table(spark, d, "events").select(F.col("user_id").alias("entity_id")).distinct()
+    evidence = ev.select(entity(), tier.alias("tier"), F.to_date("ts").alias("cutoff_date"), F.col("event_id").alias("doc_id"), F.col("event_type").alias("source"))
+    users = table(spark, d, "events").select(entity()).distinct()
     return pit.resolve_cutoff(users, evidence)
 
 
 def user_events(spark, d):
-    return table(spark, d, "events").select(F.col("user_id").alias("entity_id"), "event_id", "ts", "value")
+    return table(spark, d, "events").select(entity(), "event_id", "ts", "value")
 
 
 @query("resolve_cutoff", f"with {CUTOFFS} select entity_id, cutoff_status, cast(cutoff_date as varchar) as cutoff_date, cutoff_source, evidence_doc_id, candidate_dates from cutoffs")
@@ -36,8 +41,8 @@ def resolve_cutoff(spark, d):
                       F.array_join(F.transform("candidate_dates", lambda x: F.date_format(x, "yyyy-MM-dd")), ",").alias("candidate_dates"))
 
 
-@query("as_of_filter", f"""with {CUTOFFS} select event_id, e.user_id as entity_id, coalesce(e.ts <= cutoff_date + interval '23 hours 59 minutes 59 seconds', false) as considered
-from events e join cutoffs c on c.entity_id = e.user_id""")
+@query("as_of_filter", f"""with {CUTOFFS} select event_id, user_id || ' ' || hour(ts) || ' ' || dayofweek(ts) as entity_id, coalesce(e.ts <= cutoff_date + interval '23 hours 59 minutes 59 seconds', false) as considered
+from events e join cutoffs c on c.entity_id = user_id || ' ' || hour(ts) || ' ' || dayofweek(ts)""")
 def as_of_filter(spark, d):
     return pit.as_of_filter(user_events(spark, d), cutoffs(spark, d), "ts").select("event_id", "entity_id", "considered")
 
@@ -48,7 +53,7 @@ def leak_check(spark, d):
     return pit.leak_check(pit.as_of_filter(user_events(spark, d), days, "ts"), days, "ts").select("event_id")
 
 
-@query("leak_check_finds", f"""with {CUTOFFS} select event_id from events e join cutoffs c on c.entity_id = e.user_id
+@query("leak_check_finds", f"""with {CUTOFFS} select event_id from events e join cutoffs c on c.entity_id = user_id || ' ' || hour(ts) || ' ' || dayofweek(ts)
 where not coalesce(e.ts <= cutoff_date + interval '23 hours 59 minutes 59 seconds', false)""")
 def leak_check_finds(spark, d):
     everything = user_events(spark, d).withColumn("considered", F.lit(True))

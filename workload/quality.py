@@ -78,17 +78,24 @@ def strict_records(spark, d):
     return readers.strict_records(lines, readers.OFFERING_FIELDS).select("ay", "donem", "halkaArzFiyatiTl", "ortakSatisBinTl")
 
 
-@query("duplicate_rows", "select l_orderkey, l_linenumber, l_returnflag, count(*) as copies from lineitem group by 1, 2, 3 having count(*) > 1")
+LINE_COLUMNS = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+@query("duplicate_rows", f"""select {LINE_COLUMNS.replace('l_shipdate', 'cast(l_shipdate as varchar) as l_shipdate')}, copies
+from (select {LINE_COLUMNS}, count(*) as copies from (select * from lineitem union all select * from lineitem where l_quantity > 45) x group by all having count(*) > 1) y""")
 def duplicate_rows(spark, d):
-    return quality.duplicate_rows(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
+    lines = table(spark, d, "lineitem").select(*LINE_COLUMNS.split(", "))
+    out = quality.duplicate_rows(lines.unionAll(lines.where("l_quantity > 45")))
+    return out.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("identity_candidates", " union all ".join(
     f"select '{c}' as column_name, count(*) as distinct_values, count(*) filter (n > 1) as duplicated_values, min(v) filter (n > 1) as example_value "
-    f"from (select cast({c} as varchar) as v, count(*) as n from customer where {c} is not null group by 1) x having count(*) filter (n > 1) > 0"
-    for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))
+    f"from (select cast({c} as varchar) as v, count(*) as n from {t} where {c} is not null group by 1) x having count(*) filter (n > 1) > 0"
+    for t, c in [("customer", x) for x in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")] + [("(select *, cast(round(c_acctbal * 100) as bigint) as acctbal_cents from customer) c", "acctbal_cents")]))
 def identity_candidates(spark, d):
-    return quality.identity_candidates(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+    customers = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", F.round(F.col("c_acctbal") * 100).cast("bigint").alias("acctbal_cents"))
+    return quality.identity_candidates(customers)
 
 
 @query("compare_ordering", """select count(*) as first_count, count(*) as second_count, true as same_length, false as stable,
