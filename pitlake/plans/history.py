@@ -36,6 +36,11 @@ def build_cutoffs(entities: DataFrame, observations: DataFrame, later: DataFrame
     return pit.resolve_cutoff(entities, cutoff_evidence(facts, later))
 
 
+def snapshot_documents(documents: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Every document of every entity with ``considered``: the ids behind a snapshot's two counts, one row each."""
+    return pit.as_of_filter(documents, cutoffs, "published_at")
+
+
 def context_at(cutoffs: DataFrame, index: DataFrame, rates: Mapping[str, DataFrame], monthly: DataFrame) -> DataFrame:
     """entity_id, feature, value: computed once per distinct cutoff date, then joined to the entities of that date."""
     dated = cutoffs.where(F.col("cutoff_date").isNotNull()).select("entity_id", F.col("cutoff_date").alias("as_of"))
@@ -54,7 +59,7 @@ def build_snapshots(
     ``observations`` and ``fin`` carry entity_id and published_at; ``context_series`` is (index, rates, monthly).
     """
     cutoffs = stage(build_cutoffs(entities, observations, later))
-    judged = pit.as_of_filter(documents, cutoffs, "published_at")
+    judged = snapshot_documents(documents, cutoffs)
     counts = judged.groupBy("entity_id").agg(F.count_if("considered").alias("considered_documents"), F.count_if(~F.col("considered")).alias("excluded_documents"))
     known_documents = judged.where("considered").join(cutoffs.select("entity_id", "cutoff_date"), "entity_id")
     known = pit.as_of_filter(observations, cutoffs, "published_at").where("considered").drop("considered")

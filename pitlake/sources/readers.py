@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitlake.functions.text import subject_key
+
 from pitlake.tables import computed_once
 
 # Layout of the completed-offering feed (field, type, nullable).
@@ -69,16 +71,21 @@ def strict_read(spark: SparkSession, path: str, fields: Sequence[tuple[str, str,
 
 
 def read_bulletin(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """``;``-separated daily files with a two-row header; columns are found by their English names in the second row."""
+    """``;``-separated daily files with a two-row header; each file's columns are found by the English names in its own second row.
+
+    A file without that row, or without one of the names, stops the job with its path.
+    """
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     raw = spark.read.csv(path, sep=";", schema=schema, header=True, enforceSchema=True, mode="FAILFAST")
-    header = raw.where(F.array_contains(F.array(*raw.columns), "TRADE DATE")).first()
-    names = [] if header is None else list(header)
-    missing = [c for c in BULLETIN_COLUMNS if c not in names]
-    if missing:
-        raise ValueError(f"bulletin is missing column(s) {missing}")
-    picked = raw.select(*[F.col(f"c{names.index(c)}").alias(alias) for c, alias in BULLETIN_COLUMNS.items()])
-    return picked.where(F.col("trade_date") != "TRADE DATE")
+    lines = raw.select(F.array(*[f"c{i}" for i in range(width)]).alias("cells"), F.col("_metadata.file_path").alias("file"))
+    is_header = F.array_contains("cells", "TRADE DATE")
+    headers = lines.where(is_header).groupBy("file").agg(F.first("cells").alias("names"))
+
+    def cell(name: str) -> Column:
+        at = F.array_position("names", name)
+        return F.when(at > 0, F.element_at("cells", at.cast("int"))).otherwise(_fail(F.concat(F.lit(f"bulletin is missing column {name}: "), F.col("file"))).cast("string"))
+
+    return lines.where(~F.coalesce(is_header, F.lit(False))).join(headers, "file", "left").select(*[cell(name).alias(alias) for name, alias in BULLETIN_COLUMNS.items()])
 
 
 def filter_equity_bulletin(rows: DataFrame) -> DataFrame:
@@ -101,5 +108,21 @@ def filter_equity_bulletin(rows: DataFrame) -> DataFrame:
 
 # Layout of a disclosure item and its publish-time format.
 DISCLOSURE_SCHEMA = """disclosureBasic struct<disclosureId string, disclosureIndex int, title string, companyTitle string, stockCode string,
- relatedStocks string, publishDate string, summary string, attachmentCount int>"""
+ relatedStocks string, publishDate string, summary string, attachmentCount int, disclosureClass string, disclosureType string>"""
 PUBLISHED_FORMAT = "dd.MM.yyyy HH:mm:ss"
+
+
+def normalize_disclosures(items: DataFrame) -> DataFrame:
+    """Rows from nested items (``item`` as JSON text): wall-clock publish time, subject key, trimmed names. A time that cannot be read is NULL."""
+    basic = F.from_json("item", DISCLOSURE_SCHEMA)["disclosureBasic"]
+    text = lambda name: F.nullif(F.trim(basic[name]), F.lit(""))
+    return items.select(
+        text("disclosureId").alias("disclosure_id"), basic["disclosureIndex"].alias("disclosure_index"),
+        F.try_to_timestamp(basic["publishDate"], F.lit(PUBLISHED_FORMAT)).cast("timestamp_ntz").alias("published_at"), text("companyTitle").alias("company_name"),
+        subject_key(basic["relatedStocks"], basic["stockCode"]).alias("ticker"), text("title").alias("title"), text("summary").alias("summary"),
+        text("disclosureClass").alias("disclosure_class"), F.coalesce(basic["attachmentCount"], F.lit(0)).alias("attachment_count"))
+
+
+def read_disclosures(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of disclosure items; see :func:`normalize_disclosures`."""
+    return normalize_disclosures(spark.read.text(path).withColumnRenamed("value", "item"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitlake.operators.quality import new_first_writes
@@ -20,14 +21,25 @@ def read_snapshot_dataset(spark, path: str, version: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("dataset_version") == version)
 
 
+def months_of(target: DataFrame, staged: DataFrame) -> DataFrame:
+    """The partitions of ``target`` for the months of ``staged``: literals, so that no other month is listed or read."""
+    return target.where(F.col("month").isin([r["month"] for r in staged.select("month").distinct().collect()]))
+
+
 def append_first_writes(target_path: str, incoming: DataFrame, key: Sequence[str], order: Sequence[str], month_of: str) -> None:
-    """Append only unseen keys to a Parquet table partitioned by the month of ``month_of``."""
+    """Append only unseen keys to a Parquet table partitioned by the month of ``month_of``; only those months are read."""
     spark = incoming.sparkSession
     staged = incoming.withColumn("month", F.date_format(month_of, "yyyy-MM"))
+    target = read_if_any(spark, target_path)
+    known = staged.limit(0) if target is None else months_of(target, staged)
+    new_first_writes(known, staged, [*key, "month"], order).write.mode("append").partitionBy("month").parquet(target_path)
+
+
+def read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where nothing has been written yet; a damaged one fails."""
     try:
-        fresh = new_first_writes(spark.read.parquet(target_path), staged, key, order)
-    except Exception as error:  # the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(error):
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        fresh = staged.groupBy(*key).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("_row")).select("_row.*")
-    fresh.write.mode("append").partitionBy("month").parquet(target_path)
+        return None

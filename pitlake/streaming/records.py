@@ -13,16 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pitlake.operators.quality import new_first_writes
-
-
-def _read(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
-    """A table or file, or None where nothing has been written yet."""
-    try:
-        return spark.read.format(kind).load(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
+from pitlake.session import stage
+from pitlake.sources.sinks import months_of, read_if_any
 
 
 def distinct_stream(stream: DataFrame, key: Sequence[str], event_time: str | None = None, delay: str | None = None) -> DataFrame:
@@ -37,14 +29,25 @@ def stream_new_records(
 ) -> StreamingQuery:
     """Every key once, with ``announced``: false for what the very first run finds, unless asked to send it.
 
-    A first run is one without a checkpoint. The file sink commits a batch and its state together.
+    The first run lasts until :func:`finish` marks it as done, so one that dies half-way goes on unannounced after its restart. The file sink
+    commits a batch and its state together.
     """
-    announced = send_existing or _read(stream.sparkSession, f"{checkpoint}/metadata", "text") is not None
+    announced = send_existing or read_if_any(stream.sparkSession, first_run_mark(checkpoint)) is not None
     fresh = distinct_stream(stream, key, event_time, delay).withColumn("announced", F.lit(announced))
     return fresh.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append").trigger(
         availableNow=True).start()
 
 
+def first_run_mark(checkpoint: str) -> str:
+    return checkpoint.rstrip("/") + "-first-run-done"
+
+
+def finish(query: StreamingQuery, checkpoint: str) -> None:
+    """Wait for a run of :func:`stream_new_records` and mark the first run as done; a failed run leaves no mark."""
+    query.awaitTermination()
+    SparkSession.active().range(1).write.mode("ignore").parquet(first_run_mark(checkpoint))
+
+
 def stream_changed(stream: DataFrame, key: Sequence[str], content_hash: str, out_path: str, checkpoint: str) -> StreamingQuery:
     """A record whenever its content hash is new for its key; a hash once sent is never resent, even if content reverts.
 
@@ -61,15 +64,16 @@ def deliver_changed(
     """Like :func:`stream_changed` with a sender: a hash counts as sent only after ``deliver`` returned its row.
 
     ``deliver`` takes the rows to send and returns those that went out; the rest is tried again when it next appears.
-    A repeated batch meets what it already recorded, so nothing is sent twice after a restart.
+    Delivery is at least once: a batch that dies between ``deliver`` and the record of it sends its rows again. Rows to send are written before
+    ``deliver`` sees them and its answer before it is recorded, so neither is computed twice.
     """
     ids = [*key, content_hash]
 
     def send(batch: DataFrame, batch_id: int) -> None:
-        sent = _read(batch.sparkSession, sent_path, "parquet")
+        sent = read_if_any(batch.sparkSession, sent_path)
         wanted = batch.dropDuplicates(ids)
-        wanted = wanted if sent is None else wanted.join(sent.select(*ids), ids, "left_anti")
-        deliver(wanted).select(*ids).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sent_path)
+        wanted = stage(wanted if sent is None else wanted.join(sent.select(*ids), ids, "left_anti"), "to-send")
+        stage(deliver(wanted).select(*ids), "sent").withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sent_path)
 
     return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -77,13 +81,13 @@ def deliver_changed(
 def stream_first_write_wins(stream: DataFrame, key: Sequence[str], order: Sequence[str], month_of: str, target_path: str, checkpoint: str) -> StreamingQuery:
     """Append only keys the target lacks; inside a batch the first by ``order``. Late points of unseen keys are accepted.
 
-    The target is partitioned by month and the month joins along, so only months of the batch are read.
+    The target is partitioned by month and filtered by the batch's months as literals, so only those are read.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         staged = batch.withColumn("month", F.date_format(month_of, "yyyy-MM"))
         ids = [*key, "month"]
-        target = _read(batch.sparkSession, target_path, "parquet")
-        new_first_writes(staged.limit(0) if target is None else target, staged, ids, order).write.mode("append").partitionBy("month").parquet(target_path)
+        target = read_if_any(batch.sparkSession, target_path)
+        new_first_writes(staged.limit(0) if target is None else months_of(target, staged), staged, ids, order).write.mode("append").partitionBy("month").parquet(target_path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

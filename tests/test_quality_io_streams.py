@@ -31,10 +31,27 @@ def test_bulletin(spark, tmp_path):
     assert rows(readers.filter_equity_bulletin(raw)) == [(date(2024, 1, 2), "ABC", 1.0, 2.0, 0.5, 1.5, 10, 100.0)]
     with pytest.raises(Exception):
         readers.filter_equity_bulletin(raw.withColumn("instrument_code", F.lit("ABC"))).collect()
-    with pytest.raises(ValueError):
-        (tmp_path / "b").mkdir()
-        (tmp_path / "b" / "x.csv").write_text("a;b\nc;d\n")
-        readers.read_bulletin(spark, str(tmp_path / "b"), 2)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.csv").write_text("a;b\nc;d\n")
+    with pytest.raises(Exception, match="missing column TRADE DATE"):
+        readers.read_bulletin(spark, str(tmp_path / "b"), 2).collect()
+
+
+def test_each_bulletin_file_has_its_own_columns(spark, tmp_path):
+    first = "TRADE DATE;INSTRUMENT SERIES CODE;INSTRUMENT GROUP;MARKET;OPENING PRICE;LOWEST PRICE;HIGHEST PRICE;CLOSING PRICE;TOTAL TRADED VALUE;TOTAL TRADED VOLUME"
+    other = ";".join(reversed(first.split(";")))
+    (tmp_path / "1.csv").write_text(";" * 9 + f"\n{first}\n2024-01-02;A.E;EQT;MSPOT;1;2;3;4;5;6\n")
+    (tmp_path / "2.csv").write_text(";" * 9 + f"\n{other}\n6;5;4;3;2;1;MSPOT;EQT;B.E;2024-01-03\n")
+    got = readers.read_bulletin(spark, str(tmp_path), 10).select("trade_date", "instrument_code", "open", "close", "volume")
+    assert rows(got) == [("2024-01-02", "A.E", "1", "4", "6"), ("2024-01-03", "B.E", "1", "4", "6")]
+
+
+def test_disclosures(spark):
+    item = {"disclosureBasic": {"disclosureId": " 7 ", "publishDate": "05.04.2024 23:59:59", "stockCode": "A, B", "relatedStocks": "C", "title": "x", "attachmentCount": 2}}
+    bad = {"disclosureBasic": {"disclosureId": "8", "publishDate": "31.02.2024 10:00:00", "stockCode": "A", "relatedStocks": ""}}
+    df = spark.createDataFrame([(json.dumps(item),), (json.dumps(bad),), ("broken",)], "item string")
+    got = readers.normalize_disclosures(df).select("disclosure_id", "published_at", "ticker", "attachment_count")
+    assert rows(got) == [("7", datetime(2024, 4, 5, 23, 59, 59), "C", 2), ("8", None, "A", 0), (None, None, None, 0)]
 
 
 TABLE = "<table><tr><th>No</th><th>ŞİRKET şirket</th><th>Tarih</th></tr><tr><td></td></tr><tr><td>1</td><td><b>A</b> Ltd</td><td> 05.04.2024 </td></tr><tr><td>B</td><td>31.02.2024</td></tr><tr><td></td><td>x</td></tr><tr><td>yalnız</td></tr></table>"
@@ -110,12 +127,33 @@ def feed(folder, name, *items):
 def test_first_run_is_silent_and_restart_announces_only_new(spark, tmp_path):
     src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     feed(src, "1.json", ("a", "x", 1), ("a", "y", 2), ("b", "x", 1))
-    records.stream_new_records(source(spark, str(src)), ["k"], out, state).awaitTermination()
+    records.finish(records.stream_new_records(source(spark, str(src)), ["k"], out, state), state)
     feed(src, "2.json", ("a", "z", 3), ("c", "x", 1))
-    records.stream_new_records(source(spark, str(src)), ["k"], out, state).awaitTermination()
+    records.finish(records.stream_new_records(source(spark, str(src)), ["k"], out, state), state)
     assert rows(spark.read.parquet(out), "k", "announced") == [("a", False), ("b", False), ("c", True)]
 
 
+def test_first_run_that_died_goes_on_unannounced(spark, tmp_path):
+    src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    feed(src, "1.json", ("a", "x", 1))
+    records.stream_new_records(source(spark, str(src)), ["k"], out, state).awaitTermination()  # no mark: died before it finished
+    feed(src, "2.json", ("b", "x", 1))
+    records.finish(records.stream_new_records(source(spark, str(src)), ["k"], out, state), state)
+    feed(src, "3.json", ("c", "x", 1))
+    records.finish(records.stream_new_records(source(spark, str(src)), ["k"], out, state), state)
+    assert rows(spark.read.parquet(out), "k", "announced") == [("a", False), ("b", False), ("c", True)]
+
+
+def test_only_the_batch_months_of_the_target_are_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = "series string, obs_date date, value double"
+    old = spark.createDataFrame([("s", date(2024, m, 1), 1.0) for m in range(1, 7)], schema)
+    sinks.append_first_writes(path, old, ["series", "obs_date"], ["value"], "obs_date")
+    staged = spark.createDataFrame([("s", date(2024, 2, 1), 2.0)], schema).withColumn("month", F.date_format("obs_date", "yyyy-MM"))
+    plan = sinks.months_of(spark.read.parquet(path), staged)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "2024-02" in plan
+
+
 def test_reverted_content_is_not_resent(spark, tmp_path):
     src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     for i, h in enumerate("xyx"):

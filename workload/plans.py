@@ -40,17 +40,29 @@ def snapshot_inputs(spark, d):
     return people(spark, d), documents.withColumn("published_at", moved("published_at")), observations.withColumn("published_at", moved("published_at")), later
 
 
-@query("snapshot_cutoffs", f"""with rows_ as ({ROWS}), {FIRST},
+SNAPSHOT_CUTOFFS = f"""with rows_ as ({ROWS}), {FIRST},
 said as (select entity_id, document_type, arg_min(ln, (published_at, doc_id)) as ln from firsts where flag = 'A' and document_type <> 'other' group by 1, 2),
 own as (select entity_id, count(distinct ln) as n, min(ln) as ln from said group by 1),
 res as (select entity_id, count(distinct ln) as n, min(ln) as ln from (select entity_id, doc_id, arg_min(ln, page_no) as ln from rows_ where flag = 'R' and document_type = 'ipo_results' group by 1, 2) x group by 1)
 select c_custkey as entity_id, case when own.n = 1 or (own.n is null and res.n = 1) then 'resolved' when own.n is null and res.n is null then 'missing' else 'conflicting' end as cutoff_status,
-  case when own.n = 1 then '2024-04-1' || own.ln when own.n is null and res.n = 1 then '2024-05-1' || res.ln end as cutoff_date from customer left join own on own.entity_id = c_custkey left join res on res.entity_id = c_custkey""")
+  case when own.n = 1 then '2024-04-1' || own.ln when own.n is null and res.n = 1 then '2024-05-1' || res.ln end as cutoff_date from customer left join own on own.entity_id = c_custkey left join res on res.entity_id = c_custkey"""
+
+
+@query("snapshot_cutoffs", SNAPSHOT_CUTOFFS)
 def snapshot_cutoffs(spark, d):
     entities, _, observations, later = snapshot_inputs(spark, d)
     return history.build_cutoffs(entities, observations, later).select("entity_id", "cutoff_status", day("cutoff_date"))
 
 
+@query("snapshot_documents", f"""with cutoffs as ({SNAPSHOT_CUTOFFS}),
+docs as (select o_custkey as entity_id, cast(o_orderkey as varchar) as doc_id, o_orderdate + to_days(cast(date '2024-04-12' - date '1998-06-30' as integer)) as published_at from orders)
+select docs.entity_id, doc_id, coalesce(published_at <= cast(cutoff_date as date) + interval '23 hours 59 minutes 59 seconds', false) as considered
+from docs join cutoffs on cutoffs.entity_id = docs.entity_id""")
+def snapshot_documents(spark, d):
+    entities, documents, observations, later = snapshot_inputs(spark, d)
+    return history.snapshot_documents(documents, history.build_cutoffs(entities, observations, later)).select("entity_id", "doc_id", "considered")
+
+
 @query("historical_snapshots")
 def historical_snapshots(spark, d):
     entities, documents, observations, later = snapshot_inputs(spark, d)
@@ -79,7 +91,7 @@ def event_stream(spark, d):
 @query("stream_new_records", "select user_id, event_type, false as announced from events group by 1, 2")
 def stream_new_records(spark, d):
     out, state = scratch(spark, "new"), scratch(spark, "new-state")
-    records.stream_new_records(event_stream(spark, d), ["user_id", "event_type"], out, state).awaitTermination()
+    records.finish(records.stream_new_records(event_stream(spark, d), ["user_id", "event_type"], out, state), state)
     return spark.read.parquet(out).select("user_id", "event_type", "announced")
 
 

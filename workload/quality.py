@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitlake.operators import quality
+from pitlake.session import shared_folder
 from pitlake.sources import readers
 from workload.registry import day, derive, plain, query, table
 
@@ -193,6 +194,42 @@ def filter_equity_bulletin(spark, d):
     return out.select(day("trading_date"), "ticker", "close", "volume")
 
 
+@query("read_bulletin", """select cast(cast(l_shipdate as date) as varchar) as trade_date, l_returnflag as market, l_extendedprice as open, l_tax as close,
+  cast(l_quantity as bigint) as volume, count(*) as n from lineitem group by all""")
+def read_bulletin(spark, d):
+    """A file per ship month; the files of even months have their columns the other way round."""
+    values = {"TRADE DATE": F.date_format("l_shipdate", "yyyy-MM-dd"), "MARKET": F.col("l_returnflag"), "OPENING PRICE": F.col("l_extendedprice"), "CLOSING PRICE": F.col("l_tax"),
+              "TOTAL TRADED VOLUME": F.col("l_quantity").cast("bigint")}
+    values |= {c: F.lit("1") for c in readers.BULLETIN_COLUMNS if c not in values}
+    names = list(values)
+    lines = table(spark, d, "lineitem").withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    backwards = F.month("l_shipdate") % 2 == 0
+
+    def line(cells):
+        return F.when(backwards, F.concat_ws(";", *cells[::-1])).otherwise(F.concat_ws(";", *cells))
+
+    heads = lines.dropDuplicates(["month"]).select("month", F.inline(F.array(
+        F.struct(F.lit(0).alias("place"), F.lit(";" * (len(names) - 1)).alias("value")), F.struct(F.lit(1).alias("place"), line([F.lit(n) for n in names]).alias("value")))))
+    body = lines.select("month", F.lit(2).alias("place"), line([values[n].cast("string") for n in names]).alias("value"))
+    folder = shared_folder(spark, "bulletins")
+    heads.unionByName(body).repartition("month").sortWithinPartitions("month", "place").select("month", "value").write.partitionBy("month").text(folder)
+    out = readers.read_bulletin(spark, folder, len(names)).select("trade_date", "market", *[F.col(c).cast("double").alias(c) for c in ("open", "close")], F.col("volume").cast("bigint").alias("volume"))
+    return out.groupBy(*out.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+DISCLOSURE_ITEMS = """
+select chr(123) || '"disclosureBasic": ' || chr(123) || '"disclosureId": "d' || o_orderkey || '", "disclosureIndex": ' || o_orderkey || ', "title": " ' || o_orderpriority || ' ", "companyTitle": "C' || o_custkey ||
+  '", "stockCode": "S' || o_custkey || '", "relatedStocks": "' || case when o_orderstatus = 'F' then 'R1, R2' when o_orderstatus = 'O' then ' R3 ' else '' end ||
+  '", "publishDate": "' || case when o_orderstatus = 'P' then 'soon' else '15.0' || (1 + (o_orderkey % 9)) || '.2024 10:20:30' end || '"' || chr(125) || chr(125) as item from {orders}"""
+
+
+@query("normalize_disclosures", """select 'd' || o_orderkey as disclosure_id, case when o_orderstatus <> 'P' then '2024-0' || (1 + o_orderkey % 9) || '-15 10:20:30' end as published_at,
+  'C' || o_custkey as company_name, case when o_orderstatus = 'O' then 'R3' else 'S' || o_custkey end as ticker, o_orderpriority as title, cast(0 as integer) as attachment_count from orders""")
+def normalize_disclosures(spark, d):
+    out = readers.normalize_disclosures(derive(spark, d, DISCLOSURE_ITEMS))
+    return out.select("disclosure_id", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), "company_name", "ticker", "title", "attachment_count")
+
+
 @query("first_write_wins", """with days as (select user_id, cast(ts as date) as day, min(event_id) as event_id from events group by 1, 2)
 select user_id, cast(day as varchar) as day, event_id from days where not exists (
   select 1 from events t where t.user_id = days.user_id and cast(t.ts as date) = days.day and t.event_type = 'click')""")
