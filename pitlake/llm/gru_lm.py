@@ -20,11 +20,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitlake.llm.common import as_bytes, numbered, row_batches
@@ -83,6 +84,7 @@ class Lexicon:
     """What every task knows: frequent words, the network's ids, and totals of the suffix classes."""
 
     head: dict[bytes, int]  # word -> rank by count
+    net_id: np.ndarray  # network id by rank
     log_count: np.ndarray  # log10(count + 1) by rank
     tail_log: np.ndarray  # log10 of the denominator of each suffix class
     start: np.ndarray  # log-probabilities of classes, then of words in classes, from counts
@@ -117,27 +119,29 @@ def lexicon(counts: DataFrame, head_words: int = HEAD_WORDS) -> Lexicon:
     mass = inner.reshape(CLASSES, CLASS_WORDS)
     outer = np.concatenate([mass.sum(axis=1), of_class[0] + 1.0])
     start = np.concatenate([np.log(outer / outer.sum()), np.log(mass / mass.sum(axis=1, keepdims=True)).ravel()])
-    return Lexicon({w: i for i, (w, _) in enumerate(found)}, np.log10(np.array([n for _, n in found], np.float64) + 1), np.log10(of_class.sum(axis=0) + 1.0), start, total, distinct)
+    net_id = np.array([i if i < size else size + suffix_class(w) for i, (w, _) in enumerate(found)] + [0], np.int64)  # the last one is for rank -1
+    return Lexicon({w: i for i, (w, _) in enumerate(found)}, net_id, np.log10(np.array([n for _, n in found], np.float64) + 1), np.log10(of_class.sum(axis=0) + 1.0), start, total, distinct)
 
 
 def token_ids(words: list[bytes], lex: Lexicon) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(network ids with the end token last, ranks or -1, words that are not frequent)."""
+    """(network ids with the end token last, ranks or -1, words that are not frequent). Appends the end token to ``words``."""
     get = lex.head.get
-    ranks = np.array([get(w, -1) for w in words] + [0 if END in lex.head else -1], np.int64)
-    ids = ranks.copy()
-    outside = np.nonzero((ranks < 0) | (ranks >= lex.vocabulary))[0]
-    ids[outside] = [lex.vocabulary + suffix_class(words[i] if i < len(words) else END) for i in outside]
+    words.append(END)
+    ranks = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+    ids = lex.net_id[ranks]
     rare = np.nonzero(ranks < 0)[0]
-    return ids, ranks, [words[i] if i < len(words) else END for i in rare]
+    unknown = [words[i] for i in rare.tolist()]
+    ids[rare] = [lex.vocabulary + suffix_class(w) for w in unknown]
+    return ids, ranks, unknown
 
 
 # --- network -----------------------------------------------------------------------------------------------------------------------
 
 
 def shapes(hidden: int = HIDDEN) -> dict[str, tuple[int, ...]]:
+    """Input rows, recurrent weights, class weights and word weights by class; the last row of the output weights meets a state of one."""
     inputs = CLASSES * CLASS_WORDS + SUFFIXES
-    return {"x": (inputs, 3 * hidden), "w": (hidden, 3 * hidden), "c": (hidden, CLASSES + SUFFIXES), "cb": (CLASSES + SUFFIXES,),
-            "o": (CLASSES, hidden, CLASS_WORDS), "ob": (CLASSES, CLASS_WORDS)}
+    return {"x": (inputs, 3 * hidden), "w": (hidden, 3 * hidden), "c": (hidden + 1, CLASSES + SUFFIXES), "o": (CLASSES, hidden + 1, CLASS_WORDS)}
 
 
 def initial(start: np.ndarray, hidden: int = HIDDEN, seed: int = 5) -> dict[str, np.ndarray]:
@@ -145,8 +149,8 @@ def initial(start: np.ndarray, hidden: int = HIDDEN, seed: int = 5) -> dict[str,
     rng, out = np.random.default_rng(seed), {}
     for name, shape in shapes(hidden).items():
         out[name] = rng.normal(0, 0.3 if name == "x" else hidden ** -0.5, shape).astype(np.float32) if name in "xw" else np.zeros(shape, np.float32)
-    out["cb"][:] = start[:CLASSES + SUFFIXES]
-    out["ob"][:] = start[CLASSES + SUFFIXES:].reshape(CLASSES, CLASS_WORDS)
+    out["c"][-1] = start[:CLASSES + SUFFIXES]
+    out["o"][:, -1] = start[CLASSES + SUFFIXES:].reshape(CLASSES, CLASS_WORDS)
     return out
 
 
@@ -164,113 +168,147 @@ def unflat(vector: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def exponentials(weights: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """exp(weights.T @ states - shift) and the shift, by column. States lie in [-1, 1], so small weights need no shift at all."""
+    out, shift = weights.T @ states, 0.0
+    if float(np.abs(weights).sum(axis=0).max()) > 60:
+        shift = out.max(axis=0)
+        out -= shift
+    return np.exp(out, out=out), shift
 
 
 class Network:
-    """GRU over windows of ``steps`` x lanes tokens; the state of every lane goes on from window to window."""
+    """GRU over windows of ``steps`` x lanes tokens; the state of every lane goes on from window to window.
+
+    Inside, lanes are the last axis, so that gates are contiguous slices.
+    """
 
     def __init__(self, params: dict[str, np.ndarray], lanes: int):
         self.p, self.hidden = params, params["w"].shape[0]
-        self.state = np.zeros((lanes, self.hidden), np.float32)
+        self.state = np.zeros((self.hidden, lanes), np.float32)
         self.moments: dict[str, list[np.ndarray]] | None = None
         self.updates = 0
 
     def keep(self, lanes: np.ndarray) -> None:
-        if len(lanes) < len(self.state):
-            self.state = self.state[lanes]
+        if len(lanes) < self.state.shape[1]:
+            self.state = self.state[:, lanes]
 
     def forward(self, inputs: np.ndarray, fresh: np.ndarray, keep: bool) -> tuple:
-        """States after each input. ``fresh``: a document starts here, so the state starts at zero."""
+        """States (hidden and a row of ones, tokens) after each input. ``fresh``: a document starts here, so the state starts at zero."""
         steps, lanes = inputs.shape
-        n, w, h = self.hidden, self.p["w"], self.state
-        given = self.p["x"][inputs]
-        out = np.empty((steps, lanes, n), np.float32)
-        before, gates, inner = (np.empty((steps, lanes, k), np.float32) for k in (n, 3 * n, n)) if keep else (None, None, None)
+        n, h, turned = self.hidden, self.state, np.ascontiguousarray(self.p["w"].T)
+        given = np.ascontiguousarray(self.p["x"][inputs].transpose(0, 2, 1))
+        out = np.ones((steps, n + 1, lanes), h.dtype)
+        before, inner = (np.empty((steps, n, lanes), h.dtype) for _ in range(2)) if keep else (None, None)
         any_fresh = fresh.any(axis=1)
         for t in range(steps):
             if any_fresh[t]:
-                h = h * ~fresh[t][:, None]
-            a, g = h @ w, given[t]
-            zr = sigmoid(g[:, :2 * n] + a[:, :2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(g[:, 2 * n:] + r * a[:, 2 * n:])
+                h = h * ~fresh[t]
+            a, gate = turned @ h, given[t]
+            gate[:2 * n] += a[:2 * n]
+            zr = sigmoid(gate[:2 * n])
+            new = gate[2 * n:]
+            new += zr[n:] * a[2 * n:]
+            np.tanh(new, out=new)
             if keep:
-                before[t], gates[t, :, :2 * n], gates[t, :, 2 * n:], inner[t] = h, zr, new, a[:, 2 * n:]
-            h = new + z * (h - new)
-            out[t] = h
+                before[t], inner[t] = h, a[2 * n:]
+            h = h - new
+            h *= zr[:n]
+            h += new
+            out[t, :n] = h
         self.state = h
-        return out, before, gates, inner
-
-    def outputs(self, states: np.ndarray, targets: np.ndarray, mask: np.ndarray, grads: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log-probability of each target, and with ``grads`` the gradient by the states (parameter gradients are put there)."""
-        p, inside = self.p, targets < CLASSES * CLASS_WORDS
+        return out.transpose(1, 0, 2).reshape(n + 1, -1), before, given, inner
+
+    def outputs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Log-probability of each target given the states (hidden and a row of ones, tokens)."""
+        group, order, edges, word = self.grouped(targets)
+        tokens = np.arange(len(targets))
+        said = self.logs(self.p["c"], states, group, tokens)
+        own, told = states[:, order], np.empty(len(order))
+        for c in range(CLASSES):
+            at = slice(edges[c], edges[c + 1])
+            if at.start < at.stop:
+                told[at] = self.logs(self.p["o"][c], own[:, at], word[at], tokens[: at.stop - at.start])
+        said[order] += told
+        return said
+
+    @staticmethod
+    def logs(weights: np.ndarray, states: np.ndarray, picked: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        out, shift = exponentials(weights, states)
+        return np.einsum("ij,ij->j", weights[:, picked], states).astype(np.float64) - shift - np.log(out.sum(axis=0))
+
+    @staticmethod
+    def grouped(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Class of each target; the targets that are words of the network sorted by class, where classes begin, and their words."""
+        inside = targets < CLASSES * CLASS_WORDS
         group = np.where(inside, targets // CLASS_WORDS, targets - CLASSES * CLASS_WORDS + CLASSES)
-        rows = np.arange(len(targets))
-        scores = log_softmax(states @ p["c"] + p["cb"])
-        said = scores[rows, group].astype(np.float64)
-        back = None
-        if grads is not None:
-            np.exp(scores, out=scores)
-            scores[rows, group] -= 1
-            scores *= mask[:, None]
-            grads["c"], grads["cb"], back = states.T @ scores, scores.sum(axis=0), scores @ p["c"].T
-            grads["o"], grads["ob"] = np.zeros_like(p["o"]), np.zeros_like(p["ob"])
-        order = np.argsort(np.where(inside, group, CLASSES), kind="stable")
-        edges = np.searchsorted(group[order][: int(inside.sum())], np.arange(CLASSES + 1))
+        order = np.argsort(np.where(inside, group, CLASSES).astype(np.int8), kind="stable")[: int(inside.sum())]
+        return group, order, np.searchsorted(group[order], np.arange(CLASSES + 1)), targets[order] % CLASS_WORDS
+
+    def slopes(self, states: np.ndarray, targets: np.ndarray, weight: np.ndarray, grads: dict[str, np.ndarray]) -> np.ndarray:
+        """Gradient of the weighted cross-entropy by the states; those of the output weights are put into ``grads``."""
+        group, order, edges, word = self.grouped(targets)
+        tokens = np.arange(len(targets))
+
+        def one(weights: np.ndarray, here: np.ndarray, picked: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            out, _ = exponentials(weights, here)
+            out *= share / out.sum(axis=0)
+            out[picked, tokens[: len(picked)]] -= share
+            return here @ out.T, weights[:-1] @ out
+
+        grads["c"], back = one(self.p["c"], states, group, weight)
+        grads["o"], own, near, share = np.zeros_like(self.p["o"]), states[:, order], np.empty((self.hidden, len(order)), states.dtype), weight[order]
         for c in range(CLASSES):
-            at = order[edges[c]:edges[c + 1]]
-            if not len(at):
-                continue
-            own, word, near = states[at], targets[at] - c * CLASS_WORDS, np.arange(len(at))
-            inner = log_softmax(own @ p["o"][c] + p["ob"][c])
-            said[at] += inner[near, word]
-            if grads is not None:
-                np.exp(inner, out=inner)
-                inner[near, word] -= 1
-                inner *= mask[at][:, None]
-                grads["o"][c], grads["ob"][c] = own.T @ inner, inner.sum(axis=0)
-                back[at] += inner @ p["o"][c].T
-        return said, back
+            at = slice(edges[c], edges[c + 1])
+            if at.start < at.stop:
+                grads["o"][c], near[:, at] = one(self.p["o"][c], own[:, at], word[at], share[at])
+        back[:, order] += near
+        return back
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, mask: np.ndarray, rate: float) -> None:
         """One truncated backpropagation over a window, then an Adam step."""
-        n, w = self.hidden, self.p["w"]
+        n = self.hidden
         steps, lanes = inputs.shape
         states, before, gates, inner = self.forward(inputs, fresh, True)
         grads: dict[str, np.ndarray] = {}
-        weight = mask.ravel().astype(np.float32) / max(1.0, mask.sum())
-        _, back = self.outputs(states.reshape(-1, n), targets.ravel(), weight, grads)
-        back = back.reshape(steps, lanes, n)
-        into, through = np.empty((steps, lanes, 3 * n), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
-        turned, onward = np.ascontiguousarray(w.T), np.zeros((lanes, n), np.float32)
+        weight = (mask.ravel() / max(1.0, mask.sum())).astype(states.dtype)
+        back = self.slopes(states, targets.ravel(), weight, grads)
+        back = np.ascontiguousarray(back.reshape(n, steps, lanes).transpose(1, 0, 2))
+        into, through = np.empty((steps, 3 * n, lanes), states.dtype), np.empty((steps, 3 * n, lanes), states.dtype)
+        onward = np.zeros((n, lanes), states.dtype)
         any_fresh = fresh.any(axis=1)
         for t in range(steps - 1, -1, -1):
-            d = back[t] + onward
-            zr, new, h = gates[t, :, :2 * n], gates[t, :, 2 * n:], before[t]
-            z, r = zr[:, :n], zr[:, n:]
-            d_new = d * (1 - z) * (1 - new * new)
-            slope = zr * (1 - zr)
-            into[t, :, :n] = d * (h - new) * slope[:, :n]
-            into[t, :, n:2 * n] = d_new * inner[t] * slope[:, n:]
-            into[t, :, 2 * n:] = d_new
-            through[t, :, :2 * n] = into[t, :, :2 * n]
-            through[t, :, 2 * n:] = d_new * r
-            onward = d * z + through[t] @ turned
+            d = back[t]
+            d += onward
+            zr, new = gates[t, :2 * n], gates[t, 2 * n:]
+            z, r, given, passed = zr[:n], zr[n:], into[t], through[t]
+            d_new = new * new
+            np.subtract(1, d_new, out=d_new)
+            onward = d * z
+            d_new *= d - onward
+            given[2 * n:] = d_new
+            np.multiply(d, before[t] - new, out=given[:n])
+            np.multiply(d_new, inner[t], out=given[n:2 * n])
+            given[:2 * n] *= zr * (1 - zr)
+            passed[:2 * n] = given[:2 * n]
+            np.multiply(d_new, r, out=passed[2 * n:])
+            onward += self.p["w"] @ passed
             if any_fresh[t]:
-                onward *= ~fresh[t][:, None]
-        grads["w"] = before.reshape(-1, n).T @ through.reshape(-1, 3 * n)
+                onward *= ~fresh[t]
+        grads["w"] = before.transpose(1, 0, 2).reshape(n, -1) @ through.transpose(1, 0, 2).reshape(3 * n, -1).T
         ids = inputs.ravel()
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.int16), kind="stable")
         used, first = np.unique(ids[order], return_index=True)
         grads["x"] = np.zeros_like(self.p["x"])
-        grads["x"][used] = np.add.reduceat(into.reshape(-1, 3 * n)[order], first, axis=0)
+        grads["x"][used] = np.add.reduceat(into.transpose(0, 2, 1).reshape(-1, 3 * n)[order], first, axis=0)
         self.adam(grads, rate)
 
     def adam(self, grads: dict[str, np.ndarray], rate: float, slow: float = 0.9, slower: float = 0.99) -> None:
@@ -333,19 +371,18 @@ class Lanes:
 # --- training ----------------------------------------------------------------------------------------------------------------------
 
 
-def train_round(texts: DataFrame, lex, params, rate: float) -> DataFrame:
-    """One model per task: (chunk, part, weight, vector). ``lex`` and ``params`` are broadcasts of fixed size."""
+def id_arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.int16) for b in column.to_pylist()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), 0
 
-        def documents() -> Iterator[tuple[int, np.ndarray]]:
-            for batch in row_batches(batches):
-                for text in batch.column(0).to_pylist():
-                    yield 0, token_ids(words_of(text), lex.value)[0]
+def train_round(encoded: DataFrame, params, rate: float) -> DataFrame:
+    """One model per task: (chunk, part, weight, vector). ``params`` is a broadcast of fixed size."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0
+        documents = ((0, ids) for batch in row_batches(batches) for ids in id_arrays(batch.column(0)))
         net = Network(unflat(params.value.copy()), LANES)
-        for lanes, inputs, targets, fresh, mask, _ in Lanes(documents(), LANES, STEPS):
+        for lanes, inputs, targets, fresh, mask, _ in Lanes(documents, LANES, STEPS):
             net.keep(lanes)
             net.learn(inputs, targets, fresh, mask, rate * min(1.0, (net.updates + 1) / 10))
             seen += int(mask.sum())
@@ -354,7 +391,7 @@ def train_round(texts: DataFrame, lex, params, rate: float) -> DataFrame:
             pieces = [vector[i:i + CHUNK].tobytes() for i in range(0, len(vector), CHUNK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int64()), pa.array([part] * len(pieces), pa.int64()), pa.array([float(seen)] * len(pieces)), pa.array(pieces, pa.binary())], ["chunk", "part", "weight", "vector"])
 
-    return texts.mapInArrow(run, "chunk long, part long, weight double, vector binary")
+    return encoded.select("ids").mapInArrow(run, "chunk long, part long, weight double, vector binary")
 
 
 def averaged(models: DataFrame, parts: int) -> list[bytes]:
@@ -372,15 +409,15 @@ def averaged(models: DataFrame, parts: int) -> list[bytes]:
             return [bytes(r["vector"]) for r in models.orderBy("chunk").collect()]
 
 
-def train(texts: DataFrame, lex) -> np.ndarray:
-    """Parameters after both rounds. ``texts`` (doc_id, text as bytes): training documents only."""
-    spark = texts.sparkSession
-    vector = flat(initial(lex.value.start))
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(FIRST_ROUND)) == 0
-    for own, rate in ((texts.where(pick), RATE), (texts.where(~pick), RATE / 2)):
+def train(encoded: DataFrame, start: np.ndarray) -> np.ndarray:
+    """Parameters after both rounds over ``encoded`` (uid, ids), training documents only."""
+    spark = encoded.sparkSession
+    vector = flat(initial(start))
+    pick = F.pmod(F.xxhash64("uid"), F.lit(FIRST_ROUND)) == 0
+    for own, rate in ((encoded.where(pick), RATE), (encoded.where(~pick), RATE / 2)):
         params = spark.sparkContext.broadcast(vector)
         # a model per task: written once, so that a lost executor does not train again what others have averaged
-        models = stage(train_round(own.select("text"), lex, params, rate), "models")
+        models = stage(train_round(own, params, rate), "models")
         last = models.agg(F.max("part")).first()[0]
         params.unpersist()
         if last is not None:
@@ -390,69 +427,70 @@ def train(texts: DataFrame, lex) -> np.ndarray:
 
 # --- scoring -----------------------------------------------------------------------------------------------------------------------
 
-PART = "uid long, doc_id {kind}, held_out boolean, n_tokens long, n_frequent long, frequent_log double, network_log double, tail_log double, rare array<binary>, rare_n array<long>"
+PART = "doc_id {kind}, held_out boolean, n_tokens long, n_frequent long, frequent_log double, tail_log double, rare array<binary>, rare_n array<long>, ids binary"
 
 
-def task_scores(texts: DataFrame, lex, params) -> DataFrame:
-    """Per document what its own text and the broadcast lexicon tell; ``rare`` words still need their counts."""
-    schema = PART.format(kind=texts.schema["doc_id"].dataType.simpleString())
+def encode(docs: DataFrame, lex) -> DataFrame:
+    """Per document what its own text and the broadcast lexicon tell: sums over frequent words, ``rare`` words that still need their counts, and
+    the network's ids as 16-bit numbers, so that training and scoring do not split texts again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, key_kind = lex.value, {}, []
+        known = lex.value
+        names = [f.split()[0] for f in PART.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
+        for batch in row_batches(batches):
+            out = []
+            for text in batch.column(2).to_pylist():
+                ids, ranks, rare = token_ids(words_of(text), known)
+                frequent, counts = ranks[ranks >= 0], Counter(rare)
+                tail = ids[ids >= known.vocabulary] - known.vocabulary
+                inner = known.log_count[frequent[frequent >= known.vocabulary]].sum() - known.tail_log[tail].sum()
+                out.append((len(ids), len(frequent), float(known.log_count[frequent].sum()), float(inner), list(counts), list(counts.values()), ids.astype(np.int16).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], names)
+
+    return docs.select("doc_id", is_held_out("doc_id").alias("held_out"), as_bytes("text")).mapInArrow(run, PART.format(kind=docs.schema["doc_id"].dataType.simpleString()))
+
+
+def network_scores(encoded: DataFrame, params) -> DataFrame:
+    """(uid, network_log): log10 probability of every document's classes, and of its words inside the network's classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, float] = {}
 
         def documents() -> Iterator[tuple[int, np.ndarray]]:
-            number = 0
             for batch in row_batches(batches):
-                key_kind.append(batch.column(1).type)
-                columns = [batch.column(i).to_pylist() for i in range(4)]
-                for uid, doc_id, out, text in zip(*columns, strict=True):
-                    ids, ranks, rare = token_ids(words_of(text), known)
-                    tail = ids[ids >= known.vocabulary] - known.vocabulary
-                    frequent = ranks[ranks >= 0]
-                    counts = Counter(rare)
-                    inner = known.log_count[frequent[frequent >= known.vocabulary]].sum()
-                    held[number] = [uid, doc_id, out, len(ids), len(frequent), float(known.log_count[frequent].sum()), 0.0, float(inner - known.tail_log[tail].sum()), list(counts), list(counts.values())]
-                    yield number, ids
-                    number += 1
+                for uid, ids in zip(batch.column(0).to_pylist(), id_arrays(batch.column(1)), strict=True):
+                    sums[uid] = 0.0
+                    yield uid, ids
 
-        net = Network(unflat(params.value.copy()), LANES)
-        source = Lanes(documents(), LANES, STEPS)
+        net, source = Network(unflat(params.value.copy()), LANES), Lanes(documents(), LANES, STEPS)
         for lanes, inputs, targets, fresh, mask, keys in source:
             net.keep(lanes)
-            states = net.forward(inputs, fresh, False)[0]
-            said, _ = net.outputs(states.reshape(-1, net.hidden), targets.ravel(), mask.ravel(), None)
-            own = mask.ravel()
-            numbers, at = np.unique(keys.ravel()[own], return_inverse=True)
-            sums = np.bincount(at, said[own])
-            for number, value in zip(numbers.tolist(), sums.tolist(), strict=True):
-                held[number][6] += value / math.log(10)
+            said = net.outputs(net.forward(inputs, fresh, False)[0], targets.ravel())
+            real = mask.ravel()
+            uids, at = np.unique(keys.ravel()[real], return_inverse=True)
+            for uid, value in zip(uids.tolist(), np.bincount(at, said[real]).tolist(), strict=True):
+                sums[uid] += value / math.log(10)
             reading = {int(k) for k, ids in zip(source.key, source.ids, strict=True) if ids is not None}
-            done = [k for k in numbers.tolist() if k not in reading]
+            done = [k for k in uids.tolist() if k not in reading]
             if done:
-                yield rows([held.pop(k) for k in done], key_kind[0])
-
-    def rows(found: list[list], key_kind: pa.DataType) -> pa.RecordBatch:
-        kinds = [pa.int64(), key_kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-        names = [f.split()[0] for f in PART.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64()), pa.array([sums.pop(k) for k in done])], ["uid", "network_log"])
 
-    return texts.mapInArrow(run, schema)
+    return encoded.select("uid", "ids").mapInArrow(run, "uid long, network_log double")
 
 
 def score(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark: SparkSession = docs.sparkSession
-    rows = numbered(docs, [F.col("doc_id"), is_held_out("doc_id").alias("held_out"), as_bytes("text").alias("text")], ["uid"], "texts")
-    training = rows.where("not held_out")
-    counts = stage(word_counts(training.select("text")), "counts")
+    context = docs.sparkSession.sparkContext
+    counts = stage(word_counts(docs.where(~is_held_out("doc_id")).select(as_bytes("text"))), "counts")
     found = lexicon(counts, head_words)
-    lex = spark.sparkContext.broadcast(found)
-    params = spark.sparkContext.broadcast(train(training.select("doc_id", "text"), lex))
-    parts = stage(task_scores(rows, lex, params), "parts")
-    rare = parts.select("uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("uid", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("k"))
+    encoded = numbered(encode(docs, context.broadcast(found)), [F.col("*")], ["uid"], "encoded")
+    params = context.broadcast(train(encoded.where("not held_out").select("uid", "ids"), found.start))
+    network = stage(network_scores(encoded, params), "network")
+    rare = encoded.select("uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("uid", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("k"))
     counted = rare.join(counts, "word").groupBy("uid").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("rare_log"))
     each = math.log10(found.total + found.distinct + 1)
     rare_known, rare_log = F.coalesce("rare_known", F.lit(0)), F.coalesce("rare_log", F.lit(0.0))
-    return parts.drop("rare", "rare_n").join(counted, "uid", "left").select(
+    return encoded.drop("rare", "rare_n", "ids").join(network, "uid").join(counted, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_frequent") + rare_known).alias("n_known"), F.lit(found.total).cast("long").alias("train_tokens"),
         (F.col("frequent_log") + rare_log - F.col("n_tokens") * F.lit(each)).alias("base_score"), (F.col("network_log") + F.col("tail_log") + rare_log).alias("score"))
