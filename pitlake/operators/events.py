@@ -82,14 +82,14 @@ def relative_returns(metrics: DataFrame, anchors: DataFrame, index: DataFrame, h
     return joined.select("_row.*", *[f"relative_{h}" for h in horizons])
 
 
-def build_outcomes(anchors: DataFrame, prices: DataFrame, index: DataFrame, reference_date=None, announcements: DataFrame | None = None) -> DataFrame:
+def build_outcomes(anchors: DataFrame, prices: DataFrame, index: DataFrame, reference_date=None, announcements: DataFrame | None = None, lookahead: int = LOOKAHEAD_DAYS) -> DataFrame:
     """One outcome row per anchor. An unresolved start (NULL) keeps its row with count 0 and NULL measures.
 
     The price window holds at most one row per day, so counts and measures come from one numbering of it.
     ``announcements`` (entity_id, announced_on) adds the sorted distinct announcement dates, bounded by the calendar.
     """
     anchors = anchors.select("entity_id", "offer_price", "start_date")
-    inside = sessions_from_start(prices, anchors.where(F.col("start_date").isNotNull()), reference_date)
+    inside = sessions_from_start(prices, anchors.where(F.col("start_date").isNotNull()), reference_date, lookahead)
     forward = Window.partitionBy("entity_id").orderBy("obs_date")
     metrics = event_metrics(inside.withColumn("session", F.row_number().over(forward)))
     out = relative_returns(anchors.join(metrics, "entity_id", "left"), anchors, index)

@@ -332,7 +332,8 @@ def merge_evidence(
 
     Per source the first observation by ``order`` counts. All equal: the winner is the first source in the field's own order
     (``leading``: field -> source order, default ``sources``). Unequal: conflicting, no value. All kept observations stay in
-    ``observations``. ``observations`` needs entity_id, field, source_type and the named columns.
+    ``observations``. ``observations`` needs entity_id, field, source_type and the named columns; rows of a source that is not listed take no
+    part, and :func:`unlisted_sources` returns them.
     """
     order = [c for c in order if c in observations.columns]
     values = [c for c in values if c in observations.columns]
@@ -358,6 +359,11 @@ def merge_evidence(
         F.size("observations").alias("source_count"), "observations")
 
 
+def unlisted_sources(observations: DataFrame, sources: Sequence[str] = rules.SOURCE_ORDER) -> DataFrame:
+    """What :func:`merge_evidence` leaves out: observations whose source is NULL or not listed."""
+    return observations.where(~F.coalesce(F.col("source_type").isin(*sources), F.lit(False)))
+
+
 OFFERING_LEADING = {field: rules.ANNOUNCEMENT_ORDER for field in rules.ANNOUNCEMENT_FIELDS}
 
 

@@ -161,9 +161,8 @@ def validate_citations(outputs: DataFrame, allowed: DataFrame) -> DataFrame:
 def validate_grounding(claims: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Claims holding no term of their entity's vocabulary; an empty vocabulary allows no claim.
 
-    ``claims``: entity_id, claim; ``vocabulary``: entity_id, term, a handful of labels per entity.
+    ``claims``: entity_id, claim; ``vocabulary``: entity_id, term, of any size: terms stay rows and are never gathered per entity.
     """
-    terms = vocabulary.where(_filled(F.col("term"))).groupBy("entity_id").agg(F.collect_set(fold_text(F.col("term"))).alias("_terms"))
-    judged = claims.withColumn("_folded", fold_text(F.col("claim"))).join(terms, "entity_id", "left")
-    grounded = F.coalesce(F.exists("_terms", lambda t: F.contains(F.col("_folded"), t)), F.lit(False))
-    return judged.where(~grounded).select(*columns(claims.columns))
+    terms = vocabulary.where(_filled(F.col("term"))).select(F.col("entity_id").alias("_of"), fold_text(F.col("term")).alias("_term")).distinct()
+    said = (F.col("entity_id") == F.col("_of")) & F.contains(fold_text(F.col("claim")), F.col("_term"))
+    return claims.join(terms, said, "left_anti")

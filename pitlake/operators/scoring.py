@@ -157,11 +157,6 @@ def audit_features(entities: DataFrame, documents: DataFrame, fields: Sequence[D
     return read.select("entity_id", F.inline(F.concat(plain, F.array(*derived))))
 
 
-def combine_statuses(field_status: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Worst status over several fields of one feature (any table with a ``status`` column)."""
-    return field_status.groupBy(*keys).agg(_status(F.min(_priority(F.col("status")))).alias("status"))
-
-
 def audit_derived(feature_status: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Derived features from already audited ones: the worst dependency, or DERIVABLE when all are usable.
 

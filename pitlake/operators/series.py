@@ -79,11 +79,21 @@ def yoy_by_month(points: DataFrame, by: Sequence[str], date: str = "obs_date", v
     return latest.join(base, [*by, "_base_month"], "left").select(*by, F.col("_late")[date].alias("as_of_date"), change.alias("value"))
 
 
+def single_row(df: DataFrame, name: str) -> DataFrame:
+    """The only row of ``df`` with a constant key; more than one row stops the job, none gives none."""
+    n = F.count(F.lit(1))
+    only = F.when(n <= 1, F.min(name)).otherwise(F.raise_error(F.lit("spread without keys takes one row a side")).cast(df.schema[name].dataType))
+    return df.groupBy(F.lit(1).alias("_one")).agg(only.alias(name))
+
+
 def spread(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """left - right; dated by the later side; source codes are the sorted union. Columns: as_of_date, value, source_codes."""
+    """left - right; dated by the later side; source codes are the sorted union. Columns: as_of_date, value, source_codes.
+
+    Without ``by`` each side is one value; a side with more rows stops the job instead of pairing every row with every other.
+    """
     a = left.select(*columns(by), F.struct("as_of_date", "value", "source_codes").alias("_a"))
     b = right.select(*columns(by), F.struct("as_of_date", "value", "source_codes").alias("_b"))
-    both = a.join(b, list(by)) if by else a.join(b, F.lit(True))
+    both = a.join(b, list(by)) if by else single_row(a, "_a").join(single_row(b, "_b"), "_one").drop("_one")
     return both.select(
         *columns(by),
         F.greatest("_a.as_of_date", "_b.as_of_date").alias("as_of_date"),

@@ -164,6 +164,12 @@ def restrict_sources(spark, d):
     return evidence.merge_evidence(kept, **LINE_MERGE).select("entity_id", "field", "status", "value_num")
 
 
+@query("unlisted_sources", "select l_orderkey as entity_id, l_returnflag as source_type, count(*) as n from lineitem where l_returnflag = 'N' group by 1, 2")
+def unlisted_sources(spark, d):
+    left = evidence.unlisted_sources(line_observations(spark, d), ["A", "R"]).where("field = 'tax'")
+    return left.groupBy("entity_id", "source_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("evidence_quality", f"""with {LINES},
 q as (select entity_id, field, count(*) as n, bool_or(l_linestatus = 'O') as ocr from firsts group by 1, 2)
 select entity_id, coalesce(string_agg(field, ',' order by field) filter (n > 1), '') as corroborated_fields,
