@@ -5,12 +5,15 @@ more than the radius in sum, so all other tile pairs are skipped; the rest are c
 
 Cases: a null or wordless text has fingerprint zero and is linked like any other; a text of one or two words is one shingle. Equal fingerprints
 are one point, however many documents share them. A null doc_id takes part but is never a component's name unless all are null. Repeated rows get
-equal results, ``near_dedup`` keeps one row per component: the smallest doc_id, of rows that share it the first in the written row order. Empty
-tables give empty results, other columns are carried through.
+equal results. Empty tables give empty results, other columns are carried through.
+
+``near_dedup`` is the form for filtering a corpus: it links texts that share at least 0.8 of their five-word shingles by fingerprints of 512 bits, in
+which that similarity stands out, and keeps one row per group: the smallest doc_id, of rows that share it the first in the written row order.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -180,11 +183,100 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(components(rows, radius), "fp").select("doc_id", hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, with all its columns."""
+# --- near copies by shingle similarity: the pipeline's stage -----------------------------------------------------------------------
+
+WIDE_WORDS = 8  # a wide fingerprint has 512 bits
+WIDE_SHINGLE = 5
+SIMILARITY = 0.8
+FIRST_WORD_BITS = 19  # beyond this distance in the first word alone a pair is out: over three deviations above that of similar texts
+WIDE_TILE_ROWS = 1 << 14
+BLOCK_ROWS = 64
+# Odd multipliers that turn one hash into several.
+MIXERS = [(0x9E3779B97F4A7C15 * (2 * k + 1)) & ((1 << 64) - 1) for k in range(1, WIDE_WORDS + 1)]
+
+
+def wide_fingerprint(text: bytes) -> tuple[bytes, int]:
+    """SimHash of WIDE_WORDS * 64 bits over the distinct five-word shingles of a text, and their number."""
+    words = text.lower().split()
+    if not words:
+        return bytes(8 * WIDE_WORDS), 0
+    grams = map(b" ".join, zip(*[words[i:] for i in range(WIDE_SHINGLE)], strict=False)) if len(words) > WIDE_SHINGLE else iter([b" ".join(words)])
+    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, max(1, len(words) - WIDE_SHINGLE + 1)))
+    ones = np.zeros(64 * WIDE_WORDS, np.int64)
+    for start in range(0, len(hashes), 4096):
+        part = hashes[start:start + 4096]
+        mixed = np.stack([(part ^ (part >> np.uint64(29))) * np.uint64(m) for m in MIXERS], axis=1)
+        mixed ^= mixed >> np.uint64(32)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), len(hashes)
+
+
+def wide_limit(similarity: float = SIMILARITY) -> int:
+    """Largest distance of wide fingerprints taken for similar: that of two equally long texts of this Jaccard similarity, plus one deviation."""
+    share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * WIDE_WORDS
+    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def wide_links(limit: int):
+    def listed(tiles: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = tiles.values.slice(tiles.offsets[i].as_py(), tiles.offsets[i + 1].as_py() - tiles.offsets[i].as_py())
+        return rows.field("node").to_numpy(), np.frombuffer(b"".join(rows.field("wide").to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, wa), (b, wb), found = listed(batch.column(0), i), listed(batch.column(1), i), []
+                ones_a, ones_b = (np.bitwise_count(w).sum(axis=1, dtype=np.int64) for w in (wa, wb))
+                if ones_a.min() - ones_b.max() > limit or ones_b.min() - ones_a.max() > limit:
+                    continue
+                first = np.ascontiguousarray(wb[:, 0])
+                for start in range(0, len(a), BLOCK_ROWS):
+                    block = wa[start:start + BLOCK_ROWS]
+                    x, y = np.nonzero(np.bitwise_count(block[:, :1] ^ first[None, :]) <= FIRST_WORD_BITS)
+                    apart = a[start + x] != b[y]
+                    x, y = x[apart], y[apart]
+                    close = np.bitwise_count(block[x] ^ wb[y]).sum(axis=1, dtype=np.int64) <= limit
+                    if close.any():
+                        found.append(spanning(a[start + x[close]], b[y[close]]))
+                if found:
+                    u, v = spanning(*[np.concatenate(c) for c in zip(*found, strict=True)])
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return run
+
+
+def similar_links(points: DataFrame, similarity: float = SIMILARITY, tile_rows: int = WIDE_TILE_ROWS) -> DataFrame:
+    """Links (u, v), u > v, that connect nodes of similar texts. ``points``: node, wide, shingles.
+
+    Texts of this similarity have shingle counts within a factor of 1 / similarity, so tiles hold one band of counts and meet only those of their own
+    and the next band; tile pairs whose population counts differ beyond the limit are skipped; the rest are compared whole.
+    """
+    band = F.floor(F.log(F.greatest("shingles", F.lit(1))) / F.lit(-math.log(similarity)) + F.lit(1e-9))
+    keyed = points.select("node", "wide", band.alias("band"))
+    sizes = keyed.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("parts"))
+    tiles = stage(keyed.join(F.broadcast(sizes), "band").groupBy("band", F.pmod(F.xxhash64("node"), "parts").alias("part")).agg(F.collect_list(F.struct("node", "wide")).alias("rows")), "tiles")
+    left = tiles.select(F.col("rows").alias("a"), F.col("band").alias("own"), F.col("part").alias("at"), F.explode(F.array(F.lit(0), F.lit(1))).alias("step"))
+    pairs = left.join(tiles, F.col("own") + F.col("step") == F.col("band")).where("step <> 0 or at <= part")
+    return pairs.select("a", F.col("rows").alias("b")).mapInArrow(wide_links(wide_limit(similarity)), "u long, v long")
+
+
+def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, tile_rows: int = WIDE_TILE_ROWS) -> DataFrame:
+    """One document of each group of near copies, with all its columns.
+
+    Near copies share at least ``similarity`` of their five-word shingles, as their wide fingerprints tell; groups are what links connect.
+    """
     (uid,) = fresh(docs.columns, "uid")
     rows = numbered(docs, [F.col("*")], [uid], "rows")
-    marks = stage(fingerprints(rows.select(F.col(uid).alias("uid"), "doc_id", "text")), "fingerprints")
-    named = marks.join(components(marks, radius), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = named.groupBy("label").agg(F.min("uid").alias(uid)).select(uid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_batches(batches):
+            found = [wide_fingerprint(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64())], ["uid", "doc_id", "wide", "shingles"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marks = stage(rows.select(F.col(uid).alias("uid"), "doc_id", as_bytes("text")).mapInArrow(run, f"uid long, doc_id {kind}, wide binary, shingles long"), "wide")
+    points = stage(marks.groupBy("wide", "shingles").agg(F.min("uid").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best")), "points")
+    linked = stars(similar_links(points, similarity, tile_rows))
+    labelled = points.select("node", "best").join(linked.withColumnRenamed("u", "node"), "node", "left")
+    stays = labelled.groupBy(F.coalesce("v", "node").alias("label")).agg(F.min("best").alias("best")).select(F.col("best.uid").alias(uid))
     return rows.join(stage(stays, "stays"), uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

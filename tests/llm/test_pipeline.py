@@ -5,12 +5,23 @@ import sys
 
 import corpus_pipeline
 from pitlake.llm import exact_dedup, quality_rules, simhash
-from tests.llm.test_simhash import brute as near_brute
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF = "/root/testdata/sf0.001"
 
 
+def near_brute(docs):
+    """Smallest doc_id of each group of texts whose wide fingerprints link them."""
+    wide = [int.from_bytes(simhash.wide_fingerprint(t)[0], "little") for _, t in docs]
+    group = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if (wide[i] ^ wide[j]).bit_count() <= simhash.wide_limit() and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return sorted(min(docs[k][0] for k in range(len(docs)) if group[k] == g) for g in set(group))
+
+
 def test_stages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
@@ -30,7 +41,7 @@ def test_stages_equal_brute_force(spark):
     assert sorted(r.doc_id for r in single.collect()) == sorted(best.values())
 
     apart = step["near_dedup"](spark, single, SF).cache()
-    assert sorted(r.doc_id for r in apart.collect()) == sorted({c for _, _, c in near_brute([(r.doc_id, r.text) for r in single.collect()])})
+    assert sorted(r.doc_id for r in apart.collect()) == near_brute([(r.doc_id, r.text.encode()) for r in single.collect()])
 
     mixed = step["mixing"](spark, apart, SF).cache()
     assert mixed.columns == docs.columns and 0 < mixed.count() <= apart.count()

@@ -94,16 +94,53 @@ def test_neighbour_counts():
     assert len(simhash.half_neighbours(4, 2)) == 21 and len(simhash.half_neighbours(8, 2)) == 73
 
 
-def test_near_dedup_keeps_one_of_each(spark):
-    docs = [(d, t, "s", 1, 2) for d, t in corpus()]
-    df = spark.createDataFrame(docs, "doc_id long, text string, source string, fp int, uid int")
-    got = simhash.near_dedup(df)
-    assert got.columns == df.columns
-    components = {}
-    for (doc_id, fp, component) in brute([(d, t) for d, t, *_ in docs]):
-        components.setdefault(component if component is not None else fp, doc_id)
-    assert got.count() == len(components)
-    assert sorted(r.doc_id for r in got.where("doc_id is not null").collect()) == sorted(c for c in components if isinstance(c, int))
+def jaccard(a, b):
+    x, y = ({tuple(t.lower().split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def varied(base, n_changes, rng):
+    out = list(base)
+    for i in rng.sample(range(len(base)), n_changes):
+        out[i] = f"new{rng.random()}"
+    return out
+
+
+def near_corpus(seed=8):
+    """Groups of copies that share well over 0.8, texts that share clearly less, short texts, and the odd cases."""
+    rng, docs = random.Random(seed), []
+    for g in range(25):
+        base = [rng.choice("abcdefghij") + str(rng.randrange(900)) for _ in range(rng.choice([120, 400, 1500]))]
+        docs.append((1000 * g, " ".join(base), "group", g))
+        docs += [(1000 * g + k, " ".join(varied(base, max(1, len(base) // 150), rng)).upper(), "group", g) for k in range(1, 4)]
+        docs.append((1000 * g + 500, " ".join(varied(base, len(base) // 10, rng)), "alone", 100 + g))
+    docs += [(90_000, None, "blank", 200), (90_001, " ", "blank", 200), (90_002, "two words", "alone", 201), (90_003, "two words", "alone", 201), (None, "two words", "alone", 201)]
+    return docs
+
+
+def test_near_dedup_keeps_one_of_each_group(spark):
+    docs = near_corpus()
+    rng = random.Random(1)
+    df = spark.createDataFrame([(d, t, g, n, 2) for d, t, g, n in rng.sample(docs, len(docs))], "doc_id long, text string, source string, fp int, uid int").repartition(4)
+    want = {}
+    for doc_id, _, _, group in docs:
+        if doc_id is not None:
+            want[group] = min(doc_id, want.get(group, doc_id))
+    for tile_rows in (1 << 14, 7):
+        got = simhash.near_dedup(df, tile_rows=tile_rows)
+        assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == sorted(want.values())
+    assert all(jaccard(docs[5 * g][1], docs[5 * g + 1][1]) > 0.85 and jaccard(docs[5 * g][1], docs[5 * g + 4][1]) < 0.65 for g in range(25))
+
+
+def test_wide_fingerprint_follows_similarity():
+    rng = random.Random(3)
+    for changes in (4, 8, 40):
+        base = [str(rng.randrange(10**6)) for _ in range(600)]
+        other = " ".join(varied(base, changes, rng))
+        j = jaccard(" ".join(base), other)
+        x, y = (np.frombuffer(simhash.wide_fingerprint(t.encode())[0], np.uint64) for t in (" ".join(base), other))
+        expected = np.arccos(2 * j / (1 + j)) / np.pi * 512
+        assert abs(int(np.bitwise_count(x ^ y).sum()) - expected) < 40
 
 
 def test_empty(spark):
