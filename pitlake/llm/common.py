@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,7 +45,3 @@ def row_batches(batches: Iterable[pa.RecordBatch], most: int = 256) -> Iterator[
     for batch in batches:
         for start in range(0, batch.num_rows, most):
             yield batch.slice(start, most)
-
-
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)

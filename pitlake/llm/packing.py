@@ -10,7 +10,6 @@ reading; an empty table gives no pieces; other columns are not read. Sequence nu
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -174,7 +173,3 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
 
 def ids_crc32(ids: str = "ids") -> F.Column:
     return F.crc32(ids)
-
-
-def plain_crc32(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, "<u4").tobytes())
