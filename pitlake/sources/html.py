@@ -68,7 +68,7 @@ class _Tables(HTMLParser):
 
 
 def page_tables(pages: DataFrame) -> DataFrame:
-    """(page_id, table_rows): all table rows of a page, bounded by the page. Tasks stream pages in batches."""
+    """(page_id, table_rows): all table rows of a page, bounded by the page. Pages without a table never reach Python."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -80,7 +80,9 @@ def page_tables(pages: DataFrame) -> DataFrame:
                 out.append((page_id, [{"table_no": t, "row_no": r, "cells": cells} for t, r, cells in parser.rows]))
             yield pd.DataFrame(out, columns=["page_id", "table_rows"])
 
-    return pages.select("page_id", "html").mapInPandas(read, TABLES_SCHEMA)
+    some = F.contains(F.lower(F.coalesce("html", F.lit(""))), F.lit("<table"))
+    parsed = pages.where(some).select("page_id", "html").mapInPandas(read, TABLES_SCHEMA)
+    return parsed.unionByName(pages.where(~some).select("page_id", F.array().cast(parsed.schema["table_rows"].dataType).alias("table_rows")))
 
 
 def html_table_rows(pages: DataFrame) -> DataFrame:

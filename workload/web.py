@@ -41,14 +41,14 @@ def page_shape(spark, d):
                       F.size("download_links").alias("download_count"), F.col("text_length").cast("bigint"))
 
 
-@query("html_table_rows", """select o_custkey as page_id, row_number() over (partition by o_custkey order by o_orderkey) as row_index,
+@query("html_table_rows", """select o_custkey * 100 + year(o_orderdate) - 1990 as page_id, row_number() over (partition by o_custkey, year(o_orderdate) order by o_orderkey) as row_index,
   'Firma &' || o_orderkey as company_name, case when o_orderstatus = 'P' then 'date does not match DD.MM.YYYY' end as reason,
   case when o_orderstatus <> 'P' then cast(cast(o_orderdate as date) as varchar) end as application_date from orders""")
 def html_table_rows(spark, d):
     line = F.format_string("<tr><td>%d</td><td><b>Firma</b> &amp;%d</td><td>%s</td></tr>", "o_custkey", "o_orderkey",
                            F.when(F.col("o_orderstatus") == "P", "belirsiz").otherwise(F.date_format("o_orderdate", "dd.MM.yyyy")))
     line = F.replace(line, F.lit("</b> &amp;"), F.lit("</b> <i> &amp;</i>"))
-    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", line.alias("line")).groupBy(F.col("o_custkey").alias("page_id")).agg(
+    rows = table(spark, d, "orders").select((F.col("o_custkey") * 100 + F.year("o_orderdate") - 1990).alias("page_id"), "o_orderkey", line.alias("line")).groupBy("page_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "").alias("body"))
     head = ("<html><body><table><tr><td>menu</td></tr></table><table><tr><th>No</th><th>Şirket</th><th>Tarih</th></tr>"
             "<tr><td></td><td> </td></tr>")
