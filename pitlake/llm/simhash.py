@@ -278,5 +278,7 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, tile_rows: int =
     points = stage(marks.groupBy("wide", "shingles").agg(F.min("uid").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best")), "points")
     linked = stars(similar_links(points, similarity, tile_rows))
     labelled = points.select("node", "best").join(linked.withColumnRenamed("u", "node"), "node", "left")
-    stays = labelled.groupBy(F.coalesce("v", "node").alias("label")).agg(F.min("best").alias("best")).select(F.col("best.uid").alias(uid))
-    return rows.join(stage(stays, "stays"), uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stays = labelled.groupBy(F.coalesce("v", "node").alias("label")).agg(F.min("best").alias("best")).select(F.col("best.uid").alias("uid"))
+    # those that leave are the shorter list: while it is small enough to broadcast, texts are not shuffled
+    leave = stage(marks.select("uid").join(stays, "uid", "left_anti").select(F.col("uid").alias(uid)), "leave")
+    return rows.join(leave, uid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
