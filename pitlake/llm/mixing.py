@@ -21,7 +21,7 @@ from pitlake.llm.common import fresh
 from pitlake.session import stage
 
 AXES = ("source", "lang", "topic")
-TEMPERATURE = 0.7
+TEMPERATURES = {"source": 0.85, "lang": 0.85, "topic": 1.0}
 TOLERANCE = 1e-6
 MOST_ROUNDS = 50
 SEED = 11
@@ -103,10 +103,10 @@ def draw(doc_id: str, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 11) / F.lit(float(1 << 53))
 
 
-def weigh(rows: DataFrame, temperature: float = TEMPERATURE, shares: Mapping[str, Mapping[str | None, float]] | None = None) -> DataFrame:
-    """Probabilities per cell for ``rows`` (source, lang, topic, tokens). Axes named in ``shares`` are raked to those, others to tempered shares."""
+def weigh(rows: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES, shares: Mapping[str, Mapping[str | None, float]] | None = None) -> DataFrame:
+    """Probabilities per cell for ``rows`` (source, lang, topic, tokens). Axes named in ``shares`` are raked to those, others to tempered shares (1: as observed)."""
     cells = stage(rows.groupBy(*AXES).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")), "cells")
-    targets = {a: stage(given(cells, a, shares[a]) if shares and a in shares else tempered(cells, a, temperature), "targets") for a in AXES}
+    targets = {a: stage(given(cells, a, shares[a]) if shares and a in shares else tempered(cells, a, temperatures[a]), "targets") for a in AXES}
     return stage(probabilities(cells, targets), "probabilities")
 
 
@@ -119,17 +119,17 @@ def cell_key(*parts: str) -> Column:
     return F.to_json(F.struct(*[F.col(p).cast("string").alias(f"v{i}") for i, p in enumerate(parts)]))
 
 
-def sampled(docs: DataFrame, temperature: float = TEMPERATURE, shares: Mapping[str, Mapping[str | None, float]] | None = None) -> DataFrame:
+def sampled(docs: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES, shares: Mapping[str, Mapping[str | None, float]] | None = None) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, tokens, weight (of its cell), probability, taken."""
     rows = stage(docs.select("doc_id", "source", "lang", topic_of("text").alias("topic"), tokens("text").alias("tokens")), "measures")
-    placed = attach(rows.withColumn("cell", cell_key(*AXES)), weigh(rows, temperature, shares)).drop("cell")
+    placed = attach(rows.withColumn("cell", cell_key(*AXES)), weigh(rows, temperatures, shares)).drop("cell")
     return placed.withColumn("taken", draw("doc_id") < F.col("probability"))
 
 
-def mix(docs: DataFrame, temperature: float = TEMPERATURE, shares: Mapping[str, Mapping[str | None, float]] | None = None) -> DataFrame:
+def mix(docs: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES, shares: Mapping[str, Mapping[str | None, float]] | None = None) -> DataFrame:
     """The documents taken, with all their columns. Texts are read twice and never shuffled while the cell table is small enough to broadcast."""
     chance, topic, cell = fresh(docs.columns, "chance", "topic", "cell")
     rows = docs.select("source", "lang", topic_of("text").alias("topic"), tokens("text").alias("tokens"))
-    cells = weigh(rows, temperature, shares).select(cell_key(*AXES).alias(cell), F.col("probability").alias(chance))
+    cells = weigh(rows, temperatures, shares).select(cell_key(*AXES).alias(cell), F.col("probability").alias(chance))
     keyed = docs.withColumn(topic, topic_of("text")).withColumn(cell, cell_key("source", "lang", topic))
     return keyed.join(cells, cell).where(draw("doc_id") < F.col(chance)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -29,7 +29,7 @@ def topic(text):
     return "records" if any(text[i:i + 3].isdigit() for i in range(len(text) - 2)) else "prose"
 
 
-def brute(docs, shares=None, temperature=0.7):
+def brute(docs, shares=None):
     cells = defaultdict(int)
     for _, source, lang, text in docs:
         cells[source, lang, topic(text)] += len((text or "").split())
@@ -40,7 +40,7 @@ def brute(docs, shares=None, temperature=0.7):
         sums = defaultdict(int)
         for c, n in cells.items():
             sums[c[axis]] += n
-        raised = {v: (shares[name].get(v, 0) if shares and name in shares else n ** temperature) for v, n in sums.items() if n}
+        raised = {v: (shares[name].get(v, 0) if shares and name in shares else n ** mixing.TEMPERATURES[name]) for v, n in sums.items() if n}
         targets.append({v: r / sum(raised.values()) for v, r in raised.items()})
     for _ in range(200):
         for axis in range(3):
