@@ -7,14 +7,16 @@ Cases: a null or wordless text has fingerprint zero and is linked like any other
 are one point, however many documents share them. A null doc_id takes part but is never a component's name unless all are null. Repeated rows get
 equal results. Empty tables give empty results, other columns are carried through.
 
-``near_dedup`` is the form for filtering a corpus: it links texts that share at least 0.8 of their five-word shingles by fingerprints of 512 bits, in
-which that similarity stands out, and keeps one row per group: the smallest doc_id, of rows that share it the first in the written row order.
+``near_dedup`` is the form for filtering a corpus: it links texts that share at least 0.8 of their distinct five-word shingles, and keeps one row per
+group: the smallest doc_id, of rows that share it the first in the written row order. Fingerprints of 512 bits only name the candidates, with a limit four
+deviations above the distance that similarity gives; each link is then decided by the exact share of common shingle hashes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -188,36 +190,72 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 WIDE_WORDS = 8  # a wide fingerprint has 512 bits
 WIDE_SHINGLE = 5
 SIMILARITY = 0.8
-FIRST_WORD_BITS = 19  # beyond this distance in the first word alone a pair is out: over three deviations above that of similar texts
+DEVIATIONS = 4
 WIDE_TILE_ROWS = 1 << 14
 BLOCK_ROWS = 64
+EXACT_TILE_ROWS = 256
 # Odd multipliers that turn one hash into several.
 MIXERS = [(0x9E3779B97F4A7C15 * (2 * k + 1)) & ((1 << 64) - 1) for k in range(1, WIDE_WORDS + 1)]
 
 
-def wide_fingerprint(text: bytes) -> tuple[bytes, int]:
-    """SimHash of WIDE_WORDS * 64 bits over the distinct five-word shingles of a text, and their number."""
+def shingle_hashes(text: bytes) -> np.ndarray:
+    """Sorted hashes of the distinct five-word shingles of a text; a shorter text is one shingle, one without words has none."""
     words = text.lower().split()
     if not words:
-        return bytes(8 * WIDE_WORDS), 0
+        return np.empty(0, np.uint64)
     grams = map(b" ".join, zip(*[words[i:] for i in range(WIDE_SHINGLE)], strict=False)) if len(words) > WIDE_SHINGLE else iter([b" ".join(words)])
-    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, max(1, len(words) - WIDE_SHINGLE + 1)))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, max(1, len(words) - WIDE_SHINGLE + 1)))
+
+
+def wide_fingerprint(text: bytes) -> tuple[bytes, int]:
+    """SimHash of WIDE_WORDS * 64 bits over the distinct five-word shingles of a text, and their number."""
+    hashes = shingle_hashes(text)
+    return wide_of(hashes), len(hashes)
+
+
+def wide_of(hashes: np.ndarray) -> bytes:
+    if not len(hashes):
+        return bytes(8 * WIDE_WORDS)
     ones = np.zeros(64 * WIDE_WORDS, np.int64)
     for start in range(0, len(hashes), 4096):
         part = hashes[start:start + 4096]
         mixed = np.stack([(part ^ (part >> np.uint64(29))) * np.uint64(m) for m in MIXERS], axis=1)
         mixed ^= mixed >> np.uint64(32)
         ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), len(hashes)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
+
 
+def differing(common: int, left: int, right: int) -> float:
+    """Chance that a bit differs between two sets with ``common`` shingles and ``left`` and ``right`` ones of their own."""
+    chances = [[math.comb(n, k) / 2**n for k in range(n + 1)] for n in (common, left, right)]
+    out = 0.0
+    for k, p in enumerate(chances[0]):
+        a, b = (sum(q for i, q in enumerate(chances[j]) if 2 * (k + i) > common + own) for j, own in ((1, left), (2, right)))
+        out += p * (a * (1 - b) + b * (1 - a))
+    return out
 
+
+@cache
 def wide_limit(similarity: float = SIMILARITY) -> int:
-    """Largest distance of wide fingerprints taken for similar: that of two equally long texts of this Jaccard similarity, plus one deviation."""
-    share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * WIDE_WORDS
-    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+    """Largest distance of wide fingerprints of candidates: DEVIATIONS above the mean of the least favourable pair of this Jaccard similarity.
+
+    That is a pair of small sets, whose ties count as zero, or else one of equally long texts.
+    """
+    worst, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * WIDE_WORDS
+    for common in range(1, 33):
+        apart = int(common / similarity + 1e-9) - common
+        worst = max(worst, *[differing(common, a, apart - a) for a in range(apart // 2 + 1)], 0.0)
+    return int(bits * worst + DEVIATIONS * math.sqrt(bits * worst * (1 - worst)))
+
+
+def leading_words(limit: int) -> int:
+    """Words of a wide fingerprint after which most unlike texts are already beyond the limit, so that the rest need not be compared."""
+    return next((k for k in range(1, WIDE_WORDS) if 32 * k - 8 * math.sqrt(k) >= limit), WIDE_WORDS)
 
 
 def wide_links(limit: int):
+    lead = leading_words(limit)
+
     def listed(tiles: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray]:
         rows = tiles.values.slice(tiles.offsets[i].as_py(), tiles.offsets[i + 1].as_py() - tiles.offsets[i].as_py())
         return rows.field("node").to_numpy(), np.frombuffer(b"".join(rows.field("wide").to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
@@ -229,10 +267,13 @@ def wide_links(limit: int):
                 ones_a, ones_b = (np.bitwise_count(w).sum(axis=1, dtype=np.int64) for w in (wa, wb))
                 if ones_a.min() - ones_b.max() > limit or ones_b.min() - ones_a.max() > limit:
                     continue
-                first = np.ascontiguousarray(wb[:, 0])
+                columns = np.ascontiguousarray(wb[:, :lead].T)
                 for start in range(0, len(a), BLOCK_ROWS):
                     block = wa[start:start + BLOCK_ROWS]
-                    x, y = np.nonzero(np.bitwise_count(block[:, :1] ^ first[None, :]) <= FIRST_WORD_BITS)
+                    total = np.zeros((len(block), len(b)), np.uint16)
+                    for k in range(lead):
+                        total += np.bitwise_count(block[:, k, None] ^ columns[k])
+                    x, y = np.nonzero(total <= limit)
                     apart = a[start + x] != b[y]
                     x, y = x[apart], y[apart]
                     close = np.bitwise_count(block[x] ^ wb[y]).sum(axis=1, dtype=np.int64) <= limit
@@ -246,7 +287,7 @@ def wide_links(limit: int):
 
 
 def similar_links(points: DataFrame, similarity: float = SIMILARITY, tile_rows: int = WIDE_TILE_ROWS) -> DataFrame:
-    """Links (u, v), u > v, that connect nodes of similar texts. ``points``: node, wide, shingles.
+    """Links (u, v), u > v, that connect candidates for similar texts. ``points``: node, wide, shingles.
 
     Texts of this similarity have shingle counts within a factor of 1 / similarity, so tiles hold one band of counts and meet only those of their own
     and the next band; tile pairs whose population counts differ beyond the limit are skipped; the rest are compared whole.
@@ -260,23 +301,86 @@ def similar_links(points: DataFrame, similarity: float = SIMILARITY, tile_rows:
     return pairs.select("a", F.col("rows").alias("b")).mapInArrow(wide_links(wide_limit(similarity)), "u long, v long")
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of common values of two sorted arrays of distinct values."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common)
+
+
+def exact_links(limit: int, similarity: float):
+    """Of two tiles (node, wide, hashes) the links that the exact similarity confirms; pairs that confirmed links connect already are not read again."""
+
+    def listed(tiles: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        rows = tiles.values.slice(tiles.offsets[i].as_py(), tiles.offsets[i + 1].as_py() - tiles.offsets[i].as_py())
+        return (rows.field("node").to_numpy(), np.frombuffer(b"".join(rows.field("wide").to_pylist()), np.uint64).reshape(-1, WIDE_WORDS),
+                [np.frombuffer(h, np.uint64) for h in rows.field("hashes").to_pylist()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, wa, ha), (b, wb, hb), found = listed(batch.column(0), i), listed(batch.column(1), i), []
+                ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+                label, x, y = np.arange(len(ids)), flat[: len(a)], flat[len(a):]
+                sizes = np.array([len(h) for h in hb])
+                for row in range(len(a)):
+                    near = np.bitwise_count(wb ^ wa[row]).sum(axis=1, dtype=np.int64) <= limit
+                    fits = (sizes >= similarity * len(ha[row]) - 1e-6) & (similarity * sizes <= len(ha[row]) + 1e-6)
+                    for other in np.nonzero(near & fits & (label[y] != label[x[row]]))[0]:
+                        one, two = label[x[row]], label[y[other]]
+                        if one != two and jaccard(ha[row], hb[other]) >= similarity:
+                            label[label == max(one, two)] = min(one, two)
+                            found.append((max(a[row], b[other]), min(a[row], b[other])))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
+
+    return run
+
+
+def confirmed_links(candidates: DataFrame, texts: DataFrame, points: DataFrame, similarity: float, tile_rows: int = EXACT_TILE_ROWS) -> DataFrame:
+    """Links (u, v), u > v, of exactly similar texts. ``candidates``: (u, v) from each linked node to its group's name; ``texts``: node, text.
+
+    Confirmed links never leave a group of candidates, so only texts of one group meet; a large group is cut into tiles that meet pairwise.
+    """
+    members = stage(candidates.select(F.col("u").alias("node"), F.col("v").alias("label")).union(candidates.select("v", "v").distinct()), "members")
+    large = members.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("parts")).where("parts > 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_batches(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
+
+    hashes = texts.join(members.select("node"), "node", "left_semi").select("node", as_bytes("text")).mapInArrow(run, "node long, hashes binary")
+    placed = members.join(stage(large, "large"), "label", "left").select("node", "label", F.coalesce("parts", F.lit(1)).alias("parts"))
+    rows = placed.join(hashes, "node").join(points.select("node", "wide"), "node")
+    part = F.pmod(F.xxhash64("node"), "parts").alias("part")
+    tiles = stage(rows.groupBy("label", part).agg(F.max("parts").alias("parts"), F.collect_list(F.struct("node", "wide", "hashes")).alias("rows")), "groups")
+    left = tiles.select(F.col("rows").alias("a"), "label", F.explode(F.sequence("part", F.col("parts") - 1)).alias("part"))
+    pairs = left.join(tiles.select("label", "part", F.col("rows").alias("b")), ["label", "part"]).select("a", "b")
+    return pairs.mapInArrow(exact_links(wide_limit(similarity), similarity), "u long, v long")
+
+
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, tile_rows: int = WIDE_TILE_ROWS) -> DataFrame:
     """One document of each group of near copies, with all its columns.
 
-    Near copies share at least ``similarity`` of their five-word shingles, as their wide fingerprints tell; groups are what links connect.
+    Near copies share at least ``similarity`` of their distinct five-word shingles; groups are what links connect.
     """
     (uid,) = fresh(docs.columns, "uid")
     rows = numbered(docs, [F.col("*")], [uid], "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_batches(batches):
-            found = [wide_fingerprint(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64())], ["uid", "doc_id", "wide", "shingles"])
+            found = [shingle_hashes(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([wide_of(h) for h in found], pa.binary()), pa.array([len(h) for h in found], pa.int64()),
+                                              pa.array([xxhash.xxh64_intdigest(h.tobytes()) for h in found], pa.uint64()).view(pa.int64())], ["uid", "doc_id", "wide", "shingles", "same"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marks = stage(rows.select(F.col(uid).alias("uid"), "doc_id", as_bytes("text")).mapInArrow(run, f"uid long, doc_id {kind}, wide binary, shingles long"), "wide")
-    points = stage(marks.groupBy("wide", "shingles").agg(F.min("uid").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best")), "points")
-    linked = stars(similar_links(points, similarity, tile_rows))
+    marks = stage(rows.select(F.col(uid).alias("uid"), "doc_id", as_bytes("text")).mapInArrow(run, f"uid long, doc_id {kind}, wide binary, shingles long, same long"), "wide")
+    points = stage(marks.groupBy("wide", "shingles", "same").agg(F.min("uid").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best")), "points")
+    candidates = stars(similar_links(points, similarity, tile_rows))
+    linked = stars(confirmed_links(candidates, rows.select(F.col(uid).alias("node"), "text"), points, similarity, min(tile_rows, EXACT_TILE_ROWS)))
     labelled = points.select("node", "best").join(linked.withColumnRenamed("u", "node"), "node", "left")
     stays = labelled.groupBy(F.coalesce("v", "node").alias("label")).agg(F.min("best").alias("best")).select(F.col("best.uid").alias("uid"))
     # those that leave are the shorter list: while it is small enough to broadcast, texts are not shuffled

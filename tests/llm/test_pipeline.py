@@ -51,6 +51,19 @@ def test_stages_equal_brute_force(spark):
     assert exact_dedup.CAPACITY > 0 and simhash.RADIUS == 2
 
 
+def test_near_stage_equals_brute_force_over_exact_similarity(spark):
+    single = exact_dedup.deduplicate(quality_rules.clean(spark.read.parquet(f"{SF}/documents.parquet"))).cache()
+    docs = [(r.doc_id, {tuple(r.text.encode().lower().split()[i:i + 5]) for i in range(max(1, len(r.text.encode().split()) - 4))}) for r in single.collect()]
+    group = list(range(len(docs)))
+    for i, (_, a) in enumerate(docs):
+        for j, (_, b) in enumerate(docs[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = sorted(min(d for k, (d, _) in enumerate(docs) if group[k] == g) for g in set(group))
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, single, SF)
+    assert sorted(r.doc_id for r in got.collect()) == want and len(want) < len(docs)
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))

@@ -132,6 +132,24 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert all(jaccard(docs[5 * g][1], docs[5 * g + 1][1]) > 0.85 and jaccard(docs[5 * g][1], docs[5 * g + 4][1]) < 0.65 for g in range(25))
 
 
+def test_near_dedup_decides_by_exact_similarity_near_the_limit(spark):
+    rng, docs, want = random.Random(21), [], []
+    for g in range(90):
+        base = [f"g{g}w{i}" for i in range(400)]
+        for k in range(500):  # a copy whose similarity comes close to 0.75 ... 0.85
+            other = " ".join(varied(base, 4 + k % 20, rng))
+            if abs(jaccard(" ".join(base), other) - (0.75 + 0.1 * g / 89)) < 0.01:
+                break
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, other)]
+        want += [2 * g] if jaccard(" ".join(base), other) >= 0.8 else [2 * g, 2 * g + 1]
+    short = [" ".join(f"s{i}" for i in range(n)) for n in (8, 9)]  # 4 of 5 shingles
+    docs, want = docs + [(900, short[0]), (901, short[1])], want + [900]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for tile_rows in (1 << 14, 1):
+        assert sorted(r.doc_id for r in simhash.near_dedup(df, tile_rows=tile_rows).collect()) == sorted(want)
+    assert 100 < len(want) < 170
+
+
 def test_wide_fingerprint_follows_similarity():
     rng = random.Random(3)
     for changes in (4, 8, 40):
