@@ -1,7 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Token counts per (source, language, topic) cell are raked until every marginal equals its target; a document is then taken with the probability
-its cell's calibrated weight gives, so the expected token shares are the targets.
+Token counts per (source, language, topic) cell are raked until every marginal equals its target; a document is then taken as often as its cell's
+calibrated weight gives (whole copies, and one more by chance), so the expected token shares are the targets. The scarcest cell is taken whole and the
+others in proportion, unless that leaves less than a share of all tokens (KEPT, or KEPT_GIVEN for stated shares): then the output is that share, and
+scarce cells are repeated, so no small cell thins the rest.
 
 Cases: null source, language or topic is a cell value of its own; a null text has no tokens and takes its cell's probability. A target for a value
 without tokens cannot be met: targets are scaled to the values that occur; a value with tokens but no target gets probability zero. The draw is a
@@ -21,7 +23,8 @@ from pitlake.llm.common import fresh
 from pitlake.session import stage
 
 AXES = ("source", "lang", "topic")
-TEMPERATURES = {"source": 0.85, "lang": 0.85, "topic": 1.0}
+TEMPERATURES = {"source": 0.85, "lang": 0.85, "topic": 0.85}
+KEPT, KEPT_GIVEN = 0.7, 0.4  # least expected output tokens as a share of the input's
 TOLERANCE = 1e-6
 MOST_ROUNDS = 50
 SEED = 11
@@ -87,15 +90,19 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float =
     return now
 
 
-def probabilities(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
-    """Per cell: weight and the probability that takes its tokens to that weight; the scarcest cell is taken whole.
+def probabilities(cells: DataFrame, targets: Mapping[str, DataFrame], kept: float) -> DataFrame:
+    """Per cell: weight, the rate (expected copies of a document) that takes its tokens to that weight, and the probability to be taken at all.
 
-    Cells without tokens cannot change a token share; they are taken whole.
+    The scarcest cell has rate one, or more if the expected output were below ``kept`` of all tokens otherwise. Cells without tokens cannot change a
+    token share; they are taken whole.
     """
     raked = rake(cells, targets)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    most = raked.agg(F.max(ratio)).first()[0]
-    return raked.select(*AXES, "weight", F.coalesce(F.least(F.lit(1.0), ratio / F.lit(most).cast("double")), F.lit(1.0)).alias("probability"))
+    most, total, weight = raked.agg(F.max(ratio), F.sum("tokens"), F.sum("weight")).first()
+    scale = max(1 / most, kept * total / weight) if most else None
+    rate = F.coalesce(ratio * F.lit(scale).cast("double"), F.lit(1.0))
+    rate = F.when(F.abs(rate - 1) < 1e-12, 1.0).otherwise(rate)  # the scarcest cell is whole in spite of rounding
+    return raked.select(*AXES, "weight", rate.alias("rate"), F.least(F.lit(1.0), rate).alias("probability"))
 
 
 def draw(doc_id: str, seed: int = SEED) -> Column:
@@ -103,33 +110,40 @@ def draw(doc_id: str, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 11) / F.lit(float(1 << 53))
 
 
-def weigh(rows: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES, shares: Mapping[str, Mapping[str | None, float]] | None = None) -> DataFrame:
+def copies(doc_id: str, rate: str) -> Column:
+    """How often a document is taken: the whole part of its rate, and once more with the chance of the rest."""
+    whole = F.floor(rate)
+    return whole + (draw(doc_id) < F.col(rate) - whole).cast("long")
+
+
+def weigh(rows: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES, shares: Mapping[str, Mapping[str | None, float]] | None = None, kept: float | None = None) -> DataFrame:
     """Probabilities per cell for ``rows`` (source, lang, topic, tokens). Axes named in ``shares`` are raked to those, others to tempered shares (1: as observed)."""
     cells = stage(rows.groupBy(*AXES).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")), "cells")
     targets = {a: stage(given(cells, a, shares[a]) if shares and a in shares else tempered(cells, a, temperatures[a]), "targets") for a in AXES}
-    return stage(probabilities(cells, targets), "probabilities")
+    return stage(probabilities(cells, targets, (KEPT_GIVEN if shares else KEPT) if kept is None else kept), "probabilities")
 
 
 def attach(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """Cells are keyed by one text of their three values, so that null cells join too and a hot cell is a plain skewed join."""
-    return rows.join(cells.select(cell_key(*AXES).alias("cell"), "weight", "probability"), "cell")
+    return rows.join(cells.select(cell_key(*AXES).alias("cell"), "weight", "rate", "probability"), "cell")
 
 
 def cell_key(*parts: str) -> Column:
     return F.to_json(F.struct(*[F.col(p).cast("string").alias(f"v{i}") for i, p in enumerate(parts)]))
 
 
-def sampled(docs: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES, shares: Mapping[str, Mapping[str | None, float]] | None = None) -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, tokens, weight (of its cell), probability, taken."""
+def sampled(docs: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES, shares: Mapping[str, Mapping[str | None, float]] | None = None, kept: float | None = None) -> DataFrame:
+    """One row per document: doc_id, source, lang, topic, tokens, weight (of its cell), rate, probability, copies, taken."""
     rows = stage(docs.select("doc_id", "source", "lang", topic_of("text").alias("topic"), tokens("text").alias("tokens")), "measures")
-    placed = attach(rows.withColumn("cell", cell_key(*AXES)), weigh(rows, temperatures, shares)).drop("cell")
-    return placed.withColumn("taken", draw("doc_id") < F.col("probability"))
+    placed = attach(rows.withColumn("cell", cell_key(*AXES)), weigh(rows, temperatures, shares, kept)).drop("cell")
+    return placed.withColumn("copies", copies("doc_id", "rate")).withColumn("taken", F.col("copies") > 0)
 
 
-def mix(docs: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES, shares: Mapping[str, Mapping[str | None, float]] | None = None) -> DataFrame:
-    """The documents taken, with all their columns. Texts are read twice and never shuffled while the cell table is small enough to broadcast."""
-    chance, topic, cell = fresh(docs.columns, "chance", "topic", "cell")
+def mix(docs: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES, shares: Mapping[str, Mapping[str | None, float]] | None = None, kept: float | None = None) -> DataFrame:
+    """The documents taken, as often as they are taken, with all their columns. Texts are read twice and never shuffled while the cell table is small enough to broadcast."""
+    rate, topic, cell, times = fresh(docs.columns, "rate", "topic", "cell", "times")
     rows = docs.select("source", "lang", topic_of("text").alias("topic"), tokens("text").alias("tokens"))
-    cells = weigh(rows, temperatures, shares).select(cell_key(*AXES).alias(cell), F.col("probability").alias(chance))
+    cells = weigh(rows, temperatures, shares, kept).select(cell_key(*AXES).alias(cell), F.col("rate").alias(rate))
     keyed = docs.withColumn(topic, topic_of("text")).withColumn(cell, cell_key("source", "lang", topic))
-    return keyed.join(cells, cell).where(draw("doc_id") < F.col(chance)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = keyed.join(cells, cell).withColumn(times, copies("doc_id", rate)).where(F.col(times) > 0)
+    return taken.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

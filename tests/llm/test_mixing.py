@@ -79,6 +79,20 @@ def test_draw_is_stable_and_mix_takes_the_same(spark):
     assert sum(r.doc_id == 5 for r in got.collect()) in (0, 1, 2, 3)
 
 
+def test_one_rare_source_and_language_do_not_thin_the_corpus(spark):
+    docs = [(i, "ab"[i % 2], ("en", "de", "fr")[i % 3], "alpha beta " * 400) for i in range(1200)] + [(9000, None, "rare", "gamma " * 6)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    got = mixing.sampled(df).collect()
+    total = sum(r.tokens for r in got)
+    assert sum(r.rate * r.tokens for r in got) == pytest.approx(mixing.KEPT * total, rel=1e-6)
+    rare = next(r for r in got if r.doc_id == 9000)
+    assert rare.taken and rare.copies >= int(rare.rate) > 1 and rare.probability == 1.0
+    raised = {s: sum(r.tokens for r in got if r.lang == s) ** mixing.TEMPERATURES["lang"] for s in ("en", "de", "fr", "rare")}
+    assert rare.rate * rare.tokens / (mixing.KEPT * total) == pytest.approx(raised["rare"] / sum(raised.values()), rel=0.01)
+    mixed = mixing.mix(df).collect()
+    assert sum(r.doc_id == 9000 for r in mixed) == rare.copies and len(mixed) == sum(r.copies for r in got) > 0.6 * len(docs)
+
+
 def test_empty_and_wordless(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert mixing.sampled(df).count() == 0 and mixing.mix(df).count() == 0
