@@ -1,7 +1,7 @@
 """Quality rules, line first: every line is judged, failing lines go, then documents that lost too much text go.
 
-A line fails when it is symbol noise, a navigation row, shouting, word repetition, unpunctuated run-on text, a known boilerplate phrase or a
-repeat of an earlier line. The base rules count words, symbols, repeated lines and repeated three-word windows of the whole text.
+A line fails when it is symbol noise, a navigation row, shouting, word repetition, a run of words that ends without a mark, a known boilerplate phrase
+or a repeat of an earlier line. Wrapped text, whose long lines go on in lower case, is not taken for such runs. The base rules count words, symbols, repeated lines and repeated three-word windows of the whole text.
 
 Cases: a null text has no words and fails; the same holds for an empty one. Texts of any length are read whole. Repeated rows are judged
 alike, an empty table gives an empty result, and other columns stay as they are in ``clean``.
@@ -27,33 +27,47 @@ BOILERPLATE = re.compile(
     r"all rights reserved|cookie (policy|settings)|accept (all )?cookies|enable javascript|privacy policy|terms of (use|service)"
     r"|click here|read more|sign (in|up)|log ?in to|subscribe to|share (this|on)|skip to (main )?content|powered by", re.IGNORECASE)
 SEPARATORS = frozenset("| > » · • / ::".split())
-SENTENCE_MARKS = re.compile(r"[.!?…:;。！？]")
+LINE_END = re.compile(r"[.!?…:;。！？؟।][\"'”’»」』)\]*_]*\s*(?:\[\d+\]\s*)*$")
+LOWER_START = re.compile(r"\s*[^\W\d_]")
 
 FEWEST_WORDS = 50
 MOST_LOST = 0.5
 SHORT_LINE_WORDS = 12
 LEAST_JUDGED_WORDS = 5
-RUN_ON_WORDS = 40
+RUN_ON_WORDS = 10
+WRAPPED_CHARS = 50
 
 
-def line_fails(line: str, words: list[str]) -> str | None:
-    """Name of the first rule that a line with ``words`` fails, None if it passes."""
+def separators(words: list[str]) -> int:
+    """Separator words of a line; a bullet, quotation mark or slash that opens it and the » of a closed quotation are none."""
+    quoted = "«" in words or any(w.startswith("«") for w in words)
+    return sum(w in SEPARATORS and not (quoted and w == "»") and not (i == 0 and w != "|") for i, w in enumerate(words))
+
+
+def continues(line: str, following: str) -> bool:
+    """Whether a long line without an end mark is one of wrapped text: the line right after it goes on in lower case or a script without case."""
+    start = LOWER_START.match(following)
+    return len(line) >= WRAPPED_CHARS and start is not None and not start[0].strip().isupper() and not start[0].strip().istitle()
+
+
+def line_fails(line: str, words: list[str], following: str = "") -> str | None:
+    """Name of the first rule that a line with ``words`` fails, None if it passes. ``following`` is the line right after it."""
     n = len(words)
     if n <= SHORT_LINE_WORDS and BOILERPLATE.search(line):
         return "boilerplate"
+    # separators stand between the entries of a row: a short line needs an entry on both sides
+    if not SEPARATORS.isdisjoint(words) and separators(words if n >= LEAST_JUDGED_WORDS else words[:-1]) * 5 >= n:
+        return "navigation"
     if n < LEAST_JUDGED_WORDS:
         return None
     marks = len(NOT_SYMBOL.sub("", line))
-    if marks:
-        if sum(w in SEPARATORS for w in words) * 5 >= n:
-            return "navigation"
-        if marks * 10 >= len(line) or marks * 2 >= n:
-            return "symbols"
+    if marks and (marks * 10 >= len(line) or marks * 2 >= n):
+        return "symbols"
     if line.count("!") * 3 >= n and line.upper() == line:
         return "shouting"
     if n >= 10 and len(set(words)) * 3 < n:
         return "repetition"
-    if n >= RUN_ON_WORDS and not SENTENCE_MARKS.search(line):
+    if n >= RUN_ON_WORDS and not LINE_END.search(line) and not continues(line, following):
         return "punctuation"
     return None
 
@@ -76,7 +90,8 @@ def judge(text: str) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines_removed, n_words_removed, clean text)."""
     words = WORDS.findall(text)
     n, seen, dup_lines, removed, lost, stay = len(words), set(), 0, 0, 0, []
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    for line, following in zip(lines, [*lines[1:], ""], strict=True):
         own = WORDS.findall(line)
         if not own:
             stay.append(line)
@@ -84,7 +99,7 @@ def judge(text: str) -> tuple:
         again = line in seen
         seen.add(line)
         dup_lines += again
-        if again or line_fails(line, own):
+        if again or line_fails(line, own, following):
             removed += 1
             lost += len(own)
         else:

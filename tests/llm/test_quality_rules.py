@@ -47,5 +47,19 @@ def test_line_rules():
     assert fails(" ".join(f"w{i}" for i in range(60))) == "punctuation" and fails("A short heading") is None and fails("Prices rose by 5% & more in May, they said.") is None
 
 
+def test_every_separator_and_short_or_unended_lines():
+    fails = lambda line, *after: quality_rules.line_fails(line, quality_rules.WORDS.findall(line), *after)
+    for mark in ("|", ">", "»", "·", "•", "/", "::"):
+        assert fails(f"Home {mark} News {mark} Sport {mark} Help {mark} About us") == "navigation" and fails(f"Home {mark} About") == "navigation"
+    assert fails("home news sport weather travel culture money help contact about us") == "punctuation"
+    assert fails("We met. then we went on and on with no end to it at all") == "punctuation"
+    wrapped = "The boat left the harbour in the morning and the people"
+    assert fails(wrapped, "waited for it at the pier.") is None and fails(wrapped) == "punctuation" and fails(wrapped, "Home") == "punctuation"
+    for line in ("• one two three four", "« Oui » dit elle", "> quoted words", "He said that it was late and went home to \"sleep.\"", "Is this a line that ends in the right way?", "A heading of six plain words"):
+        assert fails(line) is None
+    menu = "\n".join(f"Home{i} » News{i}" for i in range(60))
+    assert not quality_rules.judge(menu)[6]
+
+
 def test_empty(spark):
     assert quality_rules.judged(frame(spark, [])).count() == 0 and quality_rules.clean(frame(spark, [])).count() == 0
