@@ -5,7 +5,8 @@ text. It is trained here: notices with words dropped, added and cut, against a b
 held-out notices turns unsure families into the unknown class, and comparison with the family's templates confirms a prediction.
 
 Weights are sparse, so a paragraph without any word that speaks for a licence cannot win over plain text; such paragraphs are passed over
-exactly, not by a guess. Paragraphs are lines; long ones are read in overlapping windows to their end, so nothing is cut off.
+exactly, not by a guess. Paragraphs are lines; long ones are read in overlapping windows to their end, so nothing is cut off. Every window that is not
+plain text counts: overlapping windows of one family are one passage, others are passages of their own, and all of them are returned.
 
 Cases: a null or empty text has no licence (family null); repeated rows get equal results; equal probabilities go to the family named first, equal
 paragraphs to the earlier one; an empty table gives an empty result and trains on built-in negatives alone; other columns are not read.
@@ -93,11 +94,11 @@ VARIANTS = 30
 WINDOW, STRIDE = 60, 30
 LEAST_SIMILARITY = 0.8
 SPARSITY = 5e-4
-TOKEN = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
+TOKEN = re.compile(r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*")
 
 
 def words_of(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    return [w.lower() for w in TOKEN.findall(text)]
 
 
 def grams(words: Sequence[str]) -> set[str]:
@@ -230,44 +231,58 @@ def sample_paragraphs(docs: DataFrame, most: int = SAMPLE_PARAGRAPHS) -> list[st
 
 
 def passages(text: str, model: Model) -> list[tuple[str, float, float, int]]:
-    """(family, probability, similarity, code point where its paragraph starts) of every paragraph that is not plain text."""
+    """(family, probability, similarity, code point where its window starts) of every passage that is not plain text, in text order.
+
+    Overlapping windows of one family are one passage, told by its clearest window.
+    """
     found, at = [], 0
     for line in text.split("\n"):
         words = words_of(line)
         if not model.cues.isdisjoint(words):
-            best = None
+            places = None
+            reached: dict[str, tuple[int, int]] = {}  # family -> its passage and its last window
             for start in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE):
                 part = words[start:start + WINDOW]
                 family, sure = model.predict(part)
-                if family != PLAIN:
-                    this = (family, sure, model.similarity(family, part), at)
-                    if best is None or (this[2], this[1]) > (best[2], best[1]):
-                        best = this
-            if best:
-                found.append(best)
+                if family == PLAIN:
+                    continue
+                if start and places is None:
+                    places = [m.start() for m in TOKEN.finditer(line)]
+                this = (family, sure, model.similarity(family, part), at + (places[start] if start else 0))
+                place, last = reached.get(family, (-1, -WINDOW))
+                if start - last < WINDOW:
+                    if (this[2], this[1]) > (found[place][2], found[place][1]):
+                        found[place] = this
+                else:
+                    place = len(found)
+                    found.append(this)
+                reached[family] = (place, start)
         at += len(line) + 1
     return found
 
 
 FIELDS = "family string, probability double, similarity double, confirmed boolean, start long, n_passages long, families array<string>"
+PASSAGE = {"family": "string", "probability": "double", "similarity": "double", "start": "bigint"}
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """One row per document: its clearest licence passage (confirmed before unconfirmed, then by probability), the count and the families found."""
+    """One row per document: its clearest licence passage (confirmed before unconfirmed, then by probability), the count and the families found, and ``passages``, all of them in text order."""
     known = build(sample_paragraphs(docs)) if model is None else model
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+        kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.string()),
+                 pa.list_(pa.struct([("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("start", pa.int64())]))]
         for batch in row_batches(batches):
             out = []
             for data in batch.column(1).to_pylist():
                 found = passages(data.decode("utf-8", "replace"), known)
                 if found:
                     family, sure, near, start = max(found, key=lambda f: (f[2] >= LEAST_SIMILARITY, f[1], -f[3]))
-                    out.append((family, sure, near, near >= LEAST_SIMILARITY, start, len(found), sorted({f[0] for f in found})))
+                    out.append((family, sure, near, near >= LEAST_SIMILARITY, start, len(found), sorted({f[0] for f in found}), [dict(zip(PASSAGE, f, strict=True)) for f in found]))
                 else:
-                    out.append((None, None, None, False, None, 0, []))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], ["doc_id", *[f.split()[0] for f in FIELDS.split(", ")]])
+                    out.append((None, None, None, False, None, 0, [], []))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], ["doc_id", *[f.split()[0] for f in FIELDS.split(", ")], "passages"])
 
-    return docs.select("doc_id", as_bytes("text")).mapInArrow(run, f"doc_id {kind}, {FIELDS}")
+    listed = ", ".join(f"{n}: {t}" for n, t in PASSAGE.items())
+    return docs.select("doc_id", as_bytes("text")).mapInArrow(run, f"doc_id {kind}, {FIELDS}, passages array<struct<{listed}>>")

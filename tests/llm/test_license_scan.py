@@ -47,5 +47,14 @@ def test_scan(spark, model):
     assert got[5].family == "unknown" and not got[5].confirmed and got[None].family == "CC-BY-NC" and got[6].families == ["CC-BY", "MIT"]
 
 
+def test_every_passage_of_a_flattened_text(spark, model):
+    text = "Released under the MIT License. " + "plain words " * 200 + scan.NOTICES["GPL"][1] + " more words" * 100 + " Released under the MIT License."
+    (got,) = scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert {"MIT", "GPL"} <= set(got.families) and got.n_passages == len(got.passages)
+    assert [p.family for p in got.passages if p.similarity >= scan.LEAST_SIMILARITY] == ["MIT", "GPL", "MIT"]
+    at = {p.family: p.start for p in got.passages}
+    assert abs(at["GPL"] - text.index("This program is free")) < 400 and got.passages[0].start == 0
+
+
 def test_empty_trains_and_scans(spark):
     assert scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
