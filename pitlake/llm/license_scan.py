@@ -68,6 +68,22 @@ NOTICES = {
         "This is free and unencumbered software released into the public domain.",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary."),
 }
+# Identifiers and short tags; trained with their words whole, since one word alone names the licence.
+TAGS = {
+    "Apache-2.0": ("SPDX-License-Identifier: Apache-2.0", "License: Apache-2.0", "License: Apache 2.0", "Apache-2.0", "Apache License 2.0"),
+    "MIT": ("SPDX-License-Identifier: MIT", "License: MIT", "MIT License", "The MIT License (MIT)", "Licensed under MIT"),
+    "BSD": ("SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "License: BSD-3-Clause", "License: BSD", "BSD-3-Clause", "BSD 2-Clause License"),
+    "GPL": ("SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-3.0-or-later", "License: GPL-2.0", "License: GPL v3", "License: GPLv3", "License: GPLv2", "GPL-3.0-only", "GPL-2.0-or-later"),
+    "LGPL": ("SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-3.0-or-later", "License: LGPL v3", "License: LGPLv3", "License: LGPLv2.1", "LGPL-2.1-or-later"),
+    "AGPL": ("SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later", "License: AGPL v3", "License: AGPLv3", "AGPL-3.0-or-later"),
+    "MPL-2.0": ("SPDX-License-Identifier: MPL-2.0", "License: MPL-2.0", "License: MPL 2.0", "MPL-2.0"),
+    "CC-BY": ("SPDX-License-Identifier: CC-BY-4.0", "License: CC BY 4.0", "CC-BY-4.0", "CC BY 3.0"),
+    "CC-BY-SA": ("SPDX-License-Identifier: CC-BY-SA-4.0", "License: CC BY-SA 4.0", "CC-BY-SA-4.0", "CC BY-SA 3.0"),
+    "CC-BY-NC": ("SPDX-License-Identifier: CC-BY-NC-4.0", "License: CC BY-NC 4.0", "CC-BY-NC-4.0", "CC BY-NC 3.0"),
+    "CC0": ("SPDX-License-Identifier: CC0-1.0", "License: CC0 1.0", "License: CC0", "CC0-1.0"),
+    "Unlicense": ("SPDX-License-Identifier: Unlicense", "License: Unlicense", "The Unlicense"),
+}
+UNKNOWN_TAGS = ("SPDX-License-Identifier: LicenseRef-Vendor", "License: proprietary", "License: commercial", "SPDX-License-Identifier: NONE", "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: Zlib")
 UNKNOWN_NOTICES = (
     "All rights reserved.",
     "Copyright by the authors. All rights reserved.",
@@ -85,6 +101,7 @@ PLAIN_SENTENCES = (
     "The software was sold in two versions last year.", "A version of the story was released under another name.", "The work of the commons committee is done.",
     "They distributed copies of the program at the door.", "The library is free for any person with a card.", "The source of the river is in the mountains.",
     "The following conditions were good for sailing.", "They may not use this road in winter.", "The creative director left the company by four.",
+    "She studied at MIT and took the train home.", "Er kam mit dem Zug und fuhr mit dem Boot.", "The clause of the contract was read by two or three people only.", "They met a later train at 2.0 miles.",
 )
 PLAIN, UNKNOWN = "plain", "unknown"
 CLASSES = (PLAIN, *NOTICES, UNKNOWN)
@@ -94,7 +111,8 @@ VARIANTS = 30
 WINDOW, STRIDE = 60, 30
 LEAST_SIMILARITY = 0.8
 SPARSITY = 5e-4
-TOKEN = re.compile(r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*")
+NOT_ALONE = frozenset({"mit"})  # also a common German word: it speaks for a licence only beside another word
+TOKEN = re.compile(r"[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*")
 
 
 def words_of(text: str) -> list[str]:
@@ -151,6 +169,15 @@ def variants(notice: str, filler: Sequence[str], rng: np.random.Generator, n: in
         yield before + kept + after
 
 
+def tagged(tag: str, filler: Sequence[str], rng: np.random.Generator, n: int) -> Iterator[list[str]]:
+    """A tag alone and between other words."""
+    words = words_of(tag)
+    yield words
+    for _ in range(n - 1):
+        before, after = (list(rng.choice(filler, rng.integers(0, 24))) for _ in range(2))
+        yield before + words + after
+
+
 def fit(samples: Sequence[Sequence[str]], labels: np.ndarray, names: Sequence[str], rounds: int = 150) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Multinomial logistic regression over the n-grams ``names`` by accelerated proximal gradient; the absolute penalty makes weights exactly zero."""
     place = {g: i for i, g in enumerate(names)}
@@ -187,18 +214,23 @@ def build(negatives: Sequence[str], seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     templates = {family: [frozenset(grams(words_of(n))) for n in notices] for family, notices in NOTICES.items()}
     every = [t for ts in templates.values() for t in ts] + [frozenset(grams(words_of(n))) for n in UNKNOWN_NOTICES]
+    tags = [frozenset(grams(words_of(t))) for ts in (*TAGS.values(), UNKNOWN_TAGS) for t in ts]
     plain = [words_of(p)[:WINDOW] for p in negatives]
-    plain = [p for p in plain if p and max(len(grams(p) & t) / len(t) for t in every) < 0.3]
+    plain = [p for p in plain if p and max(len(grams(p) & t) / len(t) for t in every) < 0.3 and not any(len(t) > 1 and t <= grams(p) for t in tags)]
     filler = sorted({w for p in plain for w in p} | {w for s in PLAIN_SENTENCES for w in words_of(s)})
     plain += [v for s in PLAIN_SENTENCES for v in variants(s, filler, rng, VARIANTS)]
     data: list[tuple[list[str], int]] = [(p, 0) for p in plain]
     for i, family in enumerate(CLASSES[1:], 1):
         for notice in NOTICES.get(family, UNKNOWN_NOTICES):
             data += [(v, i) for v in variants(notice, filler, rng, VARIANTS)]
+        for tag in TAGS.get(family, UNKNOWN_TAGS):
+            data += [(v, i) for v in tagged(tag, filler, rng, VARIANTS // 2)]
+    for family, own in TAGS.items():
+        templates[family] += [frozenset(grams(words_of(t))) for t in own]
     order = rng.permutation(len(data))
     held, used = order[: len(order) // 5], order[len(order) // 5:]
     weights, bias = fit([data[i][0] for i in used], np.array([data[i][1] for i in used]),
-                        sorted(set().union(*every, *(grams(words_of(s)) for s in PLAIN_SENTENCES))))
+                        sorted(set().union(*every, *tags, *(grams(words_of(s)) for s in PLAIN_SENTENCES)) - NOT_ALONE))
     bias[0] = max(bias[0], bias[1:].max() + 1.0)  # without evidence a paragraph is plain text
     common: dict[str, int] = {}
     for p in plain:

@@ -56,5 +56,16 @@ def test_every_passage_of_a_flattened_text(spark, model):
     assert abs(at["GPL"] - text.index("This program is free")) < 400 and got.passages[0].start == 0
 
 
+def test_tags_are_named(model):
+    held = {"GPL": ("// SPDX-License-Identifier: GPL-3.0-only", "# SPDX-License-Identifier: GPL-2.0+", "This package: GPL-2.0-only"), "Apache-2.0": ("/* SPDX-License-Identifier: Apache-2.0 */", "Distributed under the Apache License 2.0"),
+            "BSD": ("SPDX-License-Identifier: BSD-4-Clause", "license = BSD-2-Clause"), "LGPL": ("SPDX-License-Identifier: LGPL-2.0-or-later",), "AGPL": ("SPDX-License-Identifier: AGPL-1.0-only",),
+            "MIT": ("* SPDX-License-Identifier: MIT",), "CC-BY-SA": ("SPDX-License-Identifier: CC-BY-SA-3.0",), "MPL-2.0": ("license: MPL-2.0",)}
+    for family, texts in held.items():
+        for text in texts:
+            assert [f[0] for f in scan.passages(text, model)] == [family], text
+    for text in ("She went to MIT last year.", "Er ging mit ihr zum Fluss.", "There was only one person left, or two."):
+        assert not scan.passages(text, model), text
+
+
 def test_empty_trains_and_scans(spark):
     assert scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
