@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm import chat_format, exact_dedup, gru_lm, license_scan, mixing, packing, quality_rules, sharding, simhash, warc
+from pitlake.llm import chat_format, exact_dedup, filter_audit, gru_lm, license_scan, mixing, packing, piece_codec, quality_rules, sharding, simhash, warc, whitening
 from pitlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,10 +24,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 @query("op1_exact_dedup", """
@@ -109,3 +109,52 @@ def op9_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
+@query("op11_filter_audit", r"""
+with recursive measured as (
+  select d.doc_id, coalesce(lang, '') as part, coalesce(text, '') as body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+    min(doc_id) over (partition by coalesce(text, '')) as earliest from documents d),
+flags as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+masked as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    case when len(words) < 200 then 1 else 0 end + case when 100 * len(list_distinct(words)) < 50 * len(words) then 2 else 0 end
+    + case when 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * length(body) then 4 else 0 end
+    + case when regexp_matches(body, '[#$%&*|]') then 8 else 0 end + case when m.doc_id > earliest then 16 else 0 end as mask
+  from measured m left join flags f on m.doc_id = f.doc_id),
+cells as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from masked group by part, mask),
+letters as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)),
+walk(prefix, applied) as (
+  select '', 0 union all select prefix || letter, applied | bit from walk join letters on (applied & bit) = 0),
+places as (
+  select w.prefix as filter_order, s.step, l.letter, l.bit,
+    (select coalesce(sum(b.bit), 0) from letters b where contains(left(w.prefix, s.step - 1), b.letter)) as before
+  from walk w cross join (select unnest([1, 2, 3, 4, 5]) as step) s join letters l on l.letter = substr(w.prefix, s.step, 1) where length(w.prefix) = 5),
+steps as (
+  select part, filter_order, cast(step as integer) as step, letter,
+    cast(coalesce(sum(n) filter ((mask & (before + bit)) = 0), 0) as bigint) as kept,
+    cast(coalesce(sum(n) filter ((mask & bit) <> 0 and (mask & before) = 0), 0) as bigint) as removed,
+    cast(coalesce(sum(n) filter ((mask & bit) <> 0 and (mask & before) <> 0), 0) as bigint) as redundant,
+    cast(coalesce(sum(n) filter (mask = bit), 0) as bigint) as unique_fails,
+    cast(coalesce(sum(good) filter ((mask & bit) <> 0 and (mask & before) = 0), 0) as bigint) as good_lost,
+    cast(coalesce(sum(toxic) filter ((mask & bit) <> 0 and (mask & before) = 0), 0) as bigint) as toxic_lost
+  from (select c.part, c.mask, c.n, c.good, c.toxic, p.filter_order, p.step, p.letter, p.bit, cast(p.before as integer) as before from cells c cross join places p) x
+  group by part, filter_order, step, letter)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  cast(sum(removed) over (partition by part, letter) as bigint) as shapley from steps""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_piece_codec")
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    coded = piece_codec.encode(table(spark, sf_dir, "documents"), model)
+    return piece_codec.digests(piece_codec.decode(coded, model))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is exact; null where it passes the range of a long."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
