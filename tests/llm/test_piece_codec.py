@@ -21,7 +21,8 @@ def own(text, codec=CODEC):
 @given(st.text(alphabet=st.one_of(st.sampled_from("ab thein▁\n\t12'."), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_ids_and_text_equal_the_library(text):
     ids = own(text)
-    assert ids == CODEC.library.encode(text) and CODEC.decode(ids) == CODEC.library.decode(ids)
+    assert ids == CODEC.library.encode(text) and CODEC.unlike_the_library() == []
+    assert CODEC.decode(ids) == CODEC.decode(ids, CODEC.regular(np.array(ids, int))) == CODEC.library.decode(ids)
 
 
 def test_any_ids_decode_as_in_the_library():
@@ -30,7 +31,7 @@ def test_any_ids_decode_as_in_the_library():
     pool = [0, 1, 2, *range(3, 259), 259, 260, 28705, 300, 229, 148, 163]
     for _ in range(5000):
         ids = [rng.choice(pool) if rng.random() < .8 else rng.randrange(32000) for _ in range(rng.randint(0, 8))]
-        assert CODEC.decode(ids) == CODEC.library.decode(ids), ids
+        assert CODEC.decode(ids) == CODEC.decode(ids, CODEC.regular(np.array(ids, int))) == CODEC.library.decode(ids), ids
 
 
 def test_a_vocabulary_that_joins_over_words_is_one_agenda():
@@ -42,7 +43,17 @@ def test_a_vocabulary_that_joins_over_words_is_one_agenda():
 
 def test_islands_only_spare_work():
     for text in filter(None, ODD):
-        assert [p for island in CODEC.islands(text) for p in CODEC.merged(island)] == CODEC.merged(text)
+        whole = CODEC.merged(text)
+        assert [p for island in CODEC.islands(text) for p in CODEC.merged(island)] == whole == CODEC.merged_short(text)
+
+
+def test_recent_words_are_kept():
+    made = []
+    words = piece_codec.Recent(4, lambda w: made.append(w) or w.encode())
+    for w in "abacadaeafa":
+        assert words[w] == w.encode()
+    assert made.count("a") == 1 and made == list("abcdef")
+    assert words["b"] == b"b" and made[-1] == "b"
 
 
 def test_query_equals_the_library(spark):
@@ -51,6 +62,7 @@ def test_query_equals_the_library(spark):
     docs += [(100 + i, " ".join(rng.choice(["the", "Reshon,", "ther.\nThe", "Éoi", "x1y2", "und"]) for _ in range(rng.choice([1, 20, 3000]))), 1) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string, ids long").repartition(4)
     coded = piece_codec.encode(df, MODEL)
+    assert sorted(map(str, coded.collect())) == sorted(map(str, piece_codec.encode(df, MODEL, check="documents").collect()))
     got = sorted(tuple(map(str, r)) for r in piece_codec.digests(piece_codec.decode(coded, MODEL)).collect())
 
     def sha(text):
@@ -71,8 +83,12 @@ def test_malformed_text_and_null_ids(spark):
     assert [r.text for r in piece_codec.decode(spark.sql("select 1L as doc_id, cast(null as array<int>) as ids"), MODEL).collect()] == [""]
 
 
-def test_a_difference_fails_and_names_the_document():
+def test_differences_are_named():
     assert piece_codec.differing([7, 8], [[1], [2]], [[1], [3]]) == [8]
+    wrong = piece_codec.PieceCodec(MODEL)
+    del wrong.scores["▁the"]
+    wrong.encode("the und ")
+    assert wrong.unlike_the_library() == ["▁the"] and wrong.unlike_the_library() == []
 
 
 def test_other_vocabularies_are_refused(tmp_path):
