@@ -132,9 +132,15 @@ METRIC_LABELS = {
 }
 PERIOD_TOKEN = r"(\d{1,2})\.(\d{1,2})\.(\d{4})|(\d{4})/(\d{1,2})(?!\d)|(?<!\d)(\d{4})(?!\d)(?![a-zA-Z])"
 # Two tokens or more, each close to the one before.
-PERIOD_RUN = r"(?:@)(?:[\s\S]{0,35}?(?:@))+".replace("@", re.sub(r"\((?!\?)", "(?:", PERIOD_TOKEN))
+_PERIOD = re.sub(r"\((?!\?)", "(?:", PERIOD_TOKEN)
+PERIOD_STEP = rf"[\s\S]{{0,35}}?(?:{_PERIOD})"
+PERIOD_RUN = rf"(?:{_PERIOD})(?:{PERIOD_STEP})++"
 FORECAST_TOKEN = r"(?<!\d)\d{4}t\b"
 SIGNED_NUM = r"(?<![a-zA-Z])\(?-?\d{1,3}(?:\.\d{3})*(?:,\d+)?\)?"
+# How a row goes on with numbers alone, and a page with a table's rows.
+NUMBER_STEP = r"[^\p{L}]{0,35}?" + SIGNED_NUM
+TABLE_GAP = 80
+TABLE_STEP = rf"[\s\S]{{0,{TABLE_GAP}}}?" + SIGNED_NUM
 LABEL_GAP = r"^[\s()./,*\-]*(?:(?:veya|/)\s*zarar\w*[\s()./,*\-]*)?$"
 CURRENCY_MARKS = ((r"\bbin\s*tl\b", "thousand"), (r"\bmntl\b", "million"), (r"\btl\b", "unit"))
 STANDALONE_MARK, CONSOLIDATED_MARK = r"konsolide\s+olmayan", r"\bkonsolide\b"

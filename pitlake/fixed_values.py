@@ -47,3 +47,17 @@ SECTOR_RULES = (
 SECTOR_SKIPS_METRIC = {"insurance": ("revenue", "operating_profit"), "banking": ("current_assets", "current_liabilities")}
 SECTOR_SKIPS_RATIO = {"insurance": ("revenue_growth_yoy", "net_margin", "interest_coverage"), "banking": ("current_ratio",)}
 SECTOR_SKIPS_MULTIPLE = {"insurance": ("ps_at_offer",)}
+
+# Budgets of sections in characters, and the keyword families of each section category, in order.
+TOTAL_CHARS = 12_000
+SECTION_CHARS = 1_500
+CATEGORY_KEYWORDS = (
+    ("offering_structure", ("halka arz", "talep toplama", "dagitim yontemi", "sermaye artirimi", "ortak satisi")),
+    ("use_of_proceeds", ("fon kullanim",)),
+    ("risk_factors", ("risk faktorleri", "riskler")),
+    ("financial_position", ("finansal durum", "mali durum", "bilanco", "finansal tablolar")),
+    ("indebtedness", ("borclanma", "finansal borclar", "yukumlulukler")),
+    ("related_party_transactions", ("iliskili taraf",)),
+    ("litigation", ("dava", "hukuki takip", "ihtilaf")),
+    ("dividend_policy", ("kar payi dagitim", "temettu")),
+)

@@ -4,27 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitlake.fixed_values import CATEGORY_KEYWORDS, SECTION_CHARS, TOTAL_CHARS
 from pitlake.functions.text import contains_any, fold_text
+from pitlake.operators.prefix import running_sums
 from pitlake.operators.ranks import grouped_row_number
+from pitlake.session import stage
 from pitlake.tables import computed_once
 
-# Budgets in characters and the keyword families of each section category, in order.
-TOTAL_CHARS = 12_000
-SECTION_CHARS = 1_500
-CATEGORY_KEYWORDS = (
-    ("offering_structure", ("halka arz", "talep toplama", "dagitim yontemi", "sermaye artirimi", "ortak satisi")),
-    ("use_of_proceeds", ("fon kullanim",)),
-    ("risk_factors", ("risk faktorleri", "riskler")),
-    ("financial_position", ("finansal durum", "mali durum", "bilanco", "finansal tablolar")),
-    ("indebtedness", ("borclanma", "finansal borclar", "yukumlulukler")),
-    ("related_party_transactions", ("iliskili taraf",)),
-    ("litigation", ("dava", "hukuki takip", "ihtilaf")),
-    ("dividend_policy", ("kar payi dagitim", "temettu")),
-)
-
 
 def budgeted_selection(
     items: DataFrame,
@@ -32,11 +21,13 @@ def budgeted_selection(
     categories: Sequence[tuple[str, Sequence[str]]] = CATEGORY_KEYWORDS,
     section_chars: int = SECTION_CHARS,
     total_chars: int = TOTAL_CHARS,
+    slices: int | None = None,
 ) -> DataFrame:
     """Categorized sections per entity in order, until the next would pass the budget; then stop, with no skipping ahead.
 
-    ``items``: entity_id, text and the order columns. A kept section has at least one character, so no more than
-    ``total_chars`` of them can fit; only that many leading rows per entity are sent to the running sum.
+    ``items``: entity_id, text and the order columns. Sections are cut once and written; their lengths alone are summed in slices of the order, so an
+    entity of any size spreads over tasks, and slices that start past the budget are left unread. A section that fits nowhere in the budget ends the
+    entity. Equal order values are taken by section text. A null entity is an entity of its own.
     """
     category = F.lit(None).cast("string")
     for name, words in reversed(categories):
@@ -45,10 +36,10 @@ def budgeted_selection(
     named = computed_once(folded, "category", category).where(F.col("category").isNotNull())
     section = F.left(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""), F.lit(section_chars))
     cut = named.withColumn("section", section).drop("_folded", "text").where(F.length("section") > 0)
-    line = Window.partitionBy("entity_id").orderBy(*order)
-    leading = cut.withColumn("place", F.row_number().over(line)).where(F.col("place") <= total_chars)
-    upto = F.sum(F.length("section")).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    return leading.withColumn("chars_so_far", upto).where(F.col("chars_so_far") <= total_chars)
+    sections = stage(cut.withColumn("_row", F.monotonically_increasing_id()), "sections")
+    lengths = sections.select("entity_id", *order, F.xxhash64("section").alias("_tie"), "_row", F.length("section").cast("bigint").alias("_chars"))
+    kept = running_sums(lengths, ["entity_id"], [*order, "_tie", "_row"], {"chars_so_far": F.col("_chars")}, ("chars_so_far", total_chars), slices)
+    return sections.join(kept.select("_row", "chars_so_far"), "_row").drop("_row")
 
 
 def rank_candidates(documents: DataFrame, key: str = "entity_id") -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pitlake import extraction_rules as rules
 from pitlake.functions.numbers import parse_dotted_date, parse_month_name_date, parse_number
 from pitlake.functions.text import fold_text, located
-from pitlake.operators.period_tables import bound, with_next_page
+from pitlake.operators.page_chain import with_following
+from pitlake.operators.period_tables import bound
 from pitlake.tables import columns, computed_once
 
 # Folded text is lower case already; (?U) lets \\s and \\w see every space and letter.
@@ -284,9 +285,12 @@ def post_offer_evidence(pages: DataFrame, keep: Sequence[str] = (), passage_char
     """Window ends as later documents word them, kept apart from the facts: (doc_id, cutoff_date, snippet, source).
 
     ``pages``: doc_id, page_no, text, source_system, document_type. Result announcements name the month; issuer pages
-    repeat the window itself. Each page is read with the opening of the next (``passage_chars``), so a passage broken over two pages is still seen.
+    repeat the window itself. Each page is read with what follows it, up to ``passage_chars`` characters over as many pages as they fill, so a passage
+    broken over several short pages is found once, at the page where it begins.
     """
-    joined = with_next_page(pages, passage_chars).withColumn("text", F.concat_ws("\n", "text", "next_text"))
+    issuer = F.col("source_system") == "issuer_ir"
+    asked = pages.where(issuer | (F.col("document_type") == "ipo_results"))
+    joined = with_following(asked, asked, passage_chars).withColumn("_own", F.length("text")).withColumn("text", F.concat_ws("\n", "text", "following"))
     folded = computed_once(joined, "_folded", fold_text(F.col("text")))
     low, text = F.col("_folded"), F.col("text")
     month_named = [(FLAGS + rules.RESULT_END_PATTERN, "tarih", lambda m, p: parse_month_name_date(*[F.regexp_extract(m, p, g) for g in (1, 2, 3)]))]
@@ -295,15 +299,15 @@ def post_offer_evidence(pages: DataFrame, keep: Sequence[str] = (), passage_char
     def reading(rank: int, pattern: str, anchor: str, read: Callable[[Column, str], Column]) -> Column:
         match = F.regexp_substr(low, F.lit(pattern))
         match = F.when(F.contains(low, F.lit(anchor)), match) if anchor else match
-        return bound(match, lambda m: F.struct(
-            F.lit(rank).alias("rank"), read(m, pattern).alias("cutoff_date"), spelled_at(text, F.regexp_instr(low, F.lit(pattern)), m).alias("snippet"), m.isNotNull().alias("hit")))
+        at = F.when(match.isNotNull(), F.regexp_instr(low, F.lit(pattern)))
+        return bound(F.struct(match.alias("m"), at.alias("at")), lambda b: F.struct(
+            F.lit(rank).alias("rank"), read(b["m"], pattern).alias("cutoff_date"), spelled_at(text, b["at"], b["m"]).alias("snippet"), (b["at"] <= F.col("_own")).alias("hit")))
 
     def readings(listed: list[tuple]) -> Column:
         """(rank of the pattern, date or NULL, snippet) of every pattern that the page holds."""
         return F.filter(F.array(*[reading(rank, *one) for rank, one in enumerate(listed)]), lambda c: c["hit"])
 
-    issuer = F.col("source_system") == "issuer_ir"
-    hits = folded.where(issuer | (F.col("document_type") == "ipo_results")).select(
+    hits = folded.select(
         "doc_id", "page_no", *keep, issuer.alias("_issuer"), F.inline(F.when(issuer, readings(windows)).otherwise(readings(month_named))))
     # issuer pages: the first pattern anywhere in the document decides, readable or not; announcements: the first readable date
     counted = hits.where(F.col("_issuer") | F.col("cutoff_date").isNotNull()).withColumn(

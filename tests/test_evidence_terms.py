@@ -1,11 +1,12 @@
 import itertools
+import random
 from datetime import date, datetime
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from pitlake.operators import evidence, period_tables, ratios, terms
+from pitlake.operators import evidence, page_chain, period_tables, ratios, terms
 
 OBS = "entity_id string, field string, source_type string, published_at timestamp_ntz, doc_id string, page_no int, method string, value_num double, value_str string, value_date date, snippet string"
 PRO, ANN, RES = "approved_prospectus", "investor_sale_announcement", "ipo_results"
@@ -103,6 +104,75 @@ def test_post_offer_evidence_over_a_page_break(spark):
     assert rows(evidence.post_offer_evidence(issuer), "cutoff_date", "source") == [(date(2024, 4, 5), "issuer_ir.subscription_end_date")]
 
 
+def test_post_offer_evidence_over_several_short_pages(spark):
+    """A passage over three pages is found once, at its first page; a missing page in between ends it."""
+    results = ["Başka bir konu. " * 60, "Halka arzda 5 Mayıs 2024", "tarihleri arasında", "\n yatırımcılardan ", "talep toplanmıştır", "7 Mayıs 2024 tarihleri arasında talep toplanmıştır"]
+    df = pages(spark, *results).withColumn("source_system", F.lit("kap")).withColumn("document_type", F.lit("ipo_results"))
+    found = evidence.post_offer_evidence(df, ["page_no"])
+    assert rows(found, "cutoff_date", "page_no") == [(date(2024, 5, 5), 2)]
+    assert found.collect()[0]["snippet"] == "5 Mayıs 2024\ntarihleri arasında\n\n yatırımcılardan \ntalep topla"
+    assert rows(evidence.post_offer_evidence(df.where("page_no <> 4"), ["page_no"]), "cutoff_date", "page_no") == [(date(2024, 5, 7), 6)]
+    assert rows(evidence.post_offer_evidence(df.where("page_no in (2, 3)"))) == []
+
+
+def test_following_pages_equal_brute_force(spark):
+    """Random page lengths, free openings, gaps and repeats against a walk over the pages."""
+    random.seed(6)
+    texts = {}
+    for doc in "ab":
+        for no in range(1, 80):
+            if random.random() < 0.93:
+                texts[doc, no] = "".join(random.choice("01xyz ") for _ in range(random.choice([0, 1, 3, 8, 40])))
+    data = [(d, n, t) for (d, n), t in texts.items()] + [("a", 5, texts.get(("a", 5), "q")), ("a", None, "nowhere"), (None, 1, "nobody")]
+    texts.setdefault(("a", 5), "q")
+    df = spark.createDataFrame(data, "doc_id string, page_no long, text string").repartition(4).cache()
+    led = F.length(F.regexp_substr("text", F.lit("^[01]*")))
+    got = {(r["doc_id"], r["page_no"]): r["following"] for r in page_chain.with_following(df, df, 20, led).collect()}
+    assert got["a", None] == got[None, 1] == []
+    for (doc, no), _ in texts.items():
+        want, used, at = [], 0, no + 1
+        while (doc, at) in texts and used < 20:
+            text = texts[doc, at]
+            free = len(text) - len(text.lstrip("01"))
+            want.append(text[:free + 20 - used])
+            used += len(text) - free + 1
+            at += 1
+        assert got[doc, no] == want, (doc, no)
+
+
+def test_period_table_of_forty_periods_over_three_pages(spark):
+    periods = [f"{1990 + i // 4}/{3 * (i % 4) + 3:02d}" for i in range(40)]
+    first = [f"{100 + i}.{i:03d}.000" for i in range(40)]
+    second = [f"({i + 1})" for i in range(40)]
+    texts = ["Gelir Tablosu\nbin TL " + " ".join(periods[:25]), " ".join(periods[25:]) + "\nNet Satışlar " + " ".join(first[:30]),
+             " ".join(first[30:]) + "\nNet Kar " + " ".join(second[:11]), " ".join(second[11:]) + "\nFinansman Giderleri " + " ".join(first) + "\nAçıklama " + "metin " * 400, "EBIT " + " ".join(first)]
+    got = {m: [v[0] for v in values] for m, values in table(spark, *texts).items()}
+    assert got == {"revenue": [float(f"{100 + i}{i:03d}000") for i in range(40)], "net_income": [-float(i + 1) for i in range(40)], "finance_expense": [float(f"{100 + i}{i:03d}000") for i in range(40)]}
+    ends = [v[3] for v in table(spark, *texts)["revenue"]]
+    assert (ends[0], ends[39]) == (date(1990, 3, 31), date(1999, 12, 31))
+    assert rows(period_tables.period_table_rejects(pages(spark, *texts))) == []
+
+
+def test_period_table_windows_do_not_cut_tokens(spark):
+    """A token on the 300th and a number on the 400th character are read whole."""
+    pad = "x" * 268
+    assert [v[3] for v in table(spark, f"Gelir Tablosu {pad} TL 2022/12 2023/12 2024/12 Net Satışlar 1 2 3")["revenue"]] == [date(y, 12, 31) for y in (2022, 2023, 2024)]
+    spread = "Gelir Tablosu TL 2022 2023\nNet Satışlar 1 " + "dipnot " * 56 + " 123.456.789 x"
+    assert [v[0] for v in table(spark, spread)["revenue"]] == [1.0, 123456789.0]
+
+
+def test_torn_tables_are_rejected_with_a_reason(spark):
+    torn = pages(spark, "Gelir Tablosu TL 2020 2021 2022\nEBIT 4 5 6\nNet Satışlar 1 2 üç bin " + "söz " * 200, "Bilanço bin TL 31.12.2022 30.13.2023\nDönen Varlıklar 1 2")
+    assert rows(period_tables.period_table_rejects(torn), "page_no", "metric", "reason", "have", "need") == [(1, "revenue", "row_torn", 2, 3), (2, None, "period_unreadable", 1, 2)]
+    mended = pages(spark, "Gelir Tablosu TL 2020 2021 2022\nNet Satışlar 1 2 üç bin " + "söz " * 200, "Gelir Tablosu TL 2020 2021 2022\nNet Satışlar 1 2 3")
+    assert rows(period_tables.period_table_rejects(mended)) == []
+
+
+def test_long_number_pages_do_not_exhaust_the_matcher(spark):
+    text = "Gelir Tablosu TL " + "2020 " * 30000 + "\nNet Satışlar " + "7 " * 30000
+    assert len(table(spark, text)["revenue"]) == 30000
+
+
 def table(spark, *texts):
     out = {}
     for r in period_tables.extract_period_table(pages(spark, *texts)).orderBy("place").collect():

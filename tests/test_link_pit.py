@@ -4,7 +4,7 @@ from datetime import date, datetime
 from conftest import rows
 from pyspark.sql import functions as F
 
-from pitlake.operators import context, link, pit
+from pitlake.operators import context, link, pit, prefix
 
 LEFT = "id string, ticker string, company_name string"
 
@@ -97,6 +97,48 @@ def test_budget_stops_at_the_first_overflow(spark):
     assert [r["category"] for r in got] == ["risk_factors"]
 
 
+def test_budget_over_one_hot_entity(spark):
+    """One entity holds nearly all rows: its order is cut into slices of like size, and only those under the budget are gone through."""
+    random.seed(4)
+    data = [("hot", i, "risk " + "x" * random.randrange(30)) for i in random.sample(range(4000), 4000)]
+    data += [("cold", i, "riskler " * 3) for i in range(5)] + [(None, i, "riskler") for i in range(3)] + [("cold", 9, None), ("none", 1, "konu yok")]
+    df = spark.createDataFrame(data, "entity_id string, place int, text string").repartition(6)
+    words = (("risk", ("risk",)),)
+    got = {}
+    for r in context.budgeted_selection(df, ["place"], words, total_chars=3000, slices=16).collect():
+        got.setdefault(r["entity_id"], []).append((r["place"], r["section"], r["chars_so_far"]))
+    for entity in ("hot", "cold", None):
+        want, total = [], 0
+        for _, place, text in sorted((d for d in data if d[0] == entity and d[2]), key=lambda d: d[1]):
+            total += len(text.strip())
+            if total > 3000:
+                break
+            want.append((place, text.strip(), total))
+        assert sorted(got[entity]) == want
+    assert set(got) == {"hot", "cold", None}
+
+    lengths = df.where("text is not null").select("entity_id", "place", F.length("text").alias("n"))
+    cut = prefix.sliced(lengths, ["entity_id"], ["place"], 16).cache()
+    sizes = [r["count"] for r in cut.groupBy("_slice").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 3 * 4000 / 16
+    opened = prefix.offsets(cut, ["entity_id"], {"n": F.col("n")}).where("n <= 3000 and entity_id = 'hot'")
+    assert opened.count() <= 3
+    plan = prefix.running_sums(lengths, ["entity_id"], ["place"], {"upto": F.col("n")})._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert sum("_slice" in w.split("],")[1] for w in windows) >= 1 and len(windows) == 2
+
+
+def test_running_sums_equal_brute_force(spark):
+    random.seed(11)
+    data = [(random.choice(["a", "b", None]), i, random.randrange(4)) for i in range(300)]
+    df = spark.createDataFrame(data, "g string, i int, n int").repartition(5)
+    got = {r["i"]: (r["upto"], r["ones"]) for r in prefix.running_sums(df, ["g"], ["i"], {"upto": F.col("n"), "ones": F.lit(1)}, slices=7).collect()}
+    for g, i, _ in data:
+        same = [n for h, j, n in data if h == g and j <= i]
+        assert got[i] == (sum(same), len(same))
+    assert prefix.running_sums(df.limit(0), ["g"], ["i"], {"upto": F.col("n")}).count() == 0
+
+
 def test_rank_candidates_over_slices(spark):
     random.seed(9)
     docs = [(random.choice("ab"), f"d{i}", random.choice([None, 1, 2, 11]), datetime(2024, random.randrange(1, 4), random.randrange(1, 28))) for i in range(60)]

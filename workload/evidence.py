@@ -313,3 +313,52 @@ union all select doc_id, 'current_assets', page_no, 0, e, 'thousand', '2022-12-3
 def extract_period_table(spark, d):
     out = period_tables.extract_period_table(derive(spark, d, TABLE_PAGES.replace("//", "div")))
     return out.select("doc_id", "metric", "page_no", "place", "value", "scale", day("period_end"), "period_type", F.col("consolidation_scope").alias("scope"))
+
+
+# Tables over three pages: forty periods, a header broken over two pages, rows broken over the next. Every third order's second row stops after 25 numbers.
+SPANS = [f"{1990 + i // 4}/{3 * (i % 4) + 3:02d}" for i in range(40)]
+
+
+def listed(numbers, of):
+    return " || ' ' || ".join(of.format(i) for i in numbers)
+
+
+LONG_TABLE_PAGES = f"""
+select doc_id, page_no, case page_no
+  when 1 then 'Önsöz. Gelir Tablosu' || chr(10) || 'bin TL {" ".join(SPANS[:25])}'
+  when 2 then '{" ".join(SPANS[25:])}' || chr(10) || 'Net Satışlar ' || {listed(range(30), "cast(e + {0} as varchar(9))")}
+  else {listed(range(30, 40), "cast(e + {0} as varchar(9))")} || chr(10) || 'EBIT ' || {listed(range(25), "'(' || (q + {0}) || ')'")} ||
+    case when torn = 1 then ' diye biten satır. ' || repeat('Açıklama metni. ', 40) else ' ' || {listed(range(25, 40), "'(' || (q + {0}) || ')'")} end end as text
+from (select cast(o_orderkey as varchar(20)) as doc_id, case when o_orderkey % 3 = 0 then 1 else 0 end as torn, cast(floor(o_totalprice) as bigint) % 900 as e, o_custkey % 900 as q
+  from {{orders}}) o [[p(page_no) (1), (2), (3)]]"""
+LONG_TABLES = plain(f"select cast(o_orderkey as varchar(20)) as doc_id, o_orderkey % 3 = 0 as torn, cast(floor(o_totalprice) as bigint) % 900 as e, o_custkey % 900 as q from {{orders}}")
+
+
+@query("long_period_tables", f"""with o as ({LONG_TABLES}), n as (select unnest(range(40)) as place)
+select doc_id, metric, 1 as page_no, count(*) as periods, sum(value) as total, max(value) filter (place = 39) as last_value,
+  '1999-12-31' as last_end, min(scale) as scale
+from (select doc_id, 'revenue' as metric, place, cast(e + place as double) as value, 'thousand' as scale from o, n
+  union all select doc_id, 'operating_profit', place, cast(-(q + place) as double), 'thousand' from o, n where not torn) c group by 1, 2""")
+def long_period_tables(spark, d):
+    out = period_tables.extract_period_table(derive(spark, d, LONG_TABLE_PAGES.replace("//", "div")))
+    return out.groupBy("doc_id", "metric").agg(
+        F.min("page_no").alias("page_no"), F.count(F.lit(1)).alias("periods"), F.sum("value").alias("total"), F.max(F.when(F.col("place") == 39, F.col("value"))).alias("last_value"),
+        F.date_format(F.max("period_end"), "yyyy-MM-dd").alias("last_end"), F.min("scale").alias("scale"))
+
+
+@query("torn_period_tables", f"select doc_id, 1 as page_no, 'operating_profit' as metric, 'row_torn' as reason, 25 as have, 40 as need from ({LONG_TABLES}) o where torn")
+def torn_period_tables(spark, d):
+    return period_tables.period_table_rejects(derive(spark, d, LONG_TABLE_PAGES.replace("//", "div")))
+
+
+# A closing sentence cut into three short pages, with a page of other text before it; page 3 is missing for every fourth order.
+BROKEN_PAGES = """
+select doc_id, page_no, case page_no when 1 then repeat('Genel açıklama. ', 40) when 2 then 'Halka arzda 1' || ln || ' Mayıs 2024' when 3 then 'tarihleri arasında' else 'talep toplanmıştır.' end as text,
+  'kap' as source_system, 'ipo_results' as document_type
+from (select cast(o_orderkey as varchar(20)) as doc_id, o_orderkey % 9 as ln, o_orderkey % 4 as gap from {orders}) o [[p(page_no) (1), (2), (3), (4)]] where gap <> 0 or page_no <> 3"""
+
+
+@query("broken_window_ends", """select cast(o_orderkey as varchar(20)) as doc_id, 2 as page_no, '2024-05-1' || (o_orderkey % 9) as cutoff_date,
+  '1' || (o_orderkey % 9) || ' Mayıs 2024' || chr(10) || 'tarihleri arasında' || chr(10) || 'talep topla' as snippet from orders where o_orderkey % 4 <> 0""")
+def broken_window_ends(spark, d):
+    return evidence.post_offer_evidence(derive(spark, d, BROKEN_PAGES), ["page_no"]).select("doc_id", "page_no", day("cutoff_date"), "snippet")

@@ -228,6 +228,16 @@ def budgeted_selection(spark, d):
     return out.select(F.col("entity_id").alias("source"), "doc_id", "category", F.length("section").cast("bigint").alias("section_chars"), "chars_so_far")
 
 
+# One entity holds every document: its sections are cut into slices of their order.
+@query("budget_of_one_entity", """with lengths as (select doc_id, least(length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')), 500) as n from documents),
+summed as (select doc_id, n, sum(n) over (order by doc_id) as upto from lengths where n > 0)
+select doc_id, cast(n as bigint) as section_chars, cast(upto as bigint) as chars_so_far from summed where upto <= 200000""")
+def budget_of_one_entity(spark, d):
+    items = table(spark, d, "documents").select(F.lit("all").alias("entity_id"), "doc_id", "text")
+    out = context.budgeted_selection(items, ["doc_id"], (("any", ("",)),), section_chars=500, total_chars=200_000)
+    return out.select("doc_id", F.length("section").cast("bigint").alias("section_chars"), "chars_so_far")
+
+
 @query("rank_candidates", f"""select o_custkey, disclosure_id, row_number() over (partition by o_custkey
   order by case when contains({OR_TITLE}, '2. bolum') then 2 end desc nulls last, published_at, disclosure_id) as candidate_rank from ({DISCLOSURES}) x""")
 def rank_candidates(spark, d):
