@@ -7,7 +7,9 @@ Files are gzip streams, written by Spark's text writer with the format's record
 Cases: a null url or html is empty, an empty payload is a response of its own; payloads under ``LEAST_REVISIT`` bytes are never revisits. Of equal
 payloads the smallest record key is the response (keys are numbers; a null key is the largest), then the first in the archives; so repeated rows are
 one response and its revisits. Payloads may hold anything, record separators and header look-alikes included. An empty table gives archives
-without records. A line that does not fit the version, or a length that runs past the end of the file, fails with the file's name.
+without records. A line that does not fit the version, or a length that runs past the end of the file, fails with the file's name. Urls, headers and
+payloads may be of any length; a task holds one compressed file and one record. The MD5 in version 2 lines is for other readers: SHA-256 digests are
+what is checked here. Other columns of the pages are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "20000101000000"
 KEY_HEADER = "X-Record-Key"
-READ_BLOCK = 1 << 20
+READ_BLOCK, INFLATED = 1 << 20, 1 << 22
+# Both archives are written at zlib's quickest level; the reader takes any.
+GZIP_LEVEL = "BEST_SPEED"
 
 
 def spaceless(value: str, otherwise: str = "-") -> str:
@@ -64,7 +68,13 @@ def arc_record(version: int, name: str, url: str, key: object, payload: bytes) -
     return f"{' '.join(values)} {len(content)}\n".encode() + content
 
 
-def write_arc(pages: DataFrame, folder: str, version: int | None = None) -> None:
+def write_gzip(records: DataFrame, folder: str, separator: str, level: str) -> None:
+    """Records of one binary column as gzip files, one per partition. ``level`` is one of zlib's names (BEST_SPEED to BEST_COMPRESSION)."""
+    lines = records.select(F.col(records.columns[0]).cast("string"))
+    lines.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", level).text(folder)
+
+
+def write_arc(pages: DataFrame, folder: str, version: int | None = None, level: str = GZIP_LEVEL) -> None:
     """One ARC file per input partition from (page_id, url, html); ``version`` None alternates between the two by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,36 +85,40 @@ def write_arc(pages: DataFrame, folder: str, version: int | None = None) -> None
             keys, urls, payloads = (batch.column(i).to_pylist() for i in range(3))
             yield pa.RecordBatch.from_arrays([pa.array([arc_record(kind, name, u, k, p) for k, u, p in zip(keys, urls, payloads, strict=True)], pa.binary())], ["value"])
 
-    lines = pages.select("page_id", F.coalesce("url", F.lit("")), as_bytes("html")).mapInArrow(run, "value binary")
-    lines.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").text(folder)
+    write_gzip(pages.select("page_id", F.coalesce("url", F.lit("")), as_bytes("html")).mapInArrow(run, "value binary"), folder, "\n", level)
 
 
 class Stream:
     """Bytes of a gzip member chain (or of plain bytes), inflated as they are asked for."""
 
     def __init__(self, name: str, data: bytes):
-        self.name, self.data, self.at, self.ready, self.place = name, data, 0, bytearray(), 0
+        self.name, self.data, self.at, self.packed, self.ready, self.place = name, data, 0, b"", bytearray(), 0
         self.inflater = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else None
 
     def more(self) -> bool:
-        if self.at >= len(self.data):
-            return False
-        part = self.data[self.at:self.at + READ_BLOCK]
-        self.at += len(part)
+        """Take in the next bytes, at most ``INFLATED`` of them however well they are packed."""
+        if not self.packed:
+            if self.at >= len(self.data):
+                return False
+            self.packed = self.data[self.at:self.at + READ_BLOCK]
+            self.at += len(self.packed)
         if self.inflater is None:
-            self.ready += part
+            self.ready += self.packed
+            self.packed = b""
             return True
-        while part:
-            self.ready += self.inflater.decompress(part)
-            part = self.inflater.unused_data
-            if part or self.inflater.eof:
-                self.inflater = zlib.decompressobj(31)
+        self.ready += self.inflater.decompress(self.packed, INFLATED)
+        self.packed = self.inflater.unconsumed_tail
+        if self.inflater.eof:
+            self.packed = self.inflater.unused_data
+            self.inflater = zlib.decompressobj(31)
         return True
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes | None:
-        """Bytes before the next ``mark``, which is passed over; None at the end of the file."""
-        while (found := self.ready.find(mark)) < 0:
-            if len(self.ready) > most or not self.more():
+    def until(self, mark: bytes) -> bytes | None:
+        """Bytes before the next ``mark``, however far it is, which is passed over; None at the end of the file."""
+        searched = 0
+        while (found := self.ready.find(mark, searched)) < 0:
+            searched = max(0, len(self.ready) - len(mark) + 1)
+            if not self.more():
                 if self.ready.strip():
                     raise ValueError(f"{self.name}: no header ends after byte {self.place}")
                 return None
@@ -224,7 +238,7 @@ def revisits(found: DataFrame) -> DataFrame:
     return long_enough.join(firsts, "payload_digest").where(~same).select("file", "place", F.col("first.file").alias("first_file"), F.col("first.place").alias("first_place"))
 
 
-def convert(spark: SparkSession, arc_folder: str, warc_folder: str) -> None:
+def convert(spark: SparkSession, arc_folder: str, warc_folder: str, level: str = GZIP_LEVEL) -> None:
     """Write the WARC equivalent of every ARC file below ``arc_folder``.
 
     Which records are revisits is decided from digests alone. The revisits of a file, a list of offsets, are sorted beside its content, so
@@ -257,7 +271,7 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str) -> None:
     marks = later.groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct("place", "first_file", "first_place")).alias("marks"))
     files = archives(spark, arc_folder)
     records = files.join(F.broadcast(marks) if not later.take(1) else marks, "path", "left").select("path", "content", "marks").mapInArrow(run, "value binary")
-    records.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_folder)
+    write_gzip(records, warc_folder, "\r\n\r\n", level)
 
 
 # --- WARC --------------------------------------------------------------------------------------------------------------------------

@@ -2,21 +2,30 @@ import os
 import shutil
 import subprocess
 import sys
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pitlake.llm import exact_dedup, quality_rules, simhash
+from pitlake.llm import exact_dedup, mixing, packing, quality_rules
+from pitlake.llm.queries import tokenizer_path
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF = "/root/testdata/sf0.001"
 
 
 def near_brute(docs):
-    """Smallest doc_id of each group of texts whose wide fingerprints link them."""
-    wide = [int.from_bytes(simhash.wide_fingerprint(t)[0], "little") for _, t in docs]
+    """Smallest doc_id of each group of texts linked by sharing at least 0.8 of their distinct five-word shingles."""
+    sets = []
+    for _, text in docs:
+        words = text.lower().split()
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))})
     group = list(range(len(docs)))
-    for i in range(len(docs)):
-        for j in range(i):
-            if (wide[i] ^ wide[j]).bit_count() <= simhash.wide_limit() and group[i] != group[j]:
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b) and group[i] != group[j]:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     return sorted(min(docs[k][0] for k in range(len(docs)) if group[k] == g) for g in set(group))
@@ -43,12 +52,36 @@ def test_stages_equal_brute_force(spark):
     apart = step["near_dedup"](spark, single, SF).cache()
     assert sorted(r.doc_id for r in apart.collect()) == near_brute([(r.doc_id, r.text.encode()) for r in single.collect()])
 
+    # Each document comes out as often as its rate says, its row unchanged; test_mixing.py restates the rates.
     mixed = step["mixing"](spark, apart, SF).cache()
-    assert mixed.columns == docs.columns and 0 < mixed.count() <= apart.count()
-    packed = step["packing"](spark, mixed, SF)
-    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in mixed.collect()}
-    assert corpus_pipeline.run(spark, SF).count() == packed.count()
-    assert exact_dedup.CAPACITY > 0 and simhash.RADIUS == 2
+    assert mixed.columns == docs.columns
+    rates = {r.doc_id: r.copies for r in mixing.sampled(apart).collect()}
+    texts = {r.doc_id: tuple(r) for r in apart.collect()}
+    times = Counter(r.doc_id for r in mixed.collect())
+    assert set(rates) == set(texts) and times == Counter({d: n for d, n in rates.items() if n})
+    assert all(tuple(r) == texts[r.doc_id] for r in mixed.collect())
+
+    # Every id of every drawn copy lies in exactly one piece, and no sequence is longer than it may be.
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    packed = step["packing"](spark, mixed, SF).collect()
+    pieces, sequences = defaultdict(Counter), defaultdict(list)
+    for r in packed:
+        pieces[r.doc_id][r.start, r.length, r.ids_crc32] += 1
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for doc_id, n in times.items():
+        ids = tokenizer.encode(texts[doc_id][docs.columns.index("text")] or "", add_special_tokens=False).ids + [1]
+        held = Counter()
+        for (start, length, crc), k in pieces[doc_id].items():
+            assert zlib.crc32(np.array(ids[start:start + length], "<u4").tobytes()) == crc
+            held.update({i: k for i in range(start, start + length)})
+        assert held == Counter({i: n for i in range(len(ids))})
+    for placed in sequences.values():
+        ends = [0]
+        for offset, length in sorted(placed):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= packing.LENGTH
+    assert set(pieces) == set(times) and corpus_pipeline.run(spark, SF).count() == len(packed)
 
 
 def test_near_stage_equals_brute_force_over_exact_similarity(spark):

@@ -63,5 +63,30 @@ def test_other_writers_files():
         list(warc.arc_records("x", data.replace(b"1 0 X", b"7 0 X")))
 
 
+def test_long_headers_and_packed_payloads(spark):
+    """A url of two MiB, and a payload that inflates to many times what a task takes in at once."""
+    pages = [(1, "http://a/" + "u" * (2 << 20), "x" * 200), (2, "http://a/2", "ab" * (12 << 20)), (3, "http://a/3", "x" * 200)]
+    got = warc.archive_pages(spark, spark.createDataFrame(pages, SCHEMA).coalesce(1)).collect()
+    assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=str) == brute(pages)
+    assert all(r.intact for r in got) and max(len(r.target_uri) for r in got) == 9 + (2 << 20)
+
+
+def test_inflating_is_bounded():
+    stream = warc.Stream("x", gzip.compress(b"z" * (40 << 20)) + gzip.compress(b"end\n"))
+    assert stream.more() and len(stream.ready) <= warc.INFLATED
+    assert stream.take(40 << 20) == b"z" * (40 << 20) and stream.until(b"\n") == b"end" and stream.until(b"\n") is None
+
+
+def test_levels_only_change_the_size(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", "some words again and again " * 200 + str(i)) for i in range(50)], SCHEMA).coalesce(1)
+    sizes, contents = [], []
+    for level in ("BEST_SPEED", "BEST_COMPRESSION"):
+        warc.write_arc(df, f"{tmp_path}/{level}", 1, level)
+        data = next((tmp_path / level).glob("*.gz")).read_bytes()
+        sizes.append(len(data))
+        contents.append(gzip.decompress(data))
+    assert sizes[0] > sizes[1] and contents[0] == contents[1]
+
+
 def test_empty(spark):
     assert warc.archive_pages(spark, spark.createDataFrame([], SCHEMA)).count() == 0
