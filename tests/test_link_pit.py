@@ -175,3 +175,35 @@ def test_lifecycle_window(spark):
                                "i int, application_date date, period_start date, listing_date date")
     got = rows(pit.lifecycle_window(df, "2024-12-31"), "i", "window_from", "window_to")
     assert got == [(1, date(2023, 12, 4), date(2024, 7, 31)), (2, date(2023, 11, 27), date(2024, 12, 31)), (3, date(2023, 6, 27), date(2024, 7, 31))]
+
+
+def test_leak_check_rebuild(spark):
+    """Good code is untouched by the future; a count over everything, a row that appears and a null entity are found."""
+    day = date(2024, 1, 10)
+    cut = spark.createDataFrame([("a", day), ("b", day), ("c", None)], "entity_id string, cutoff_date date")
+    late, early = datetime(2024, 1, 11), datetime(2024, 1, 10, 23, 59, 59)
+    schema = "entity_id string, ts timestamp_ntz, n int, name string, flag boolean, day date, items array<int>"
+    data = [("a", early, 1, "x", True, day, [1]), ("a", late, None, None, None, day, None), ("b", early, 5, "y", False, None, None), ("c", early, 1, "z", True, day, [2]), (None, early, 7, "q", None, None, None)]
+    inputs = {"facts": spark.createDataFrame(data, schema), "rates": spark.createDataFrame([(3,)], "rate int")}
+
+    def good(tables):
+        known = pit.as_of_filter(tables["facts"], cut, "ts").where("considered").drop("considered")
+        return known.crossJoin(tables["rates"].limit(1))
+
+    def run(rebuild):
+        return sorted((str(r["entity_id"]), r["perturbation"]) for r in pit.leak_check_rebuild(inputs, cut, rebuild, {"facts": "ts"}).collect())
+
+    assert run(good) == []
+    assert run(lambda t: t["facts"].groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))) == [(e, "future dropped") for e in ("None", "a", "c")]
+    for column in ("n", "name", "flag", "day"):
+        leaks = run(lambda t, c=column: good(t).unionByName(t["facts"].where("ts > '2024-01-11' or ts = '2024-01-11'").select("entity_id", F.col(c).cast("string").alias("name")), allowMissingColumns=True))
+        assert leaks == [("a", "future changed"), ("a", "future dropped")], column
+    altered = {r["entity_id"]: r for r in pit.with_changed_future(inputs["facts"], cut, "ts", "entity_id").where(f"ts >= '{late}'").collect()}
+    assert tuple(altered["a"]) == ("a", late, 0, "~", True, date(2024, 1, 11), None)
+
+
+def test_content_hashes_ignore_order_and_count_repeats(spark):
+    def of(*values):
+        return pit.content_hashes(spark.createDataFrame([("e", v, None) for v in values], "entity_id string, v int, w string").repartition(3), "entity_id").collect()[0]["content"]
+
+    assert of(1, 2, 3) == of(3, 1, 2) and len({of(1, 2), of(1, 1, 2), of(1, 2, 2), of(2), of(1, 1, 2, 2), of(None, 2)}) == 6

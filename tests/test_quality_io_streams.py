@@ -1,5 +1,6 @@
 import json
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import rows
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from pitlake.operators import pages, quality
 from pitlake.plans import history
 from pitlake.sources import html, readers, sinks
-from pitlake.streaming import records
+from pitlake.streaming import outbox, records
 
 
 def test_strict_records(spark):
@@ -178,6 +179,52 @@ def test_failed_delivery_is_tried_again(spark, tmp_path):
     assert rows(spark.read.parquet(sent), "k", "h") == [("a", "x"), ("b", "x")]
 
 
+MINUTE = timedelta(minutes=1)
+
+
+def outbox_brute(items, live, retry, attempts, upto):
+    """(key, outcome, attempt, minute) of each key's rows in order, and of its timers up to the watermark."""
+    out = []
+    for key in {k for k, _, _ in items}:
+        now = None
+        for at, confirmed in [*sorted((t, c) for k, t, c in items if k == key), (upto, None)]:
+            while now and now[2] <= at:
+                if now[0] == "sent":
+                    now = None
+                elif now[1] < attempts:
+                    now = ("waiting", now[1] + 1, now[2] + retry)
+                    out.append((key, "send", now[1], now[2] - retry))
+                else:
+                    out.append((key, "given_up", now[1], now[2]))
+                    now = None
+            if confirmed:
+                now = ("sent", 0, max(at + live, now[2] if now and now[0] == "sent" else 0))
+            elif confirmed is False and now is None:
+                out.append((key, "send", 1, at))
+                now = ("waiting", 1, at + retry)
+    return sorted(out)
+
+
+def test_timed_delivery_expires_retries_and_restarts(spark, tmp_path):
+    """Random content and confirmations in time order over several runs from one checkpoint, against a walk over each key."""
+    rng = random.Random(8)
+    items = sorted(((rng.choice("abcd"), t, rng.random() < 0.4) for t in rng.sample(range(1000), 120)), key=lambda i: i[1])
+    items = [(k, t, c and k != "d") for k, t, c in items]
+    src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    src.mkdir()
+    start = datetime(2024, 1, 1)
+    runs = [items[:40], items[40:41], items[41:90], items[90:]]
+    for i, part in enumerate(runs):
+        lines = [json.dumps({"k": k, "t": (start + t * MINUTE).isoformat(), "ok": c or None}) for k, t, c in part]
+        (src / f"{i}.json").write_text("\n".join(lines + ([json.dumps({"k": "a", "t": None, "ok": None})] if i == 1 else [])))
+        stream = spark.readStream.schema("k string, t timestamp, ok boolean").json(str(src)).withColumn("h", F.lit("x"))
+        due = outbox.timed_delivery(stream, ["k"], "h", "t", "ok", "0 seconds", 90 * MINUTE, 25 * MINUTE, attempts=3)
+        outbox.run(due, out, state)
+    got = sorted((r["k"], r["outcome"], r["attempt"], (r["due"] - start) // MINUTE) for r in spark.read.parquet(out).collect())
+    assert got == outbox_brute(items, 90, 25, 3, items[-1][1])
+    assert {o for _, o, _, _ in got} == {"send", "given_up"} and spark.conf.get(outbox.STATE_STORE) != outbox.ROCKS_DB
+
+
 def test_stream_first_write_wins_over_batches(spark, tmp_path):
     src, target, state = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "state")
     for i, v in enumerate((5, 1)):

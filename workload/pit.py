@@ -60,6 +60,35 @@ def leak_check_finds(spark, d):
     return pit.leak_check(everything, cutoffs(spark, d), "ts").select("event_id")
 
 
+def as_of_totals(events, days):
+    """What is known of an entity at its cutoff: the number, sum and latest kind of its events."""
+    known = pit.as_of_filter(events, days, "ts").where("considered")
+    return known.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).alias("total"), F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"))
+
+
+@query("leak_check_rebuild", "select cast(event_id as varchar) as entity_id, 'none' as perturbation from events where event_id is null")
+def leak_check_rebuild(spark, d):
+    days = cutoffs(spark, d)
+    events = {"events": table(spark, d, "events").select(entity(), "event_id", "event_type", "value", "ts")}
+    return pit.leak_check_rebuild(events, days, lambda tables: as_of_totals(tables["events"], days), "ts")
+
+
+@query("leak_check_rebuild_finds", f"""with {CUTOFFS},
+late as (select distinct c.entity_id from events e join cutoffs c on c.entity_id = user_id || ' ' || hour(ts) || ' ' || dayofweek(ts)
+  where not coalesce(e.ts <= cutoff_date + interval '23 hours 59 minutes 59 seconds', false))
+select entity_id, unnest(['future dropped', 'future changed']) as perturbation from late""")
+def leak_check_rebuild_finds(spark, d):
+    """A planted leak: one of the features is counted over all events, whatever the cutoff."""
+    days = cutoffs(spark, d)
+
+    def leaking(tables):
+        kinds = tables["events"].groupBy("entity_id").agg(F.count(F.lit(1)).alias("seen"), F.max("event_type").alias("kind"), F.sum("event_id").alias("ids"))
+        return kinds.join(as_of_totals(tables["events"], days), "entity_id", "left")
+
+    events = {"events": table(spark, d, "events").select(entity(), "event_id", "event_type", "value", "ts")}
+    return pit.leak_check_rebuild(events, days, leaking, "ts")
+
+
 @query("lifecycle_window", """with o as (select o_custkey, cast(min(o_orderdate) as date) as lo, cast(max(o_orderdate) as date) as hi from orders group by 1),
 e as (select c_custkey, case when c_mktsegment <> 'BUILDING' then lo end as application_date, case when c_mktsegment in ('MACHINERY', 'FURNITURE') then date_trunc('month', hi)::date end as period_start,
   case when c_acctbal > 0 then hi end as listing_date from customer left join o on o_custkey = c_custkey),

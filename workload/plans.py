@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from pitlake.operators import evidence, quality
 from pitlake.plans import history
 from pitlake.session import stage, use_checkpoints
 from pitlake.sources import sinks
-from pitlake.streaming import records
+from pitlake.streaming import outbox, records
 from workload.evidence import FIRST, ROWS, offering_pages
 from workload.inputs import DISCLOSURES
 from workload.pit import CUTOFFS, cutoffs
@@ -117,3 +118,38 @@ def stream_first_write_wins(spark, d):
     points = event_stream(spark, d).select("user_id", F.to_date("ts").alias("day"), "event_id")
     records.stream_first_write_wins(points, ["user_id", "day"], ["event_id"], "day", target, state).awaitTermination()
     return spark.read.parquet(target).select("user_id", day("day"), "event_id")
+
+
+# Content of every user's events; two users in three confirm after half an hour. Times in milliseconds; a day between attempts, three to live.
+HALF_HOUR, DAY_MS = 1_800_000, 86_400_000
+
+
+@query("timed_delivery", f"""
+with recursive content as (select user_id, sha256(event_type) as h, epoch_us(ts) // 1000 as t, false as ok from events where ts is not null),
+moments as (select * from content union all select user_id, h, t + {HALF_HOUR}, true from content where user_id % 3 <> 0),
+mark as (select max(t) as w from moments),
+numbered as (select *, row_number() over (partition by user_id, h order by t, ok) as n from moments where user_id % 3 <> 0),
+walk(user_id, h, n, t, ok, sent, until, send) as (
+  select user_id, h, n, t, ok, false, t + {DAY_MS}, true from numbered where n = 1
+  union all
+  select r.user_id, r.h, r.n, r.t, r.ok,
+    case when r.ok then true when w.until <= r.t then false else w.sent end,
+    case when r.ok then greatest(r.t + 3 * {DAY_MS}, case when w.sent and w.until > r.t then w.until else 0 end) when w.until <= r.t then r.t + {DAY_MS} else w.until end,
+    not r.ok and w.until <= r.t
+  from walk w join numbered r on r.user_id = w.user_id and r.h = w.h and r.n = w.n + 1),
+cycles(user_id, h, t) as (
+  select user_id, h, min(t) from content where user_id % 3 = 0 group by 1, 2
+  union all
+  select user_id, h, nxt from (select y.user_id, y.h, (select min(c.t) from content c where c.user_id = y.user_id and c.h = y.h and c.t >= y.t + 3 * {DAY_MS}) as nxt from cycles y) z where nxt is not null),
+unanswered as (select user_id, h, case when k < 4 then 'send' else 'given_up' end as outcome, least(k, 3) as attempt, t + (k - 1) * {DAY_MS} as due from cycles, (select unnest([1, 2, 3, 4]) as k) a)
+select user_id, h as content_hash, outcome, cast(attempt as integer) as attempt, due from unanswered, mark where due <= w
+union all select user_id, h, 'send', 1, t from walk where send""")
+def timed_delivery(spark, d):
+    content = event_stream(spark, d).select("user_id", F.sha2("event_type", 256).alias("h"), F.col("ts").cast("timestamp").alias("at"))
+    rows = F.array(F.struct("at", F.lit(False).alias("ok")), F.struct((F.col("at") + F.expr("interval 30 minutes")).alias("at"), F.lit(True).alias("ok")))
+    moments = content.select("user_id", "h", F.inline(F.when(F.col("user_id") % 3 != 0, rows).otherwise(F.slice(rows, 1, 1))))
+    out, state = scratch(spark, "due"), scratch(spark, "due-state")
+    outbox.run(outbox.timed_delivery(moments, ["user_id"], "h", "at", "ok", "0 seconds", timedelta(days=3), timedelta(days=1)), out, state)
+    found = spark.read.parquet(out)
+    due = F.unix_millis(F.col("due").cast("timestamp"))
+    return found.select("user_id", F.col("h").alias("content_hash"), "outcome", "attempt", due.alias("due"))
