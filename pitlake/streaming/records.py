@@ -7,6 +7,7 @@ Every query runs with ``availableNow``, so a scheduled start drains what has arr
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pitlake.operators.quality import new_first_writes
 from pitlake.session import stage
 from pitlake.sources.sinks import months_of, read_if_any
+from pitlake.tables import columns
 
 
 def distinct_stream(stream: DataFrame, key: Sequence[str], event_time: str | None = None, delay: str | None = None) -> DataFrame:
@@ -78,6 +80,48 @@ def deliver_changed(
     return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_in_time(
+    stream: DataFrame, key: Sequence[str], event_time: str, delay: timedelta, order: Sequence[str], out_path: str, late_path: str, checkpoint: str,
+) -> StreamingQuery:
+    """Every key once while it is in time; what comes too late goes to a reject table instead of being dropped.
+
+    A batch's watermark is the latest event time of the batches before it, less ``delay``. Rows older than that, or without a time, are appended to
+    ``late_path`` with ``reason`` (late, no event time). Of the others the first of a key in its batch, by time and ``order``, is new unless a row of
+    the key that was taken before is not older than the watermark. What is remembered is thus bounded: both tables are partitioned, and of ``out_path``
+    (by day and batch) only the days from the watermark on are read. A batch that runs again replaces its own partitions, so each row is written once.
+    Null keys are keys like any other.
+    """
+    marks = checkpoint.rstrip("/") + "-watermarks"
+    kind = stream.schema[event_time].dataType
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = stage(batch.withColumn("batch", F.lit(batch_id)), "batch")
+        before, taken = (read_if_any(spark, path) for path in (marks, out_path))
+        high = before.where(F.col("batch") < batch_id).agg(F.max("high").cast("string")).first()[0] if before is not None else None
+        mark = F.lit(high).cast(kind) - F.lit(delay)
+        at = F.col(event_time)
+        late = F.coalesce(at < mark, at.isNull())
+
+        def replace(df: DataFrame, path: str, *by: str) -> None:
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+        replace(rows.where(late).withColumn("reason", F.when(at.isNull(), "no event time").otherwise("late")), late_path, "batch")
+        timely = rows.where(~late)
+        first = timely.groupBy(*columns(key)).agg(F.min_by(F.struct("*"), F.struct(event_time, *order)).alias("_row")).select("_row.*").withColumn("day", F.to_date(event_time))
+        if taken is not None and high is not None:
+            recent = taken.where((F.col("batch") < batch_id) & (F.col("day") >= F.to_date(mark)) & (at >= mark))
+            known = recent.select(*[F.col(c).alias(f"_known_{c}") for c in key]).distinct()
+            on = F.lit(True)
+            for c in key:
+                on = on & F.col(c).eqNullSafe(F.col(f"_known_{c}"))
+            first = first.join(known, on, "left_anti")
+        replace(first, out_path, "day", "batch")
+        replace(timely.groupBy("batch").agg(F.max(event_time).alias("high")), marks, "batch")
+
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_first_write_wins(stream: DataFrame, key: Sequence[str], order: Sequence[str], month_of: str, target_path: str, checkpoint: str) -> StreamingQuery:
     """Append only keys the target lacks; inside a batch the first by ``order``. Late points of unseen keys are accepted.
 

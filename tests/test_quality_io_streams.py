@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pitlake.operators import pages, quality
 from pitlake.plans import history
-from pitlake.sources import html, readers, sinks
+from pitlake.sources import html, readers, sinks, state_table
 from pitlake.streaming import outbox, records
 
 
@@ -116,6 +116,38 @@ def test_append_first_writes_never_overwrites(spark, tmp_path):
     assert rows(spark.read.parquet(path), "obs_date", "value") == [(date(2024, 1, 1), 0.5), (date(2024, 2, 1), 2.0)]
 
 
+def test_state_table_is_never_shuffled(spark, tmp_path):
+    """Two batches and a replay equal one pass in order; looking up has an exchange above the batch alone, also after compaction."""
+    rng = random.Random(3)
+    schema, name = "k long, g string, v int", "state_points"
+    batches = [[(rng.randrange(40) if rng.random() < 0.9 else None, rng.choice("xy"), i) for i in range(n * 100, n * 100 + 60)] for n in range(2)]
+    spark.sql(f"drop table if exists {name}")
+    for batch in (*batches, batches[1]):
+        state_table.append_unseen(spark.createDataFrame(batch, schema), name, ["k", "g"], ["v"], str(tmp_path / "t"), buckets=4)
+    want = {}
+    for k, g, v in (r for b in batches for r in sorted(b, key=lambda r: r[2])):
+        if k is not None:
+            want.setdefault((k, g), v)
+    assert {(r["k"], r["g"]): r["v"] for r in spark.table(name).collect()} == want and spark.table(name).count() == len(want)
+    more = spark.createDataFrame([(1, "x", 0), (99, "x", 0), (None, "x", 0)], schema)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for _ in range(2):
+            found = state_table.unseen(more, name, ["k", "g"])
+            assert {r["k"] for r in found.collect()} == {99, None} | ({1} if (1, "x") not in want else set())
+            plan = found._jdf.queryExecution().sparkPlan().toString() and found._jdf.queryExecution().executedPlan().toString()
+            initial = plan.split("Initial Plan")[-1]
+            assert initial.count("Exchange hashpartitioning") == 1 and "SelectedBucketsCount: 4 out of 4" in initial
+            assert state_table.seen(more, name, ["k", "g"]).count() == ((1, "x") in want)
+            state_table.compact(spark, name, ["k", "g"], str(tmp_path / f"c{_}"))
+        assert {(r["k"], r["g"]): r["v"] for r in spark.table(name).collect()} == want and state_table.buckets_of(spark, name) == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql(f"drop table if exists {name}")
+    assert state_table.unseen(more, "no_such_table", ["k", "g"]).count() == 3 and state_table.seen(more, "no_such_table", ["k", "g"]).count() == 0
+
+
 def source(spark, folder):
     return spark.readStream.schema("k string, h string, v int").json(folder)
 
@@ -179,6 +211,29 @@ def test_failed_delivery_is_tried_again(spark, tmp_path):
     assert rows(spark.read.parquet(sent), "k", "h") == [("a", "x"), ("b", "x")]
 
 
+def test_late_rows_go_to_a_reject_table(spark, tmp_path):
+    """Runs from one checkpoint: repeats in time are dropped, late and timeless rows are kept apart, forgotten keys are new again, a replay changes nothing."""
+    src, out, late, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "late"), str(tmp_path / "state")
+    src.mkdir()
+
+    def arrive(name, *items):
+        (src / name).write_text("\n".join(json.dumps({"k": k, "t": f"2024-01-{d:02d}T00:00:00", "v": v} if d else {"k": k, "v": v}) for k, d, v in items))
+        stream = spark.readStream.schema("k string, t timestamp_ntz, v int").json(str(src))
+        records.stream_in_time(stream, ["k"], "t", timedelta(days=3), ["v"], out, late, state).awaitTermination()
+
+    arrive("1.json", ("a", 10, 2), ("a", 10, 1), ("b", 12, 1), (None, 11, 1), ("x", None, 9))
+    arrive("2.json", ("a", 11, 3), ("b", 9, 4), ("c", 8, 5), (None, 12, 6), ("d", 20, 7))
+    arrive("3.json", ("a", 17, 8), ("a", 16, 9), ("d", 25, 10))
+    assert rows(spark.read.parquet(out), "k", "v", "batch") == [("a", 1, 0), ("a", 8, 2), ("b", 1, 0), ("d", 7, 1), (None, 1, 0)]
+    assert rows(spark.read.parquet(late), "k", "v", "reason") == [("a", 9, "late"), ("c", 5, "late"), ("x", 9, "no event time")]
+    before = rows(spark.read.parquet(out))
+    (tmp_path / "state" / "commits" / "2").unlink()  # the last batch died before its commit
+    for crc in (tmp_path / "state" / "commits").glob(".2*"):
+        crc.unlink()
+    arrive("3.json", ("a", 17, 8), ("a", 16, 9), ("d", 25, 10))
+    assert rows(spark.read.parquet(out)) == before and spark.read.parquet(late).count() == 3
+
+
 MINUTE = timedelta(minutes=1)
 
 

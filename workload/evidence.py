@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pitlake import extraction_rules as rules
 from pitlake.operators import evidence, period_tables, terms
+from pitlake.session import stage
 from workload import inputs
 from workload.registry import day, derive, plain, query, r6, table
 from workload.text import fold
@@ -311,7 +312,7 @@ union all select doc_id, 'net_income', page_no, 0, q, 'unit', '2022-12-31', 'ANN
 union all select doc_id, 'net_income', page_no, 2, q + 2, 'unit', '2023-06-30', 'INTERIM', null from inc
 union all select doc_id, 'current_assets', page_no, 0, e, 'thousand', '2022-12-31', 'ANNUAL', 'standalone' from cur union all select doc_id, 'current_assets', page_no, 1, 2 * e, 'thousand', '2023-06-30', 'INTERIM', 'standalone' from cur""")
 def extract_period_table(spark, d):
-    out = period_tables.extract_period_table(derive(spark, d, TABLE_PAGES.replace("//", "div")))
+    out = period_tables.extract_period_table(stage(derive(spark, d, TABLE_PAGES.replace("//", "div")), "pages"))
     return out.select("doc_id", "metric", "page_no", "place", "value", "scale", day("period_end"), "period_type", F.col("consolidation_scope").alias("scope"))
 
 
@@ -340,7 +341,7 @@ select doc_id, metric, 1 as page_no, count(*) as periods, sum(value) as total, m
 from (select doc_id, 'revenue' as metric, place, cast(e + place as double) as value, 'thousand' as scale from o, n
   union all select doc_id, 'operating_profit', place, cast(-(q + place) as double), 'thousand' from o, n where not torn) c group by 1, 2""")
 def long_period_tables(spark, d):
-    out = period_tables.extract_period_table(derive(spark, d, LONG_TABLE_PAGES.replace("//", "div")))
+    out = period_tables.extract_period_table(stage(derive(spark, d, LONG_TABLE_PAGES.replace("//", "div")), "pages"))
     return out.groupBy("doc_id", "metric").agg(
         F.min("page_no").alias("page_no"), F.count(F.lit(1)).alias("periods"), F.sum("value").alias("total"), F.max(F.when(F.col("place") == 39, F.col("value"))).alias("last_value"),
         F.date_format(F.max("period_end"), "yyyy-MM-dd").alias("last_end"), F.min("scale").alias("scale"))
@@ -348,7 +349,7 @@ def long_period_tables(spark, d):
 
 @query("torn_period_tables", f"select doc_id, 1 as page_no, 'operating_profit' as metric, 'row_torn' as reason, 25 as have, 40 as need from ({LONG_TABLES}) o where torn")
 def torn_period_tables(spark, d):
-    return period_tables.period_table_rejects(derive(spark, d, LONG_TABLE_PAGES.replace("//", "div")))
+    return period_tables.period_table_rejects(stage(derive(spark, d, LONG_TABLE_PAGES.replace("//", "div")), "pages"))
 
 
 # A closing sentence cut into three short pages, with a page of other text before it; page 3 is missing for every fourth order.
@@ -361,4 +362,4 @@ from (select cast(o_orderkey as varchar(20)) as doc_id, o_orderkey % 9 as ln, o_
 @query("broken_window_ends", """select cast(o_orderkey as varchar(20)) as doc_id, 2 as page_no, '2024-05-1' || (o_orderkey % 9) as cutoff_date,
   '1' || (o_orderkey % 9) || ' Mayıs 2024' || chr(10) || 'tarihleri arasında' || chr(10) || 'talep topla' as snippet from orders where o_orderkey % 4 <> 0""")
 def broken_window_ends(spark, d):
-    return evidence.post_offer_evidence(derive(spark, d, BROKEN_PAGES), ["page_no"]).select("doc_id", "page_no", day("cutoff_date"), "snippet")
+    return evidence.post_offer_evidence(stage(derive(spark, d, BROKEN_PAGES), "pages"), ["page_no"]).select("doc_id", "page_no", day("cutoff_date"), "snippet")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pitlake.operators import evidence, quality
 from pitlake.plans import history
 from pitlake.session import stage, use_checkpoints
-from pitlake.sources import sinks
+from pitlake.sources import sinks, state_table
 from pitlake.streaming import outbox, records
 from workload.evidence import FIRST, ROWS, offering_pages
 from workload.inputs import DISCLOSURES
@@ -153,3 +153,59 @@ def timed_delivery(spark, d):
     found = spark.read.parquet(out)
     due = F.unix_millis(F.col("due").cast("timestamp"))
     return found.select("user_id", F.col("h").alias("content_hash"), "outcome", "attempt", due.alias("due"))
+
+
+# Events arrive in three parts by day of the month; every tenth comes a part late, every other tenth two parts.
+PART = "least(2, day(ts) // 11 + case event_id % 10 when 0 then 1 when 1 then 2 else 0 end)"
+IN_TIME = f"""
+with e as (select user_id, event_type, event_id, ts, {PART} as part from events),
+marks as (select p.part, (select max(ts) from e where e.part < p.part) - interval 8 days as mark from (select unnest([0, 1, 2]) as part) p),
+judged as (select e.*, mark, coalesce(ts < mark, false) as late from e join marks using (part)),
+firsts as (select *, row_number() over (partition by part, user_id, event_type order by ts, event_id) as k from judged where not late),
+a0 as (select * from firsts where part = 0 and k = 1),
+a1 as (select * from firsts f where part = 1 and k = 1 and not exists (select 1 from a0 a where a.user_id = f.user_id and a.event_type = f.event_type and a.ts >= f.mark)),
+a2 as (select * from firsts f where part = 2 and k = 1 and not exists (
+  select 1 from (select * from a0 union all select * from a1) a where a.user_id = f.user_id and a.event_type = f.event_type and a.ts >= f.mark))"""
+
+
+def arriving_events(spark, d):
+    """(accepted rows, late rows) after three runs, each over what has arrived since the one before."""
+    ev = table(spark, d, "events").select("user_id", "event_type", "event_id", "ts")
+    part = F.expr(PART.replace("//", "div"))
+    folder, out, late, state = (scratch(spark, name) for name in ("arrived", "in-time", "late", "in-time-state"))
+    for i in range(3):
+        ev.where(part == i).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(ev.schema).parquet(folder)
+        records.stream_in_time(stream, ["user_id", "event_type"], "ts", timedelta(days=8), ["event_id"], out, late, state).awaitTermination()
+    return spark.read.parquet(out), spark.read.parquet(late)
+
+
+@query("stream_in_time", IN_TIME + """
+select user_id, event_type, event_id, part as batch from (select * from a0 union all select * from a1 union all select * from a2) a""")
+def stream_in_time(spark, d):
+    return arriving_events(spark, d)[0].select("user_id", "event_type", "event_id", F.col("batch").cast("bigint").alias("batch"))
+
+
+@query("stream_late_rows", IN_TIME + " select user_id, event_type, event_id, part as batch, 'late' as reason from judged where late")
+def stream_late_rows(spark, d):
+    return arriving_events(spark, d)[1].select("user_id", "event_type", "event_id", F.col("batch").cast("bigint").alias("batch"), "reason")
+
+
+@query("append_unseen_batches", """with days as (select user_id, cast(ts as date) as day, min(event_id) as event_id, min(event_id) filter (event_type = 'click') as click from events group by 1, 2)
+select user_id, cast(day as varchar) as day, coalesce(click, event_id) as event_id from days""")
+def append_unseen_batches(spark, d):
+    """Clicks first, then everything: the second batch is looked up in the table that the first one made."""
+    ev = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "event_type")
+    name = f"points_{uuid.uuid4().hex[:12]}"
+    for batch in (ev.where("event_type = 'click'"), ev):
+        state_table.append_unseen(batch.drop("event_type"), name, ["user_id", "day"], ["event_id"], scratch(spark, "points"), buckets=8)
+    return spark.table(name).select("user_id", day("day"), "event_id")
+
+
+@query("unseen_content", """select doc_id from documents where text is null or md5(text) not in (select md5(text) from documents where doc_id % 2 = 0 and text is not null)""")
+def unseen_content(spark, d):
+    """Documents whose content no document of an even number has."""
+    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("content"))
+    name = f"known_{uuid.uuid4().hex[:12]}"
+    state_table.append_unseen(docs.where("doc_id % 2 = 0"), name, ["content"], ["doc_id"], scratch(spark, "known"), buckets=8)
+    return state_table.unseen(docs, name, ["content"]).select("doc_id")
