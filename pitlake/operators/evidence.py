@@ -290,7 +290,7 @@ def post_offer_evidence(pages: DataFrame, keep: Sequence[str] = (), passage_char
     """
     issuer = F.col("source_system") == "issuer_ir"
     asked = pages.where(issuer | (F.col("document_type") == "ipo_results"))
-    joined = with_following(asked, asked, passage_chars).withColumn("_own", F.length("text")).withColumn("text", F.concat_ws("\n", "text", "following"))
+    joined = with_following(asked, F.lit(True), passage_chars).withColumn("_own", F.length("text")).withColumn("text", F.concat_ws("\n", "text", "following"))
     folded = computed_once(joined, "_folded", fold_text(F.col("text")))
     low, text = F.col("_folded"), F.col("text")
     month_named = [(FLAGS + rules.RESULT_END_PATTERN, "tarih", lambda m, p: parse_month_name_date(*[F.regexp_extract(m, p, g) for g in (1, 2, 3)]))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pitlake import fixed_values as fixed
 from pitlake.functions import numbers, text
+from pitlake.tables import computed_once
 
 STANDARDS = {
     "fold": text.fold_text,
@@ -38,6 +40,39 @@ def title_class(title: Column) -> Column:
         text.fold_text(title), fixed.TITLE_RULES, "other", "price_determination_report", fixed.REVIEW_MARKERS, "price_determination_review")
 
 
+MOST_RULES = 10_000
+RULE = "struct<rule_order:long,pattern:string,label:string,veto:array<string>,veto_label:string>"
+
+
+def classify_by_table(df: DataFrame, text_column: str, rules: DataFrame, name: str, default: str = "other") -> DataFrame:
+    """``df`` with the label of the first rule of a table that hits the folded text; one pass, no join.
+
+    ``rules``: rule_order, pattern, is_regex, label, veto (markers, may be null or empty), veto_label; at most ``MOST_RULES`` rows, or it fails. Order is by
+    rule_order, then pattern. Patterns and markers are read as folded text, regular expressions with Unicode classes. Plain rules are one constant array,
+    tried in a higher-order function; regular expressions, compiled once a task, are tried one after the other only where no earlier plain rule has hit.
+    A winner whose text holds one of its veto markers gives ``veto_label``. A null text, or one that no rule hits, is ``default``; rules with a null
+    pattern or order are left out.
+    """
+    usable = rules.where("pattern is not null and rule_order is not null").orderBy("rule_order", "pattern")
+    listed = usable.select(F.col("rule_order").cast("long"), "pattern", "is_regex", "label", "veto", "veto_label").limit(MOST_RULES + 1).collect()
+    if len(listed) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    entries = [{"rule_order": i, "pattern": r["pattern"], "label": r["label"], "veto": r["veto"] or [], "veto_label": r["veto_label"]} for i, r in enumerate(listed)]
+    plain = F.from_json(F.lit(json.dumps([e for e, r in zip(entries, listed, strict=True) if not r["is_regex"]])), f"array<{RULE}>")
+    folded = F.col("_folded")
+    hit = F.try_element_at(F.filter(plain, lambda rule: F.contains(folded, rule["pattern"])), F.lit(1))
+    with_plain = computed_once(computed_once(df, "_folded", text.fold_text(F.col(text_column))), "_plain", hit)
+    order = F.coalesce(F.col("_plain.rule_order"), F.lit(len(entries)))
+    winner = F.col("_plain")
+    for e, r in reversed([(e, r) for e, r in zip(entries, listed, strict=True) if r["is_regex"]]):
+        ruled = F.from_json(F.lit(json.dumps(e)), RULE)
+        winner = F.when((order > e["rule_order"]) & folded.rlike("(?U)" + e["pattern"]), ruled).otherwise(winner)
+    told = computed_once(with_plain, "_winner", winner)
+    vetoed = F.exists("_winner.veto", lambda marker: F.contains(folded, marker))
+    label = F.when(vetoed, F.col("_winner.veto_label")).otherwise(F.col("_winner.label"))
+    return told.select(*df.columns, F.when(F.col("_winner").isNull(), default).otherwise(label).alias(name))
+
+
 def link_class(link_text: Column) -> Column:
     by_title = title_class(link_text)
     rules = [("(?U)" + p, label) for p, label in fixed.LINK_RULES]

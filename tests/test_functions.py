@@ -1,5 +1,6 @@
 from datetime import date
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -91,3 +92,32 @@ def test_withdrawal_flags_and_primary(spark):
     assert rows(records.withdrawal_flags(docs, "entity_id")) == [("a", True), ("b", False)]
     files = spark.createDataFrame([("a", 1, "imza.pdf"), ("a", 2, "izahname.pdf"), ("a", 3, "z.pdf"), ("b", 1, "kapak.pdf")], "e string, position int, file_name string")
     assert rows(records.pick_primary(files, "e")) == [("a", 2, "izahname.pdf")]
+
+
+def test_canonical_hash_tells_nulls_and_bars_apart(spark):
+    data = [("a|b", "c"), ("a", "b|c"), (None, "c"), ("", "c"), ("c", None), ('a","y":"c', "c"), ("null", "c")]
+    df = spark.createDataFrame(data, "x string, y string")
+    hashes = [r["h"] for r in df.select(text.canonical_hash({"x": F.col("x"), "y": F.col("y")}).alias("h")).collect()]
+    assert len(set(hashes)) == len(data)
+    assert hashes == [r["h"] for r in df.select(text.canonical_hash({"y": F.col("y"), "x": F.col("x")}).alias("h")).collect()]
+
+
+RULES = "rule_order int, pattern string, is_regex boolean, label string, veto array<string>, veto_label string"
+
+
+def test_rule_table_first_match_with_vetoes(spark):
+    rules = spark.createDataFrame([
+        (20, "izahname", False, "prospectus", None, None), (10, "onayli", False, "approved", ["taslak"], "draft"), (5, r"ek\s*\d+$", True, "appendix", [], None),
+        (30, r"^\w+ rapor", True, "report", ["analist"], "review"), (30, "rapor", False, "any report", None, None), (None, "x", False, "never", None, None), (1, None, False, "never", None, None)], RULES)
+    said = {"Onaylı İzahname": "approved", "Onaylı taslak": "draft", "İZAHNAME EK 12": "appendix", "İzahname": "prospectus", "Mali rapor": "report", "analist rapor": "review",
+            "iki üç rapor": "any report", "": "other", None: "other", "xyz": "other"}
+    df = spark.createDataFrame([(t, 1) for t in said], "title string, label int")
+    assert {r["title"]: r["kind"] for r in records.classify_by_table(df, "title", rules, "kind").collect()} == said
+    assert rows(records.classify_by_table(df.limit(1), "title", rules.limit(0), "kind", "none"), "kind") == [("none",)]
+
+
+def test_too_many_rules_fail(spark, monkeypatch):
+    monkeypatch.setattr(records, "MOST_RULES", 2)
+    rules = spark.createDataFrame([(i, str(i), False, "l", None, None) for i in range(3)], RULES)
+    with pytest.raises(ValueError, match="more than 2"):
+        records.classify_by_table(spark.createDataFrame([("1",)], "t string"), "t", rules, "kind")

@@ -244,3 +244,28 @@ def rank_candidates(spark, d):
     out = records.standardize_records(derive(spark, d, inputs.DISCLOSURES), {"lead": ("summary_or_title", ["summary", "title"])})
     out = records.standardize_records(out, {"part_number": ("part_number", ["lead"])}).withColumnRenamed("disclosure_id", "doc_id")
     return context.rank_candidates(out, "o_custkey").select("o_custkey", F.col("doc_id").alias("disclosure_id"), F.col("candidate_rank").cast("bigint"))
+
+
+@query("canonical_hash", """select user_id, event_id, sha256(cast(to_json(struct_pack(event_id := event_id, event_type := event_type, props := props)) as varchar)) as content
+from events""")
+def canonical_hash(spark, d):
+    fields = {name: F.col(name) for name in ("props", "event_type", "event_id")}
+    return table(spark, d, "events").select("user_id", "event_id", text.canonical_hash(fields).alias("content"))
+
+
+# A table of 300 rules over customer names; every tenth is a regular expression, every fifth has veto markers.
+RULE_ROWS = """
+select i * 37 % 300 as rule_order, case when i % 10 = 0 then '0' || cast(i // 10 as varchar(9)) || '[1-4]$' else lpad(cast(i as varchar(9)), 3, '0') end as pattern, i % 10 = 0 as is_regex,
+  'class ' || cast(i % 7 as varchar(9)) as label, i % 5 = 0 as has_veto"""
+
+
+@query("classify_by_table", f"""with rules as ({RULE_ROWS} from (select unnest(range(300)) as i) r),
+hits as (select c_custkey, c_name, rule_order, label, has_veto from customer join rules on case when is_regex then regexp_matches(lower(c_name), pattern) else contains(lower(c_name), pattern) end),
+first as (select c_custkey, any_value(c_name) as c_name, arg_min(label, rule_order) as label, arg_min(has_veto, rule_order) as has_veto from hits group by 1)
+select c.c_custkey, case when f.label is null then 'other' when f.has_veto and (contains(lower(c.c_name), '9') or contains(lower(c.c_name), '00000077')) then 'reviewed' else f.label end as class
+from customer c left join first f using (c_custkey)""")
+def classify_by_table(spark, d):
+    rules = spark.range(300).withColumnRenamed("id", "i").selectExpr(*[e.strip() for e in (
+        "i * 37 % 300 as rule_order", "case when i % 10 = 0 then concat('0', i div 10, '[1-4]$') else lpad(i, 3, '0') end as pattern", "i % 10 = 0 as is_regex",
+        "concat('class ', i % 7) as label", "case when i % 5 = 0 then array('9', '00000077') end as veto", "'reviewed' as veto_label")])
+    return records.classify_by_table(table(spark, d, "customer"), "c_name", rules, "class").select("c_custkey", "class")
