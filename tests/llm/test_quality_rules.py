@@ -63,3 +63,64 @@ def test_every_separator_and_short_or_unended_lines():
 
 def test_empty(spark):
     assert quality_rules.judged(frame(spark, [])).count() == 0 and quality_rules.clean(frame(spark, [])).count() == 0
+
+
+def removed(text):
+    kept = quality_rules.judge(text)[9].split("\n")
+    return [x for x in text.split("\n") if x not in kept]
+
+
+def test_wrapped_text_lists_and_headings_stay():
+    german = "Am Morgen fuhr der alte Zug sehr langsam durch die große\nStadt und hielt an keinem der kleinen Bahnhöfe, weil\n1945 die Brücke gefallen war und niemand sie gebaut\n„Sofort“, sagte der Mann."
+    names = "Every evening in the summer the letters were read by\nAnna Meyer, who kept them all in a box until the war\n\"ended\" and the house was sold to the town again."
+    lists = "\n".join(f"{mark} the boat and the bread and the fish that Tom{i} found" for i, mark in enumerate(("-", "•", "3.", "(b)", "*")))
+    head = "The long history of the river and the people of the valley\n\nThe river came down from the hills and the people of the valley lived by it."
+    for text in (german, names, lists, head):
+        assert removed(text) == [], text
+    # no end mark below, a next word that had room, or no prose below: a run of words
+    for text in ("The boat left the harbour in the morning and the people\nHome", "The boat left the harbour in the morning and the people\n\nHome News",
+                 "Then we went on with no end to it at all and\nMore of it came along with them on the road to the sea in the morning, they said."):
+        assert removed(text)[:1] == text.split("\n")[:1], text
+    assert removed("Home News Sport Weather Travel Culture Money Help Contact About Us\n\nThe river came down from the hills and the people lived by it.")
+
+
+def test_boilerplate_fills_its_line_in_four_languages():
+    fails = lambda line: quality_rules.line_fails(line, quality_rules.WORDS.findall(line))
+    for line in ("I had to sign up again.", "She could not read more.", "The mill is powered by water.", "Wir wollten nicht lange weiterlesen.", "Il voulait en savoir plus sur elle et sa ville.", "No quiso leer más aquella noche."):
+        assert fails(line) is None, line
+    for line in ("Alle Rechte vorbehalten", "© 2020 Maison Durand. Tous droits réservés.", "Todos los derechos reservados.", "Weiterlesen", "Lire la suite", "Haz clic aquí", "Cookies akzeptieren",
+                 "Politique de confidentialité", "Jetzt anmelden", "Sign in", "Read more", "Click here to subscribe to news", "Copyright 2020 The Old Mill Company. All rights reserved."):
+        assert fails(line) == "boilerplate", line
+
+
+def test_cleaned_text_still_meets_the_base_rules():
+    short = " ".join(f"w{i}" for i in range(48)) + "."
+    got = quality_rules.judge(short + "\nHome | News | Sport")
+    assert got[0] >= 50 and not got[5] and got[8] < got[0] / 2 and not got[6]
+    assert quality_rules.judge(short + " and more.\nHome | News | Sport")[6]
+    for text in (PROSE, PROSE + "\nSign in", short):
+        j = quality_rules.judge(text)
+        assert not j[6] or not brute(j[9])[5]
+
+
+def brute_wrapped(lines, i):
+    """The stated rule, line by line: same paragraph, no room for the next word, and an end mark reached through full lines."""
+    end = lambda x: re.search(r"[.!?…。！？؟।][\"'”’»」』)\]*_]*(\s|$)", x) is not None
+    if i + 1 >= len(lines) or not lines[i].split() or not lines[i + 1].split():
+        return False
+    lo, hi = i, i
+    while lo > 0 and lines[lo - 1].split():
+        lo -= 1
+    while hi + 1 < len(lines) and lines[hi + 1].split():
+        hi += 1
+    width = max(len(x.rstrip()) for x in lines[lo:hi + 1])
+    full = width >= 50 and len(lines[i].rstrip()) + 1 + len(lines[i + 1].split()[0]) > width
+    return full and (end(lines[i + 1]) or brute_wrapped(lines, i + 1))
+
+
+def test_wrapped_lines_equal_brute_force():
+    import random
+    draw = random.Random(5)
+    for _ in range(300):
+        lines = [" ".join(draw.choice(("Haus", "und", "die", "Straße.", "12", "\"ja\"", "gegangen", "x")) for _ in range(draw.choice((0, 1, 8, 9, 10, 11, 12)))) for _ in range(draw.randint(1, 8))]
+        assert quality_rules.wrapped_lines(lines) == [brute_wrapped(lines, i) for i in range(len(lines))]
