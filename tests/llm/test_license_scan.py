@@ -69,3 +69,43 @@ def test_tags_are_named(model):
 
 def test_empty_trains_and_scans(spark):
     assert scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_licences_outside_the_families_are_never_confirmed_ones(model):
+    """None of these sentences is trained: other wordings of unknown licences, and licences named nowhere in the module."""
+    texts = ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0.", "Licensed under the EUPL, the European Union Public Licence.",
+             "Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "Released under CC BY-ND 3.0.",
+             "Licensed under the Common Development and Distribution License, version 1.0.", "Licensed under the Microsoft Public License.", "Licensed under the Academic Free License version 3.0.",
+             "This software is released under the PostgreSQL License.", "Licensed under the Open Software License 3.0.",
+             "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.")
+    for text in texts:
+        found = scan.passages(text, model)
+        assert {f[0] for f in found} == {"unknown"}, (text, found)
+
+
+def test_agreement_counts_both_ways():
+    words = scan.words_of
+    template = words("Licensed under CC BY 4.0.")
+    assert scan.agreement(words("Our texts: Licensed under CC BY 4.0. Have fun with them all."), template) == 1.0
+    assert scan.agreement(words("Licensed under CC BY-ND 4.0."), template) == 0 and scan.agreement(words("Licensed under CC BY 4.0 SA."), template) == 0
+    assert 0 < scan.agreement(words("Licensed under CC"), template) < scan.LEAST_SIMILARITY  # a part of the template is no agreement
+    mozilla = words("Licensed under the Mozilla Public License 2.0.")
+    assert scan.agreement(words("Licensed under the Other Public License 2.0."), mozilla, frozenset({"mozilla"})) == 0
+    assert scan.agreement([], template) == 0 and scan.agreement(words("one"), template) == 0
+
+
+def test_notices_in_other_languages(model):
+    for family, text in (("MIT", "Diese Bibliothek steht unter der MIT-Lizenz."), ("GPL", "Ce logiciel est distribué sous licence GPL v3."), ("Apache-2.0", "Este programa se publica bajo la licencia Apache 2.0.")):
+        assert [f[0] for f in scan.passages(text, model)] == [family], text
+
+
+def test_sample_takes_any_line_with_text(spark):
+    docs = spark.createDataFrame([(i, f"\nfirst{i}\n \nlast{i}\n") for i in range(60)] + [(99, None), (98, "\n \n"), (None, "alone")], "doc_id long, text string")
+    got = scan.sample_paragraphs(docs)
+    assert len(got) == 61 and {x.rstrip("0123456789") for x in got} == {"first", "last", "alone"} and len(scan.sample_paragraphs(docs, 5)) == 5
+
+
+def test_a_text_of_several_hundred_windows(model):
+    text = " ".join(f"word{i}" for i in range(9000)) + " " + scan.NOTICES["MPL-2.0"][0] + " " + " ".join(f"more{i}" for i in range(9000))
+    (got,) = [f for f in scan.passages(text, model) if f[2] >= scan.LEAST_SIMILARITY]
+    assert got[0] == "MPL-2.0" and abs(got[3] - text.index("This Source")) < 600
