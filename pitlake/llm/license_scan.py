@@ -3,7 +3,8 @@
 A logistic regression over sparse word uni- and bigrams tells licence families, an own class for licence-like text of no known family, and plain
 text. It is trained here: notices with words dropped, added and cut, against a bounded sample of corpus paragraphs. Temperature and threshold are
 calibrated on whole notices that a fold's training has not seen, those of unknown licences among them; below the threshold a family is the unknown class
-unless a template supports it (``SUPPORT``). A template agrees as far as it holds the passage and the passage holds it, if the passage has a word that
+unless a template supports it (``SUPPORT``). What no template supports is a licence only from the level on that, of the corpus paragraphs left out of training,
+one in a thousand at most reaches. A template agrees as far as it holds the passage and the passage holds it, if the passage has a word that
 only this family uses, where the template has one, and no word that narrows the licence beyond the template (share alike, no derivatives, lesser).
 From ``LEAST_SIMILARITY`` on the prediction is confirmed.
 
@@ -164,6 +165,7 @@ class Model:
     bias: np.ndarray
     cues: frozenset[str]  # words without which no class beats plain text
     threshold: float
+    level: float  # least probability of not being plain text
     temperature: float
     templates: dict[str, list[tuple[tuple[str, ...], frozenset[str]]]]  # words, and those that no other family uses
 
@@ -182,10 +184,12 @@ class Model:
         p = np.exp(s - s.max())
         p /= p.sum()
         best = int(p.argmax())
-        name, sure = CLASSES[best], float(p[best])
-        if name not in (PLAIN, UNKNOWN) and sure < self.threshold and self.similarity(name, words) < SUPPORT:
-            return UNKNOWN, float(1 - p[0])
-        return name, sure
+        name, sure, licence = CLASSES[best], float(p[best]), float(1 - p[0])
+        if name == PLAIN or (name != UNKNOWN and (sure >= self.threshold or self.similarity(name, words) >= SUPPORT)):
+            return name, sure
+        if licence < self.level:
+            return PLAIN, float(p[0])
+        return UNKNOWN, sure if name == UNKNOWN else licence
 
     def similarity(self, family: str, words: Sequence[str]) -> float:
         """Agreement of the words with the family's nearest template, both ways; see ``agreement``."""
@@ -271,8 +275,8 @@ def family_templates() -> dict[str, list[tuple[tuple[str, ...], frozenset[str]]]
     return out
 
 
-def calibrated(scores: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    """(temperature, threshold) from scores of notices that training has not seen.
+def calibrated(scores: np.ndarray, truth: np.ndarray, corpus: np.ndarray) -> tuple[float, float, float]:
+    """(temperature, threshold, level) from scores of notices and paragraphs that training has not seen; ``corpus`` marks the corpus paragraphs.
 
     The temperature has the best likelihood; families at or above the threshold are right in 95 of 100 cases, unknown licences counting as wrong.
     """
@@ -286,7 +290,9 @@ def calibrated(scores: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
     p, right = z.max(axis=1) / z.sum(axis=1), z.argmax(axis=1) == truth
     family = (z.argmax(axis=1) > 0) & (z.argmax(axis=1) < len(CLASSES) - 1)
     levels = [t for t in np.arange(0.3, 0.96, 0.05) if (keep := family & (p >= t)).any() and right[keep].mean() >= 0.95]
-    return temperature, float(min(levels, default=0.95))
+    licence = 1 - np.exp(scores[corpus, 0] / temperature - (scores[corpus] / temperature).max(axis=1)) / z[corpus].sum(axis=1)
+    level = float(np.quantile(licence, 0.999)) if len(licence) else 0.0
+    return temperature, float(min(levels, default=0.95)), min(0.9, max(0.5, level))
 
 
 def build(negatives: Sequence[str], seed: int = 3) -> Model:
@@ -313,16 +319,18 @@ def build(negatives: Sequence[str], seed: int = 3) -> Model:
     def trained(rows: Sequence[tuple[list[str], int, int]], rounds: int) -> Model:
         weights, bias = fit([r[0] for r in rows], np.array([r[1] for r in rows]), names, rounds)
         bias[0] = max(bias[0], bias[1:].max() + 1.0)  # without evidence a paragraph is plain text
-        return Model(weights, bias, frozenset(), 0.0, 1.0, templates)
+        return Model(weights, bias, frozenset(), 0.0, 0.0, 1.0, templates)
 
-    scores, truth = [], []
+    scores, truth, corpus = [], [], []
+    paragraphs = len(plain)
     for fold in range(FOLDS):
         part = trained([r for r in data if r[2] != fold], FOLD_ROUNDS)
         left_out = [r for r in data if r[2] == fold]
+        corpus += [i < paragraphs for i, r in enumerate(data) if r[2] == fold]
         scores += [part.scores(r[0]) for r in left_out]
         truth += [r[1] for r in left_out]
     model = trained(data, ROUNDS)
-    model.temperature, model.threshold = calibrated(np.array(scores), np.array(truth))
+    model.temperature, model.threshold, model.level = calibrated(np.array(scores), np.array(truth), np.array(corpus, bool))
     common: dict[str, int] = {}
     for p in plain:
         for w in set(p):
