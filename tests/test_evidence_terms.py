@@ -266,3 +266,15 @@ def test_multiples_and_sector_override(spark):
     assert (got["pe_at_offer"], got["ps_at_offer_status"], got["pb_at_offer_status"], got["sufficiency"]) == (10.0, "not_applicable", "unavailable", "SUFFICIENT")
     derived = ratios.derived_financials(sector, df, spark.createDataFrame([], "entity_id string, field string, status string, value_num double"), sector)
     assert {r["name"]: r["status"] for r in derived.collect()}["net_margin"] == "not_applicable"
+
+
+def test_period_tables_compile_no_pattern_per_row(spark):
+    from pitlake.operators import period_tables as p
+
+    made = p.reach(F.col("t"), F.col("n"), p.rules.PERIOD_STEP)
+    plain = r"(?U)^[\s\S]{0,%d}\S*(?:" + p.rules.PERIOD_STEP + ")*+"
+    text = "bin TL 31.12.2022 2023 ve 2024/06 sonra 12"
+    for n in range(len(text) + 2):
+        df = spark.createDataFrame([(text, n)], "t string, n int")
+        assert df.select(made.alias("r")).first().r == df.select(F.regexp_substr("t", F.lit(plain % n)).alias("r")).first().r, n
+    assert "n#" not in spark.createDataFrame([(text, 3)], "t string, n int").select(made)._jdf.queryExecution().optimizedPlan().toString().split("regexp_extract(")[1].split("(?U)")[1]
