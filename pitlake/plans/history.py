@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,18 +51,20 @@ def context_at(cutoffs: DataFrame, index: DataFrame, rates: Mapping[str, DataFra
 
 def build_snapshots(
     entities: DataFrame, documents: DataFrame, observations: DataFrame, later: DataFrame, fin: DataFrame, context_series, applications: DataFrame | None = None,
-    outcomes: DataFrame | None = None,
+    outcomes: DataFrame | None = None, read_known: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per entity: cutoff, considered and excluded document counts, decision as of the cutoff, outcome label.
 
     An unresolved cutoff gives no decision and excludes every document. The outcome is joined last, so it cannot reach any feature.
-    ``observations`` and ``fin`` carry entity_id and published_at; ``context_series`` is (index, rates, monthly).
+    ``observations`` and ``fin`` carry entity_id and published_at; ``context_series`` is (index, rates, monthly). With ``read_known``, a function of the
+    cutoffs that returns the observations known at them, ``observations`` need hold no field but the subscription's end, and only documents that
+    are considered have to be read for all the others.
     """
     cutoffs = stage(build_cutoffs(entities, observations, later))
     judged = snapshot_documents(documents, cutoffs)
     counts = judged.groupBy("entity_id").agg(F.count_if("considered").alias("considered_documents"), F.count_if(~F.col("considered")).alias("excluded_documents"))
     known_documents = judged.where("considered").join(cutoffs.select("entity_id", "cutoff_date"), "entity_id")
-    known = pit.as_of_filter(observations, cutoffs, "published_at").where("considered").drop("considered")
+    known = read_known(cutoffs) if read_known else pit.as_of_filter(observations, cutoffs, "published_at").where("considered").drop("considered")
     facts = stage(evidence.merge_evidence(known, leading=evidence.OFFERING_LEADING))
     known_fin = pit.as_of_filter(fin, cutoffs, "published_at").where("considered").drop("considered")
     applied = None

@@ -317,3 +317,17 @@ def test_snapshots_ignore_everything_after_the_cutoff(spark):
     assert (more["e"]["considered_documents"], more["e"]["excluded_documents"], more["e"]["return_1d"]) == (1, 1, 5.0)
     for column in ("signal", "total_score", "confidence_score"):
         assert more["e"][column] == base["e"][column]
+
+
+def test_cutoffs_search_for_the_end_of_the_subscription_only(spark):
+    """All fields are read only from documents that are considered at a cutoff."""
+    from workload import plans
+
+    d = "/root/testdata/sf0.001"
+    observed = plans.snapshot_inputs(spark, d)[2]
+    assert {r.field for r in observed.select("field").distinct().collect()} == {"subscription_end_date"}
+    cutoffs = plans.history.build_cutoffs(*[plans.snapshot_inputs(spark, d)[i] for i in (0, 2, 3)])
+    every = plans.snapshot_observations(plans.offering_pages(spark, d))
+    want = plans.pit.as_of_filter(every, cutoffs, "published_at").where("considered").drop("considered")
+    got = plans.known_observations(spark, d, cutoffs)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) != []

@@ -7,7 +7,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from pitlake.operators import evidence, quality
+from pitlake.operators import evidence, pit, quality
 from pitlake.plans import history
 from pitlake.session import stage, use_checkpoints
 from pitlake.sources import sinks, state_table
@@ -24,21 +24,35 @@ def scratch(spark, name: str) -> str:
     return f"{use_checkpoints(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# The pages all speak of April 2024; documents are moved there so that cutoffs cut.
+def moved(c):
+    return F.timestamp_add("DAY", F.datediff(F.lit("2024-04-12"), F.lit("1998-06-30")), F.col(c))
+
+
+def snapshot_observations(pages, fields=None):
+    both = evidence.extract_observations(pages, ["entity_id", "published_at", "document_type", "method"], fields)
+    return both.withColumnRenamed("document_type", "source_type").withColumn("published_at", moved("published_at"))
+
+
 def snapshot_inputs(spark, d):
-    keep = ["entity_id", "published_at", "document_type", "method"]
+    """Entities, documents, and what the cutoffs rest on: observations of the subscription's end and later announcements of it."""
     pages = offering_pages(spark, d)
-    both = evidence.extract_observations(pages, keep)
-    observations = stage(both.withColumnRenamed("document_type", "source_type"))
-    later = evidence.post_offer_evidence(pages.withColumn("source_system", F.lit("kap")), ["entity_id"])
+    observations = snapshot_observations(pages, ("subscription_end_date",))
+    results = stage(pages.where("document_type = 'ipo_results'").select("doc_id", "page_no", "text", "document_type", "entity_id", F.lit("kap").alias("source_system")), "results")
+    later = evidence.post_offer_evidence(results, ["entity_id"])
     documents = derive(spark, d, DISCLOSURES).select(
         F.col("o_custkey").alias("entity_id"), F.substring("disclosure_id", 2, 20).alias("doc_id"), "title", "published_at", F.lit(True).alias("usable"),
         F.when(F.col("title") == "Onaylı İzahname", "approved_prospectus").when(F.col("title") == "Tasarruf Sahiplerine Satış Duyurusu", "investor_sale_announcement")
         .otherwise("other").alias("document_type"))
-    # The pages all speak of April 2024; documents are moved there so that cutoffs cut.
-    def moved(c):
-        return F.timestamp_add("DAY", F.datediff(F.lit("2024-04-12"), F.lit("1998-06-30")), F.col(c))
+    return people(spark, d), documents.withColumn("published_at", moved("published_at")), observations, later
+
 
-    return people(spark, d), documents.withColumn("published_at", moved("published_at")), observations.withColumn("published_at", moved("published_at")), later
+def known_observations(spark, d, cutoffs):
+    """All fields, read only from the pages of documents that are considered; a document's pages share its date."""
+    orders = table(spark, d, "orders")
+    dated = orders.withColumn("_at", moved("o_orderdate")).withColumnRenamed("o_custkey", "entity_id")
+    considered = pit.as_of_filter(dated, cutoffs, "_at").where("considered").withColumnRenamed("entity_id", "o_custkey").select(*orders.columns)
+    return snapshot_observations(offering_pages(spark, d, considered))
 
 
 SNAPSHOT_CUTOFFS = f"""with rows_ as ({ROWS}), {FIRST},
@@ -70,7 +84,8 @@ def historical_snapshots(spark, d):
     index, rates, monthly = context_inputs(spark, d)
     metrics = fin(spark, d).withColumn("published_at", F.make_timestamp_ntz(F.year("period_end"), F.lit(12), F.lit(31), F.lit(0), F.lit(0), F.lit(0)))
     rates = {"policy_rate": rates["policy_rate"], "tlref_rate": rates["overnight_rate"]}
-    out = history.build_snapshots(entities, documents, observations, later, metrics, (index, rates, monthly))
+    out = history.build_snapshots(
+        entities, documents, observations, later, metrics, (index, rates, monthly), read_known=lambda cutoffs: known_observations(spark, d, cutoffs))
     return out.select("entity_id", "cutoff_status", day("cutoff_date"), "considered_documents", "excluded_documents", "signal",
                       F.round("total_score", 4).alias("total_score"), F.round("confidence_score", 4).alias("confidence_score"))
 
