@@ -278,3 +278,22 @@ def test_period_tables_compile_no_pattern_per_row(spark):
         df = spark.createDataFrame([(text, n)], "t string, n int")
         assert df.select(made.alias("r")).first().r == df.select(F.regexp_substr("t", F.lit(plain % n)).alias("r")).first().r, n
     assert "n#" not in spark.createDataFrame([(text, 3)], "t string, n int").select(made)._jdf.queryExecution().optimizedPlan().toString().split("regexp_extract(")[1].split("(?U)")[1]
+
+
+def test_only_the_fields_of_wanted_terms_are_needed(spark):
+    """Entity 2 has facts, but none that the wanted terms are made of; it stays, not found."""
+    from pitlake.operators import terms
+
+    schema = "entity_id int, field string, status string, value_num double, value_str string, value_date date"
+    every = spark.createDataFrame([
+        (1, "offering_price", "extracted", 2.0, None, None), (1, "total_offered_shares", "extracted", 50.0, None, None), (1, "par_value_per_share", "extracted", 1.0, None, None),
+        (2, "par_value_per_share", "extracted", 1.0, None, None)], schema)
+    wanted = ["gross_offer_size", "offer_price"]
+    assert terms.fields_of(wanted) == ["offering_price", "total_offered_shares"]
+    some = every.where(F.col("field").isin(*terms.fields_of(wanted)))
+
+    def shown(df):
+        return sorted(tuple(r) for r in df.where(F.col("term").isin(*wanted)).select("entity_id", "term", "status", "value_num").collect())
+
+    assert shown(terms.build_terms(some, every.select("entity_id").distinct())) == shown(terms.build_terms(every))
+    assert set(terms.fields_of(terms.TERM_NAMES)) == {f for f, _ in terms.PASSED.values()}
