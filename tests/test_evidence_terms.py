@@ -297,3 +297,24 @@ def test_only_the_fields_of_wanted_terms_are_needed(spark):
 
     assert shown(terms.build_terms(some, every.select("entity_id").distinct())) == shown(terms.build_terms(every))
     assert set(terms.fields_of(terms.TERM_NAMES)) == {f for f, _ in terms.PASSED.values()}
+
+
+def test_values_are_read_with_literal_patterns(spark):
+    """A pattern that comes from a row is compiled for every row."""
+    from pitlake.operators import evidence
+
+    pages = spark.createDataFrame([("d", 1, "Halka Arz Fiyatı (TL): 12,50")], "doc_id string, page_no int, text string")
+    facts = evidence.extract_facts(pages)
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract(match" in plan and "pattern#" not in plan
+    assert {(r.field, r.value_num, r.value_str) for r in facts.collect()} == {("offering_price", 12.5, None), ("currency", None, "TRY")}
+
+
+def test_places_are_found_with_and_without_the_mark_in_the_text(spark):
+    """One search gives matches and places; it agrees with two searches, also for a text that holds the mark."""
+    from pitlake.functions import text
+
+    df = spark.createDataFrame([("a1bb22c",), ("1",), ("",), ("x",), (None,), (f"1{text.MARK}2a{text.MARK}",), ("12\n3",)], "t string")
+    got = {r.t: r.m and [(m.match, m.at) for m in r.m] for r in df.select("t", text.located(F.col("t"), r"\d+").alias("m")).collect()}
+    assert got == {"a1bb22c": [("1", 2), ("22", 5)], "1": [("1", 1)], "": [], "x": [], None: None, f"1{text.MARK}2a{text.MARK}": [("1", 1), ("2", 3)], "12\n3": [("12", 1), ("3", 4)]}
+    assert df.select(text.located(F.col("t"), r"\d+"))._jdf.queryExecution().analyzed().toString().count("regexp_replace") > 0
