@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ NAME_WORDS = ("şirket", "sirket")
 DATE_WORDS = ("tarih",)
 DATE_SHAPE = r"^\d{1,2}\.\d{1,2}\.\d{4}$"
 
+OPENING, CLOSING = frozenset(("table", "tr", "td", "th")), frozenset(("/table", "/tr", "/td", "/th"))
+# A plain tag, its attributes quoted; the group holds the name, with a slash before it where the tag closes.
+PLAIN_TAG = re.compile(r"""<(/?[a-zA-Z][a-zA-Z0-9]*)(?:>|(?:[ \t\r\n\f]+[a-zA-Z][a-zA-Z0-9-]*="[^"<>]*")*[ \t\r\n\f]*>)""")
+# Elements whose content is no markup for the parser, in any of its versions.
+RAW_TEXT = frozenset(("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes", "noscript", "plaintext", "svg", "math"))
+
 
 class _Tables(HTMLParser):
     def __init__(self):
@@ -67,22 +75,47 @@ class _Tables(HTMLParser):
         self.row = None
 
 
+def read_tables(page: str) -> list[tuple[int, int, list[str]]]:
+    """(table_no, row_no, cells) of every table row of one page.
+
+    Where every ``<`` opens a plain tag, the page is split at its tags; any other page (comments, scripts, stray or unclosed signs) is left to the parser.
+    """
+    tables = _Tables()
+    parts = PLAIN_TAG.split(page)
+    tags = [t.lower() for t in parts[1::2]]
+    if len(tags) != page.count("<") or not RAW_TEXT.isdisjoint(tags):
+        tables.feed(page)
+        tables.close()
+        return tables.rows
+    for tag, text in zip(tags, parts[2::2], strict=True):
+        if tag in OPENING:
+            tables.handle_starttag(tag, ())
+        elif tag in CLOSING:
+            tables.handle_endtag(tag[1:])
+        if text and tables.cell is not None:
+            tables.handle_data(unescape(text) if "&" in text else text)
+    return tables.rows
+
+
 def page_tables(pages: DataFrame) -> DataFrame:
-    """(page_id, table_rows): all table rows of a page, bounded by the page. Pages without a table never reach Python."""
+    """(page_id, table_rows): all table rows of a page, bounded by the page. Texts of pages without a table never reach Python."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
-                parser = _Tables()
-                parser.feed(html or "")
-                parser.close()
-                out.append((page_id, [{"table_no": t, "row_no": r, "cells": cells} for t, r, cells in parser.rows]))
-            yield pd.DataFrame(out, columns=["page_id", "table_rows"])
-
-    some = F.contains(F.lower(F.coalesce("html", F.lit(""))), F.lit("<table"))
-    parsed = pages.where(some).select("page_id", "html").mapInPandas(read, TABLES_SCHEMA)
-    return parsed.unionByName(pages.where(~some).select("page_id", F.array().cast(parsed.schema["table_rows"].dataType).alias("table_rows")))
+            numbers, places, cells, cell_ends, row_ends = [], [], [], [0], [0]
+            for page in batch.column("html").to_pylist():
+                for number, place, row in read_tables(page) if page else ():
+                    numbers.append(number)
+                    places.append(place)
+                    cells += row
+                    cell_ends.append(len(cells))
+                row_ends.append(len(numbers))
+            texts = pa.ListArray.from_arrays(pa.array(cell_ends, pa.int32()), pa.array(cells, pa.string()))
+            rows = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(places, pa.int32()), texts], names=["table_no", "row_no", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.ListArray.from_arrays(pa.array(row_ends, pa.int32()), rows)], names=["page_id", "table_rows"])
+
+    some = F.contains(F.lower("html"), F.lit("<table"))
+    return pages.select(F.col("page_id").cast("bigint"), F.when(some, F.col("html")).alias("html")).mapInArrow(read, TABLES_SCHEMA)
 
 
 def html_table_rows(pages: DataFrame) -> DataFrame:
@@ -111,13 +144,13 @@ def application_rows(pages: DataFrame) -> DataFrame:
 
     Adds ``reason`` to rows that are no record. A page with no or several fitting tables gives one row saying so. Row-local.
     """
-    def opening(number: Column) -> Column:
-        early = F.filter("table_rows", lambda r: (r["table_no"] == number) & (r["row_no"] <= 5))
-        return F.array_join(F.transform(early, _line), " ")
-
-    numbers = F.array_distinct(F.transform("table_rows", lambda r: r["table_no"]))
-    fitting = F.filter(numbers, lambda n: _mentions(opening(n), NAME_WORDS) & _mentions(opening(n), DATE_WORDS))
-    chosen = computed_once(page_tables(pages), "_fit", fitting)
+    early = F.transform(F.filter("table_rows", lambda r: r["row_no"] <= 5), lambda r: F.struct(r["table_no"].alias("table_no"), _line(r).alias("line")))
+    lined = computed_once(page_tables(pages), "_early", early)
+    numbers = F.array_distinct(F.transform("_early", lambda r: r["table_no"]))
+    openings = F.transform(numbers, lambda n: F.struct(n.alias("table_no"), F.array_join(
+        F.transform(F.filter("_early", lambda r: r["table_no"] == n), lambda r: r["line"]), " ").alias("text")))
+    fitting = F.filter(openings, lambda o: _mentions(o["text"], NAME_WORDS) & _mentions(o["text"], DATE_WORDS))
+    chosen = computed_once(lined, "_fit", F.transform(fitting, lambda o: o["table_no"]))
     data = F.filter("table_rows", lambda r: (r["table_no"] == F.col("_fit")[0]) & F.exists(r["cells"], lambda c: c != ""))
     chosen = computed_once(chosen, "_data", F.when(F.size("_fit") == 1, data))
     headed = F.coalesce(_is_header(F.try_element_at("_data", F.lit(1))), F.lit(False))

@@ -67,6 +67,27 @@ def test_html_rows_and_table_choice(spark):
     assert html.html_table_rows(web).where("page_id = 2").select("table_no", "row_no", "cells").collect() == [(0, 1, ["x"])]
 
 
+def test_plain_pages_are_split_without_the_parser(monkeypatch):
+    def parsed(page):
+        tables = html._Tables()
+        tables.feed(page)
+        tables.close()
+        return tables.rows
+
+    odd = ["<table><tr><td>a<!-- <td>b --></td><td>c</td></tr></table>", "<table><tr><td>1 < 2</td></tr></table>", "<table><tr><td><script>'</td>'</script>x</td></tr></table>",
+           "<table><tr><td a='>'>x<td/>y</tr>", "<tr><td>out</td></tr><table><td>no row</td><tr><td>open", ""]
+    plain = [TABLE, "<TABLE border=\"1\"><tr>\n<Td class=\"a b\" >x &amp; <b>y</b>&lt<td> z </tr><tr><td>1<table><tr><th>in</th></tr></table>2</td></tr></table>", "no &amp; table"]
+    want = {page: parsed(page) for page in odd + plain}
+    assert {page: html.read_tables(page) for page in odd + plain} == want
+    monkeypatch.setattr(html._Tables, "feed", lambda self, page: pytest.fail("parsed: " + page))
+    assert {page: html.read_tables(page) for page in plain} == {page: want[page] for page in plain}
+
+
+def test_pages_without_html_keep_their_row(spark):
+    web = spark.createDataFrame([(1, None), (2, "<p>no</p>"), (3, "<table></table>")], "page_id int, html string")
+    assert rows(html.page_tables(web)) == [(1, []), (2, []), (3, [])]
+
+
 def test_links(spark):
     body = ('<a href="/a/izahname.pdf">Onaylı İzahname</a><a href="https://ir.firma.com/f.pdf"><i>Fon Kullanım</i> Raporu</a><a href="/a/izahname.pdf">İzahname</a>'
             '<a href="https://kotu.com/izahname.pdf">İzahname</a><a href="https://xfirma.com/i.pdf">İzahname</a><a href="#x.pdf">İzahname</a><a href="c.pdf">Menü</a><a href="d.pdf">finansal tablolar</a>')
