@@ -22,14 +22,24 @@ HORIZONS = {
 RATIOS = ("net_margin", "debt_to_equity", "current_ratio", "interest_coverage", "revenue_growth_yoy")
 
 
+# Parts the long tables are dealt to, if the session does not ask for more. A stated number keeps adaptive execution from joining parts to large tasks.
+PARTS = 200
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows by entity. Nearly every row has its own (entity, name), so nothing could be combined before the shuffle, and a map task would sort all it reads."""
+    return rows.repartition(max(PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "entity_id")
+
+
 def _wide_terms(terms: DataFrame) -> DataFrame:
     names = sorted({*CRITICAL, *RETAIL_EVIDENCE, "new_issue_shares", "secondary_sale_shares"})
     cell = F.struct("status", "value_num", "value_str", "value_date")
-    return terms.groupBy("entity_id").agg(*[F.max(F.when(F.col("term") == n, cell)).alias(n) for n in names])
+    needed = _dealt(terms.where(F.col("term").isin(*names)))
+    return needed.groupBy("entity_id").agg(*[F.max(F.when(F.col("term") == n, cell)).alias(n) for n in names])
 
 
 def _wide_ratios(derived: DataFrame) -> DataFrame:
-    return derived.groupBy("entity_id").agg(*[
+    return _dealt(derived).groupBy("entity_id").agg(F.first(F.lit(True)).alias("_has_ratios"), *[
         F.max(F.when((F.col("name") == n) & (F.col("status") == "computed"), F.col("value"))).alias(n) for n in RATIOS])
 
 
@@ -53,8 +63,6 @@ def gated_decision(entities: DataFrame, terms: DataFrame, derived: DataFrame, re
     row = entities.select("entity_id", "as_of").join(_wide_terms(terms), "entity_id", "left")
     row = row.join(_wide_ratios(derived), "entity_id", "left").join(edge_in, "entity_id", "left")
     row = row.join(valuation.select("entity_id", "sufficiency"), "entity_id", "left").join(withdrawn.select("entity_id", "withdrawn"), "entity_id", "left")
-    has_ratios = derived.select("entity_id").distinct().withColumn("_has_ratios", F.lit(True))
-    row = row.join(has_ratios, "entity_id", "left")
 
     def status(name: str) -> Column:
         return F.coalesce(F.col(f"{name}.status"), F.lit("not_found"))

@@ -172,6 +172,19 @@ def test_financial_quality(spark):
     assert decide(spark, ratios=())["financial_quality"] == "UNKNOWN" and decide(spark, ratios=())["ownership_evidence_grade"] == "NONE"
 
 
+def test_long_tables_are_dealt_by_entity_before_they_are_grouped(spark):
+    """One map task may read every row of the long tables: it must not sort or group them."""
+    terms = spark.range(30).selectExpr("cast(id % 10 as string) entity_id", "'offer_price' term", "'extracted' status", "1d value_num", "'x' value_str", "current_date() value_date")
+    derived = spark.range(8).selectExpr("cast(id as string) entity_id", "'net_margin' name", "if(id < 4, 'unavailable', 'computed') status", "1d value")
+    one = spark.range(10).selectExpr("cast(id as string) entity_id", "current_date() as_of", "'NEUTRAL' status", "1 mature_count", "'SUFFICIENT' sufficiency", "false withdrawn")
+    out = decision.gated_decision(one, terms, derived, one, one, one)
+    plan = out._jdf.queryExecution().sparkPlan().toString().split("\n")
+    groupings = [i for i, line in enumerate(plan) if "Aggregate(" in line and "partial" in line]
+    assert len(groupings) == 2 and all("REPARTITION_BY_NUM" in "".join(plan[i + 1:i + 3]) for i in groupings)
+    assert rows(out, "entity_id", "ownership_evidence_grade", "financial_quality") == [
+        (str(i), "NONE" if i > 7 else "WEAK" if i < 4 else "STRONG", "UNKNOWN" if i > 7 or i < 4 else "MIXED") for i in range(10)]
+
+
 TERMS = "entity_id string, rule_status string, retail_rule string, shares_status string, retail_shares double, price_status string, offer_price double"
 
 
