@@ -16,7 +16,7 @@ from pitlake import extraction_rules as rules
 from pitlake import fixed_values as fixed
 from pitlake.functions.numbers import band_normalize
 from pitlake.operators.records import is_withdrawal, not_applicable
-from pitlake.tables import literal_table, text_array
+from pitlake.tables import computed_once, literal_table, text_array
 
 PRIORITY = {s: i for i, s in enumerate(catalog.STATUSES)}
 USABLE = ("AVAILABLE", "DERIVABLE")
@@ -89,8 +89,18 @@ def _status(priority: Column) -> Column:
     return F.element_at(text_array(catalog.STATUSES), priority + 1)
 
 
-def audit_features(entities: DataFrame, documents: DataFrame, fields: Sequence[DataFrame]) -> DataFrame:
-    """Status of every catalog feature for every entity.
+def _unseen(ref: str) -> str:
+    """Status of a catalog field that has no entry, or the rule that gives it: ``gap`` and ``document`` by readable documents, ``sector`` by the sector."""
+    space, name = ref.split(".", 1)
+    if space == "kap_extraction" and name not in rules.FIELD_NAMES:
+        return "MISSING_FIELD"
+    if space in ("kap_extraction", "financial_series", "derived_financial"):
+        return "gap"
+    return {"spk_ipo_record": "POST_OFFER_ONLY", "kap_document": "document", "kap_sector": "sector"}.get(space, "MISSING_DOCUMENT")
+
+
+def audit_features(entities: DataFrame, documents: DataFrame, fields: Sequence[DataFrame], features: Sequence[str] | None = None) -> DataFrame:
+    """Status of every catalog feature (or of the named ``features``) for every entity.
 
     ``entities``: entity_id, sector. ``documents``: entity_id, document_type, usable. ``fields``: tables made by the
     ``*_fields`` functions. Output: entity_id, feature_id, category, status, value_num, evidence_count, digital, ocr,
@@ -100,61 +110,68 @@ def audit_features(entities: DataFrame, documents: DataFrame, fields: Sequence[D
     for more in fields[1:]:
         every = every.unionByName(more)
     # At most one entry per catalog field, so the map of an entity is bounded by the catalog.
-    wanted = sorted({ref for _, _, refs, *_ in catalog.DIRECT for ref in refs})
+    direct = {i: (refs, acc) for i, _, refs, acc, *_ in catalog.DIRECT}
+    needed = sorted({dep for _, _, deps, *_ in catalog.DERIVED for dep in deps})
+    chosen = [f for f in (*catalog.DIRECT, *catalog.DERIVED) if features is None or f[0] in features]
+    wanted = sorted({ref for i in (*needed, *(f[0] for f in chosen)) if i in direct for ref in direct[i][0]})
     kept = every.select("entity_id", "_x.ref", "_x.found").where(F.col("ref").isin(*wanted))
     single = kept.groupBy("entity_id", "ref").agg(F.min_by("found", _priority(F.col("found.status"))).alias("found"))
-    found = single.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("ref", "found"))).alias("_found"))
+    entry = F.struct("ref", F.struct(_priority(F.col("found.status")).alias("priority"), F.col("found.value_num").alias("value_num"), F.col("found.method").alias("method")))
+    found = single.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_found"))
     readable = documents.where("usable").groupBy("entity_id").agg(F.collect_set("document_type").alias("_readable"))
     row = entities.select("entity_id", "sector").join(found, "entity_id", "left").join(readable, "entity_id", "left")
     row = row.withColumn("_readable", F.coalesce("_readable", F.array().cast("array<string>")))
 
-    def resolve(ref: Column, accepted: Column) -> Column:
-        """(priority, value, method) of one field."""
-        hit = F.try_element_at(F.col("_found"), ref)
-        space, name = F.substring_index(ref, ".", 1), F.substring_index(ref, ".", -1)
-        gap = F.when(F.arrays_overlap(accepted, F.col("_readable")), "MISSING_FIELD").otherwise("MISSING_DOCUMENT")
+    def priority(ref: Column, accepted: Column, unseen: Column) -> Column:
+        """Of one field; ``unseen`` is its status without an entry, or the rule that gives it."""
+        name = F.substring_index(ref, ".", -1)
         default = (
-            F.when((space == "kap_extraction") & ~name.isin(*rules.FIELD_NAMES), "MISSING_FIELD")
-            .when(space.isin("kap_extraction", "financial_series", "derived_financial"), gap)
-            .when(space == "spk_ipo_record", "POST_OFFER_ONLY")
-            .when(space == "kap_document", F.when(F.array_contains(F.col("_readable"), name), "AVAILABLE").otherwise("MISSING_DOCUMENT"))
-            .when(space == "kap_sector", F.when(F.col("sector") == "unknown", "MISSING_DOCUMENT").otherwise("AVAILABLE"))
-            .otherwise("MISSING_DOCUMENT"))
-        return F.struct(ref.alias("ref"), _priority(F.coalesce(hit["status"], default)).alias("priority"), hit["value_num"].alias("value_num"), hit["method"].alias("method"))
-
-    direct = F.array(*[
-        F.struct(F.lit(i).alias("feature_id"), F.lit(c).alias("category"), text_array(refs).alias("refs"), text_array(acc).alias("accepted"),
-                 F.lit(timing).alias("offer_timing"), F.lit(mandatory).alias("is_mandatory"))
-        for i, c, refs, acc, timing, mandatory in catalog.DIRECT])
-    resolved = F.transform(direct, lambda f: F.struct(f.alias("f"), F.transform(f["refs"], lambda r: resolve(r, f["accepted"])).alias("e")))
-    row = row.withColumn("_direct", resolved)
-    read = row.withColumn("_read", F.transform("_direct", lambda d: F.struct(
-        d["f"].alias("f"), F.array_min(F.transform(d["e"], lambda e: e["priority"])).alias("priority"),
-        F.when(F.size(d["e"]) == 1, d["e"][0]["value_num"]).alias("value_num"), F.size(d["e"]).alias("evidence_count"),
-        F.size(F.filter(d["e"], lambda e: e["method"] == "digital")).alias("digital"), F.size(F.filter(d["e"], lambda e: e["method"] == "ocr")).alias("ocr"),
-        F.transform(F.filter(d["e"], lambda e: e["priority"] != PRIORITY["AVAILABLE"]), lambda e: e["ref"]).alias("missing"),
-        F.try_element_at(F.filter(d["e"], lambda e: e["ref"] == "kap_extraction.offering_price"), F.lit(1))["value_num"].alias("price"))))
-    by_id = F.map_from_entries(F.transform("_read", lambda r: F.struct(r["f"]["feature_id"], r["priority"])))
-    values = F.map_from_entries(F.transform("_read", lambda r: F.struct(r["f"]["feature_id"], F.coalesce(r["price"], r["value_num"]))))
-    read = read.select("entity_id", "_read", by_id.alias("_by_id"), values.alias("_values"))
-    derived = []
-    for i, c, deps, acc, timing, mandatory in catalog.DERIVED:
-        worst = F.least(*[F.element_at("_by_id", d) for d in deps]) if len(deps) > 1 else F.element_at("_by_id", deps[0])
-        ok = worst >= PRIORITY["DERIVABLE"]
-        price, shares = F.element_at("_values", "offering_price"), F.element_at("_values", "total_offered_shares")
-        value = {"implied_offer_size_value": price * shares, "final_allocation_price": price}.get(i, F.lit(None).cast("double"))
-        failed = F.filter(text_array(deps), lambda d: F.element_at(F.col("_by_id"), d) < PRIORITY["DERIVABLE"])
-        derived.append(F.struct(
-            F.lit(i).alias("feature_id"), F.lit(c).alias("category"), F.when(ok, "DERIVABLE").otherwise(_status(worst)).alias("status"),
-            F.when(ok, value).alias("value_num"), F.when(ok, 1).otherwise(0).alias("evidence_count"), F.lit(0).alias("digital"), F.lit(0).alias("ocr"),
-            F.lit(timing).alias("offer_timing"), F.lit(mandatory).alias("is_mandatory"), text_array(acc).alias("acceptable_sources"),
-            F.when(~ok, failed).otherwise(F.array().cast("array<string>")).alias("missing")))
-    plain = F.transform("_read", lambda r: F.struct(
-        r["f"]["feature_id"].alias("feature_id"), r["f"]["category"].alias("category"), _status(r["priority"]).alias("status"), r["value_num"].alias("value_num"),
-        r["evidence_count"].alias("evidence_count"), r["digital"].alias("digital"), r["ocr"].alias("ocr"), r["f"]["offer_timing"].alias("offer_timing"),
-        r["f"]["is_mandatory"].alias("is_mandatory"), r["f"]["accepted"].alias("acceptable_sources"),
-        F.when(r["priority"] == PRIORITY["AVAILABLE"], F.array().cast("array<string>")).otherwise(r["missing"]).alias("missing")))
-    return read.select("entity_id", F.inline(F.concat(plain, F.array(*derived))))
+            F.when(unseen == "gap", F.when(F.arrays_overlap(accepted, F.col("_readable")), PRIORITY["MISSING_FIELD"]).otherwise(PRIORITY["MISSING_DOCUMENT"]))
+            .when(unseen == "document", F.when(F.array_contains(F.col("_readable"), name), PRIORITY["AVAILABLE"]).otherwise(PRIORITY["MISSING_DOCUMENT"]))
+            .when(unseen == "sector", F.when(F.col("sector") == "unknown", PRIORITY["MISSING_DOCUMENT"]).otherwise(PRIORITY["AVAILABLE"]))
+            .otherwise(_priority(unseen)))
+        return F.coalesce(F.try_element_at(F.col("_found"), ref)["priority"], default)
+
+    # What derived features depend on is worked out per entity: a few columns that every derived row reads.
+    worst = [F.least(*p) if len(p) > 1 else p[0] for p in ([priority(F.lit(r), text_array(direct[d][1]), F.lit(_unseen(r))) for r in direct[d][0]] for d in needed)]
+    price = F.try_element_at("_found", F.lit("kap_extraction.offering_price"))["value_num"]
+    shares = F.try_element_at("_found", F.lit("kap_extraction.total_offered_shares"))["value_num"]
+    row = row.select("*", F.array(*worst).alias("_needed"), price.alias("_price"), shares.alias("_shares"))
+
+    # One config row per feature, generated beside the entity, so that the rest is plain columns of a row and no function of an array.
+    width = max(len(refs) for refs, _ in direct.values())
+    names = ["feature_id", "category", "offer_timing", "is_mandatory", "acceptable_sources", *(f"_r{k}" for k in range(width)), *(f"_u{k}" for k in range(width)), "_refs", "_deps", "_depends"]
+    config = []
+    for i, c, refs, acc, timing, mandatory in chosen:
+        own = list(refs) if i in direct else []
+        places = [] if i in direct else [needed.index(d) + 1 for d in refs]
+        empty = [F.lit(None).cast("string")] * (width - len(own))
+        cells = [F.lit(i), F.lit(c), F.lit(timing), F.lit(mandatory), text_array(acc), *map(F.lit, own), *empty, *(F.lit(_unseen(r)) for r in own), *empty,
+                 F.lit(len(own)), F.array(*map(F.lit, places)).cast("array<int>"), F.lit(len(places))]
+        config.append(F.struct(*[cell.alias(name) for cell, name in zip(cells, names, strict=True)]))
+    row = row.select("*", F.inline(F.array(*config)))
+
+    is_direct = F.col("_refs") > 0
+    held = [F.when(F.col(f"_r{k}").isNotNull(), priority(F.col(f"_r{k}"), F.col("acceptable_sources"), F.col(f"_u{k}"))) for k in range(width)]
+    most = max(len(deps) for _, _, deps, *_ in catalog.DERIVED)
+    leant = [F.when(F.col("_depends") > k, F.element_at("_needed", F.try_element_at("_deps", F.lit(k + 1)))) for k in range(most)]
+    worst_of = F.array_min(F.array(*[F.col(f"_p{k}") for k in range(width)], *[F.col(f"_d{k}") for k in range(most)]))
+    row = row.select("*", *[p.alias(f"_p{k}") for k, p in enumerate(held)], *[p.alias(f"_d{k}") for k, p in enumerate(leant)])
+    row = computed_once(row, "_worst", worst_of)
+    ok = F.col("_worst") >= PRIORITY["DERIVABLE"]
+    value = F.when(F.col("feature_id") == "implied_offer_size_value", F.col("_price") * F.col("_shares")).when(F.col("feature_id") == "final_allocation_price", F.col("_price"))
+
+    def read_by(method: str) -> Column:
+        return sum((F.when(F.try_element_at("_found", F.col(f"_r{k}"))["method"] == method, 1).otherwise(0) for k in range(width)), F.lit(0))
+
+    missing = F.array_except(F.array(
+        *[F.when(F.col(f"_p{k}") != PRIORITY["AVAILABLE"], F.col(f"_r{k}")) for k in range(width)],
+        *[F.when(F.col(f"_d{k}") < PRIORITY["DERIVABLE"], F.element_at(text_array(needed), F.try_element_at("_deps", F.lit(k + 1)))) for k in range(most)]), F.array(F.lit(None).cast("string")))
+    return row.select(
+        "entity_id", "feature_id", "category", F.when(~is_direct & ok, "DERIVABLE").otherwise(_status(F.col("_worst"))).alias("status"),
+        F.when(F.col("_refs") == 1, F.try_element_at("_found", F.col("_r0"))["value_num"]).when(~is_direct & ok, value).alias("value_num"),
+        F.when(is_direct, F.col("_refs")).when(ok, 1).otherwise(0).alias("evidence_count"), read_by("digital").alias("digital"), read_by("ocr").alias("ocr"),
+        "offer_timing", "is_mandatory", "acceptable_sources", missing.alias("missing"))
 
 
 def audit_derived(feature_status: DataFrame, dependencies: DataFrame) -> DataFrame:

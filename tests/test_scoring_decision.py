@@ -185,6 +185,18 @@ def test_long_tables_are_dealt_by_entity_before_they_are_grouped(spark):
         (str(i), "NONE" if i > 7 else "WEAK" if i < 4 else "STRONG", "UNKNOWN" if i > 7 or i < 4 else "MIXED") for i in range(10)]
 
 
+def test_audit_rows_are_plain_columns_and_may_be_restricted(spark):
+    entities, docs, facts, status = audit(spark)
+    assert "lambda" not in status._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)[0]
+    names = ("net_margin", "offering_price", "ocr_reliance", "subscription_window")
+    some = scoring.audit_features(entities, docs, [scoring.fact_fields(facts)], names)
+    full = status.where(F.col("feature_id").isin(*names))
+    assert some.count() == 8 and some.exceptAll(full).count() == 0
+    missing = {(r["entity_id"], r["feature_id"]): r["missing"] for r in full.collect()}
+    assert missing["e", "ocr_reliance"] == ["distribution_method", "subscription_window", "capital_increase_ratio"] and missing["e", "offering_price"] == []
+    assert missing["f", "subscription_window"] == ["kap_extraction.subscription_start_date", "kap_extraction.subscription_end_date"]
+
+
 TERMS = "entity_id string, rule_status string, retail_rule string, shares_status string, retail_shares double, price_status string, offer_price double"
 
 
