@@ -6,7 +6,7 @@ by entity on data already partitioned by entity.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,6 +174,79 @@ def audit_features(entities: DataFrame, documents: DataFrame, fields: Sequence[D
         "offer_timing", "is_mandatory", "acceptable_sources", missing.alias("missing"))
 
 
+AUDITED = tuple(f[0] for f in (*catalog.DIRECT, *catalog.DERIVED))
+
+
+def audit_patterns(entities: DataFrame, documents: DataFrame, fields: Sequence[DataFrame]) -> DataFrame:
+    """The statuses that :func:`audit_features` gives, one row per entity: entity_id, pattern.
+
+    ``pattern`` has one digit per catalog feature, in the order of ``AUDITED``: the place of its status in ``catalog.STATUSES``. Everything known of
+    an entity meets in one grouping with a column per field, so nothing is joined and no row per feature is made. Entities given twice count once.
+    """
+    wanted = sorted({ref for _, _, refs, *_ in catalog.DIRECT for ref in refs})
+    gaps = sorted({acc for _, _, refs, acc, *_ in catalog.DIRECT if any(_unseen(r) == "gap" for r in refs)})
+    types = sorted({t for acc in gaps for t in acc} | {r.split(".", 1)[1] for r in wanted if _unseen(r) == "document"})
+
+    def looked_up(numbers: Mapping[str, int], key: Column) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(v) for pair in numbers.items() for v in pair]), key)
+
+    # Every input becomes rows of entity_id, a key (field, readable document type or the entity itself) and a number whose least counts.
+    # The status is looked up, that is, named once: so the optimizer drops what else an entry holds.
+    known = [f.select("entity_id", F.col("_x.ref").alias("_key"), looked_up(PRIORITY, F.col("_x.found.status")).alias("_p")).where(F.col("_key").isin(*wanted)) for f in fields]
+    read = documents.where(F.col("usable") & F.col("document_type").isin(*types)).select("entity_id", "document_type").distinct()
+    known.append(read.select("entity_id", F.concat(F.lit("type."), "document_type").alias("_key"), F.lit(0).alias("_p")))
+    keys = [*wanted, *(f"type.{t}" for t in types)]
+    place = looked_up({key: k for k, key in enumerate(keys)}, F.col("_key")).alias("_key")
+    known = [k.where(F.col("entity_id").isNotNull()).select("entity_id", place, "_p") for k in known]
+    every = entities.select("entity_id", F.lit(-1).alias("_key"), F.when(F.col("sector") == "unknown", 0).otherwise(1).alias("_p"))
+    for more in known:
+        every = every.unionByName(more)
+    # Dealt by entity first, so that no half-filled wide rows are shuffled.
+    wide = every.repartition("entity_id").groupBy("entity_id").agg(
+        F.min(F.when(F.col("_key") == -1, F.col("_p"))).alias("_sector"), *[F.min(F.when(F.col("_key") == k, F.col("_p"))).alias(f"_k{k}") for k in range(len(keys))])
+    row = wide.where(F.col("_sector").isNotNull())
+
+    def has(accepted: Sequence[str]) -> Column:
+        return F.coalesce(*[F.col(f"_k{keys.index(f'type.{t}')}") for t in accepted]).isNotNull()
+
+    def priority(ref: str, accepted: Sequence[str]) -> Column:
+        rule = _unseen(ref)
+        if rule == "gap":
+            default = F.when(has(accepted), PRIORITY["MISSING_FIELD"]).otherwise(PRIORITY["MISSING_DOCUMENT"])
+        elif rule == "document":
+            default = F.when(has([ref.split(".", 1)[1]]), PRIORITY["AVAILABLE"]).otherwise(PRIORITY["MISSING_DOCUMENT"])
+        elif rule == "sector":
+            default = F.when(F.col("_sector") == 0, PRIORITY["MISSING_DOCUMENT"]).otherwise(PRIORITY["AVAILABLE"])
+        else:
+            default = F.lit(PRIORITY[rule])
+        return F.coalesce(F.col(f"_k{keys.index(ref)}"), default)
+
+    direct = {i: [priority(r, acc) for r in refs] for i, _, refs, acc, *_ in catalog.DIRECT}
+    read_by = [*direct.values(), *([F.lit(PRIORITY["DERIVABLE"]), *(p for dep in deps for p in direct[dep])] for _, _, deps, *_ in catalog.DERIVED)]
+    worst = F.array(*[F.least(*parts) if len(parts) > 1 else parts[0] for parts in read_by])
+    return row.select("entity_id", F.array_join(F.transform(worst, lambda p: p.cast("string")), "").alias("pattern"))
+
+
+def feature_counts(patterns: DataFrame) -> DataFrame:
+    """feature_id, status and the number n of entities, from :func:`audit_patterns`; equal patterns are counted before they are taken apart."""
+    places = literal_table(patterns.sparkSession, [(f, k) for k, f in enumerate(AUDITED, 1)], ["feature_id", "_place"], ["string", "int"])
+    each = patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("_n")).crossJoin(places)
+    counted = each.groupBy("feature_id", F.substring("pattern", F.col("_place"), F.lit(1)).alias("_p")).agg(F.sum("_n").alias("n"))
+    return counted.select("feature_id", _status(F.col("_p").cast("int")).alias("status"), "n")
+
+
+def coverage_of_patterns(patterns: DataFrame) -> DataFrame:
+    """:func:`coverage_report` from :func:`audit_patterns`; the patterns are read twice, so pass them staged."""
+    features, none = feature_counts(patterns), F.lit(None)
+    per_feature = features.groupingSets([["feature_id", "status"], ["status"]], "feature_id", "status").agg(F.sum("n").alias("n"), F.grouping("feature_id").alias("_all"))
+    per_feature = per_feature.select(
+        F.when(F.col("_all") == 1, "all").otherwise("feature").alias("scope"), "feature_id", none.cast(patterns.schema["entity_id"].dataType).alias("entity_id"), "status", "n")
+    length = F.length("pattern")
+    cells = [F.struct(F.lit(s).alias("status"), (length - F.length(F.replace("pattern", F.lit(str(p)), F.lit("")))).cast("bigint").alias("n")) for s, p in PRIORITY.items()]
+    per_entity = patterns.select("entity_id", F.inline(F.array(*cells))).where(F.col("n") > 0)
+    return per_feature.unionByName(per_entity.select(F.lit("entity").alias("scope"), none.cast("string").alias("feature_id"), "entity_id", "status", "n"))
+
+
 def audit_derived(feature_status: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Derived features from already audited ones: the worst dependency, or DERIVABLE when all are usable.
 

@@ -197,6 +197,48 @@ def test_audit_rows_are_plain_columns_and_may_be_restricted(spark):
     assert missing["f", "subscription_window"] == ["kap_extraction.subscription_start_date", "kap_extraction.subscription_end_date"]
 
 
+def test_patterns_count_what_the_audit_says(spark):
+    entities, docs, facts, _ = audit(spark)
+    entities = entities.unionByName(spark.createDataFrame([("g", None), ("h", "insurance"), ("i", "banking")], "entity_id string, sector string"))
+    more = spark.createDataFrame([("g", "price_determination_report", True), ("g", "price_determination_report", True), ("h", "price_determination_review", True), ("h", None, True),
+                                  ("i", "ipo_results", None), ("x", "ipo_results", True), (None, "approved_prospectus", True)], "entity_id string, document_type string, usable boolean")
+    docs = docs.select(more.columns).unionByName(more)
+    derived = spark.createDataFrame([("g", "net_margin", "computed", 1.0), ("h", "net_margin", "not_applicable", None), ("h", "current_ratio", "unavailable", None), ("x", "net_margin", "computed", 1.0),
+                                     (None, "net_margin", "computed", 1.0), ("i", "unheard_of", "computed", 1.0), ("i", "net_margin", "computed", 1.0), ("i", "net_margin", "not_applicable", None)],
+                                    "entity_id string, name string, status string, value double")
+    context = spark.createDataFrame([("g", "policy_rate", 1.0), ("h", "policy_rate", None)], "entity_id string, feature string, value double")
+    records = spark.createDataFrame([("g", None, "5"), ("h", 3.0, None)], "entity_id string, ek_satis_tutari_bin_tl double, halka_arza_aracilik_eden_kurum string")
+    applied = spark.createDataFrame([("g", date(2024, 1, 1)), ("h", None)], "entity_id string, application_date date")
+    fin = spark.createDataFrame([("g", "revenue", "d", 1, 0), ("g", "net_income", "d", 1, 0), ("h", "revenue", "d", 1, 0)], "entity_id string, metric string, doc_id string, page_no int, place int")
+    fields = [scoring.fact_fields(facts), scoring.derived_fields(derived), scoring.market_fields(context), scoring.record_fields(records), scoring.application_fields(applied),
+              scoring.financial_fields(fin, entities)]
+    status, patterns = scoring.audit_features(entities, docs, fields), scoring.audit_patterns(entities, docs, fields)
+    told = {(r["entity_id"], r["feature_id"]): r["status"] for r in status.collect()}
+    read = {(r["entity_id"], f): catalog.STATUSES[int(d)] for r in patterns.collect() for f, d in zip(scoring.AUDITED, r["pattern"], strict=True)}
+    assert len(told) == 5 * 66 and read == told and set(told.values()) == set(catalog.STATUSES)
+    long, wide = scoring.coverage_report(status), scoring.coverage_of_patterns(patterns)
+    assert wide.dtypes == long.dtypes and rows(wide) == rows(long)
+    assert rows(scoring.feature_counts(patterns)) == rows(status.groupBy("feature_id", "status").count())
+
+
+def test_coverage_counts_patterns_and_not_a_row_per_feature_and_entity(spark):
+    from workload.scoring import coverage_report
+
+    plan = coverage_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    expanded = [i for i, line in enumerate(plan) if "Expand" in line]
+    assert expanded and all("Aggregate" in plan[i + 1] for i in expanded) and not any("Generate" in line and "feature_id" in line and "entity_id" in line for line in plan)
+
+
+def test_sources_agree_on_equal_values_with_gaps(spark):
+    t, nan = datetime(2024, 1, 1), float("nan")
+    said = {"both_empty": ((None, None), (None, None)), "one_empty": ((1.0, None), (None, None)), "same": ((1.0, date(2024, 1, 1)), (1.0, date(2024, 1, 1))), "other_date": ((1.0, date(2024, 1, 1)), (1.0, date(2024, 1, 2))),
+            "no_number": ((nan, None), (nan, None)), "zeros": ((0.0, None), (-0.0, None)), "alone": ((2.0, None),)}
+    sources = ("approved_prospectus", "investor_sale_announcement")
+    obs = spark.createDataFrame([("e", f, s, t, "d", 1, "digital", *v) for f, vs in said.items() for s, v in zip(sources, vs)], OBS)
+    got = {r["field"]: r["status"] for r in evidence.merge_evidence(obs).collect()}
+    assert {f for f, s in got.items() if s == "conflicting"} == {"one_empty", "other_date"} and len(got) == 7
+
+
 TERMS = "entity_id string, rule_status string, retail_rule string, shares_status string, retail_shares double, price_status string, offer_price double"
 
 
