@@ -204,15 +204,17 @@ def audit_patterns(entities: DataFrame, documents: DataFrame, fields: Sequence[D
     # Dealt by entity first, so that no half-filled wide rows are shuffled.
     wide = every.repartition("entity_id").groupBy("entity_id").agg(
         F.min(F.when(F.col("_key") == -1, F.col("_p"))).alias("_sector"), *[F.min(F.when(F.col("_key") == k, F.col("_p"))).alias(f"_k{k}") for k in range(len(keys))])
-    row = wide.where(F.col("_sector").isNotNull())
 
     def has(accepted: Sequence[str]) -> Column:
         return F.coalesce(*[F.col(f"_k{keys.index(f'type.{t}')}") for t in accepted]).isNotNull()
 
+    row = wide.where(F.col("_sector").isNotNull()).select(
+        "*", *[F.when(has(acc), PRIORITY["MISSING_FIELD"]).otherwise(PRIORITY["MISSING_DOCUMENT"]).alias(f"_gap{k}") for k, acc in enumerate(gaps)])
+
     def priority(ref: str, accepted: Sequence[str]) -> Column:
         rule = _unseen(ref)
         if rule == "gap":
-            default = F.when(has(accepted), PRIORITY["MISSING_FIELD"]).otherwise(PRIORITY["MISSING_DOCUMENT"])
+            default = F.col(f"_gap{gaps.index(accepted)}")
         elif rule == "document":
             default = F.when(has([ref.split(".", 1)[1]]), PRIORITY["AVAILABLE"]).otherwise(PRIORITY["MISSING_DOCUMENT"])
         elif rule == "sector":
@@ -221,10 +223,15 @@ def audit_patterns(entities: DataFrame, documents: DataFrame, fields: Sequence[D
             default = F.lit(PRIORITY[rule])
         return F.coalesce(F.col(f"_k{keys.index(ref)}"), default)
 
-    direct = {i: [priority(r, acc) for r in refs] for i, _, refs, acc, *_ in catalog.DIRECT}
-    read_by = [*direct.values(), *([F.lit(PRIORITY["DERIVABLE"]), *(p for dep in deps for p in direct[dep])] for _, _, deps, *_ in catalog.DERIVED)]
-    worst = F.array(*[F.least(*parts) if len(parts) > 1 else parts[0] for parts in read_by])
-    return row.select("entity_id", F.array_join(F.transform(worst, lambda p: p.cast("string")), "").alias("pattern"))
+    def worst(parts: Sequence[Column]) -> Column:
+        return F.least(*parts) if len(parts) > 1 else parts[0]
+
+    # What derived features depend on is worked out once.
+    direct = {i: worst([priority(r, acc) for r in refs]) for i, _, refs, acc, *_ in catalog.DIRECT}
+    needed = sorted({dep for _, _, deps, *_ in catalog.DERIVED for dep in deps})
+    row = row.select("*", *[direct[i].alias(i) for i in needed])
+    digits = [*(F.col(i) if i in needed else p for i, p in direct.items()), *(F.least(F.lit(PRIORITY["DERIVABLE"]), *map(F.col, deps)) for _, _, deps, *_ in catalog.DERIVED)]
+    return row.select("entity_id", F.array_join(F.transform(F.array(*digits), lambda p: p.cast("string")), "").alias("pattern"))
 
 
 def feature_counts(patterns: DataFrame) -> DataFrame:
@@ -266,17 +273,23 @@ def coverage_report(feature_status: DataFrame) -> DataFrame:
     return counted.select(scope.alias("scope"), "feature_id", "entity_id", "status", "n")
 
 
+def _entities(feature_status: DataFrame, condition: Column | None = None) -> Column:
+    """Sum of the entities that rows stand for: ``n`` of :func:`feature_counts`, else one a row."""
+    n = F.col("n") if "n" in feature_status.columns else F.lit(1).cast("bigint")
+    return F.sum(n) if condition is None else F.coalesce(F.sum(F.when(condition, n)), F.lit(0).cast("bigint"))
+
+
 def feature_coverage(feature_status: DataFrame) -> DataFrame:
-    """Per feature: entities, available share in percent, conflicts."""
-    available = F.count_if(F.col("status").isin(*USABLE))
+    """Per feature: entities, available share in percent, conflicts. ``feature_status`` may be :func:`feature_counts`."""
+    every, available = _entities(feature_status), _entities(feature_status, F.col("status").isin(*USABLE))
     return feature_status.groupBy("feature_id").agg(
-        F.count(F.lit(1)).alias("entities"), available.alias("available"), F.round(100.0 * available / F.count(F.lit(1)), 1).alias("available_pct"),
-        F.count_if(F.col("status") == "CONFLICTED").alias("conflicts"))
+        every.alias("entities"), available.alias("available"), F.round(100.0 * available / every, 1).alias("available_pct"),
+        _entities(feature_status, F.col("status") == "CONFLICTED").alias("conflicts"))
 
 
 def top_gap_reasons(feature_status: DataFrame, k: int = 5) -> DataFrame:
-    """The k most frequent unavailable statuses per feature."""
-    gaps = feature_status.where(~F.col("status").isin(*USABLE)).groupBy("feature_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    """The k most frequent unavailable statuses per feature. ``feature_status`` may be :func:`feature_counts`."""
+    gaps = feature_status.where(~F.col("status").isin(*USABLE)).groupBy("feature_id", "status").agg(_entities(feature_status).alias("n"))
     order = Window.partitionBy("feature_id").orderBy(F.col("n").desc(), "status")
     return gaps.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 

@@ -218,7 +218,9 @@ def test_patterns_count_what_the_audit_says(spark):
     assert len(told) == 5 * 66 and read == told and set(told.values()) == set(catalog.STATUSES)
     long, wide = scoring.coverage_report(status), scoring.coverage_of_patterns(patterns)
     assert wide.dtypes == long.dtypes and rows(wide) == rows(long)
-    assert rows(scoring.feature_counts(patterns)) == rows(status.groupBy("feature_id", "status").count())
+    counts = scoring.feature_counts(patterns)
+    assert rows(counts) == rows(status.groupBy("feature_id", "status").count())
+    assert rows(scoring.feature_coverage(counts)) == rows(scoring.feature_coverage(status)) and rows(scoring.top_gap_reasons(counts)) == rows(scoring.top_gap_reasons(status))
 
 
 def test_coverage_counts_patterns_and_not_a_row_per_feature_and_entity(spark):
