@@ -20,7 +20,7 @@ def with_following(pages: DataFrame, wanted: Column, chars: int, free: Column |
     ``pages``: doc_id, page_no, text and more. ``free`` is a number of leading characters of ``text`` that come on top of the budget; a page break
     costs one character. Nothing follows a page with ``ends``, which is itself still seen. A missing page number ends what follows, as the end of the
     document does. Of a page that is there twice each different text is seen. Rows with a null page_no or doc_id have nothing after them. ``texts``
-    (doc_id, page_no, text) is where the texts are read from, if ``pages`` are costly; only pages that follow a wanted one are read there.
+    (doc_id, page_no, text and what ``wanted`` reads) is where the wanted pages and those that follow them are read from, if ``pages`` are costly.
     """
     size = F.coalesce(F.length("text"), F.lit(0)).cast("bigint")
     led = (F.lit(0) if free is None else F.coalesce(free, F.lit(0))).cast("bigint")
@@ -38,8 +38,9 @@ def with_following(pages: DataFrame, wanted: Column, chars: int, free: Column |
     near = (F.col("_start") >= F.col("_from")) & (F.col("_start") < F.col("_from") + chars)
     pairs = reach.join(nexts, ["doc_id", "_block"]).where(near).select(
         "doc_id", "page_no", "_next", (F.col("_led") + chars - (F.col("_start") - F.col("_from"))).cast("int").alias("_most"))
-    openings = (pages if texts is None else texts).select("doc_id", F.col("page_no").alias("_next"), F.coalesce("text", F.lit("")).alias("_text"))
+    own = pages if texts is None else texts
+    openings = own.select("doc_id", F.col("page_no").alias("_next"), F.coalesce("text", F.lit("")).alias("_text"))
     opened = pairs.join(openings, ["doc_id", "_next"]).groupBy("doc_id", "page_no").agg(
         F.sort_array(F.collect_set(F.struct("_next", F.left("_text", F.col("_most")).alias("text")))).alias("_opened"))
     told = F.coalesce(F.transform("_opened", lambda o: o["text"]), F.array().cast("array<string>"))
-    return pages.where(wanted).join(opened, ["doc_id", "page_no"], "left").select(*pages.columns, told.alias("following"))
+    return own.where(wanted).join(opened, ["doc_id", "page_no"], "left").select(*own.columns, told.alias("following"))

@@ -318,3 +318,55 @@ def test_places_are_found_with_and_without_the_mark_in_the_text(spark):
     got = {r.t: r.m and [(m.match, m.at) for m in r.m] for r in df.select("t", text.located(F.col("t"), r"\d+").alias("m")).collect()}
     assert got == {"a1bb22c": [("1", 2), ("22", 5)], "1": [("1", 1)], "": [], "x": [], None: None, f"1{text.MARK}2a{text.MARK}": [("1", 1), ("2", 3)], "12\n3": [("12", 1), ("3", 4)]}
     assert df.select(text.located(F.col("t"), r"\d+"))._jdf.queryExecution().analyzed().toString().count("regexp_replace") > 0
+
+
+def test_period_tables_are_read_in_plain_python_from_unfolded_pages(spark):
+    """Captions and leading numbers are found without folding any page; only captioned pages and what follows them are folded, and read in one map."""
+    df = pages(spark, "Gelir Tablosu TL 2022 2023\nNet Satışlar 1 2")
+    for made in (period_tables.extract_period_table(df), period_tables.period_table_rejects(df)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "regexp" not in plan.split("MapInArrow")[0]
+    joined = period_tables.captioned(df, 1500)._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.split("Join")[0].count("translate") == 2 and "translate" not in joined.split("Join", 1)[1]
+
+
+def test_shapes_of_the_plain_reading_are_those_of_the_rules(spark):
+    from pitlake.operators import period_reading as p
+
+    random.seed(4)
+    parts = ["2022", "2023/06", "31.12.2022", "1.234,5", "(", ")", "-", ".", "/", "t", "T", "x", " ", "7", "٣", "\n", "2025t", "hasilat", "tl", "é"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 9))) for _ in range(3000)]
+    for mine, rule in ((p.PERIOD, p.rules.PERIOD_TOKEN), (p.PERIOD_RUN, p.rules.PERIOD_RUN), (p.NUMBER, p.rules.SIGNED_NUM)):
+        for text in texts:
+            assert [m.span() for m in p.compiled(mine).finditer(text)] == [m.span() for m in p.compiled(rule).finditer(text)], (rule, text)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    shapes = {"run": p.rules.PERIOD_RUN, "number": p.rules.SIGNED_NUM, "forecast": p.FORECAST, "word": r"\bhasilat\b", "mark": r"\btl\b", "gap": p.rules.LABEL_GAP[1:-1]}
+    native = shapes | {"forecast": p.rules.FORECAST_TOKEN}
+    for r in df.select("i", *[F.regexp_instr("t", F.lit("(?U)" + s)).alias(n) for n, s in native.items()]).collect():
+        for name, shape in shapes.items():
+            at = p.compiled(shape).search(texts[r["i"]])
+            assert (at is not None) == (r[name] > 0) and (name == "forecast" or at is None or at.start() + 1 == r[name]), (name, texts[r["i"]])
+
+
+def test_dates_and_numbers_of_the_plain_reading(spark):
+    from pitlake.functions import numbers
+    from pitlake.operators import period_reading as p
+
+    days = [f"{d}.{m}.{y}" for d in (0, 1, 28, 29, 30, 31, 32) for m in (0, 1, 2, 4, 12, 13) for y in ("0001", "1900", "2000", "2023", "9999")]
+    df = spark.createDataFrame([(t,) for t in days], "t string")
+    for r in df.select("t", F.unix_date(numbers.parse_dotted_date(F.col("t"))).alias("d")).collect():
+        assert p.period(r["t"]).end == r["d"], r
+    written = ["1", "(1)", "-1", "(-1)", "1)", "(1", "1.234,5", "(1.234.567,89)", "0", "(0)", "-0", "٣", "1٣", "12345"]
+    df = spark.createDataFrame([(t,) for t in written], "t string")
+    for r in df.select("t", numbers.parse_signed_number(F.col("t")).alias("v")).collect():
+        assert repr(p.number(r["t"])) == repr(r["v"]), r
+
+
+def test_patterns_for_unfolded_text_match_where_folded_text_matches(spark):
+    from pitlake.functions import text as t
+
+    every = spark.range(1, 0x3000).where("id < 55296").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    for shape in ("[a-zA-Z]", "k", "i", "bilan[c9~]o", r"gelir\s+tablosu"):
+        text = F.col("c") if len(shape) < 9 else F.concat(F.lit(shape[:4]), F.col("c"), F.lit(shape.replace(r"\s+", " ").replace("[c9~]", "c")[5:]))
+        differ = every.where(text.rlike(t.unfolded_pattern(shape)) != t.fold_text(text).rlike(shape))
+        assert differ.count() == 0, (shape, differ.collect()[:9])
