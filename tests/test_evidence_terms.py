@@ -370,3 +370,33 @@ def test_patterns_for_unfolded_text_match_where_folded_text_matches(spark):
         text = F.col("c") if len(shape) < 9 else F.concat(F.lit(shape[:4]), F.col("c"), F.lit(shape.replace(r"\s+", " ").replace("[c9~]", "c")[5:]))
         differ = every.where(text.rlike(t.unfolded_pattern(shape)) != t.fold_text(text).rlike(shape))
         assert differ.count() == 0, (shape, differ.collect()[:9])
+
+
+def test_window_pages_are_shuffled_only_where_their_end_may_begin_a_passage(spark, monkeypatch):
+    """A page of its own never meets the page chain; one that breaks off does, together with its document only."""
+    asked = []
+    chain = evidence.with_following
+    monkeypatch.setattr(evidence, "with_following", lambda df, wanted, chars: asked.append(sorted((r["doc_id"], r["page_no"], r["w"]) for r in df.select("doc_id", "page_no", wanted.alias("w")).collect())) or chain(df, wanted, chars))
+    data = [("a", 1, "Talep Toplama 03.04.2024 - 05.04.2024. Talep toplama yeri"), ("a", 2, "x" * 200)]
+    schema = "doc_id string, page_no int, text string"
+    whole = spark.createDataFrame(data, schema).withColumn("source_system", F.lit("issuer_ir")).withColumn("document_type", F.lit("x"))
+    assert rows(evidence.post_offer_evidence(whole), "doc_id", "cutoff_date") == [("a", date(2024, 4, 5))] and asked == []
+    broken = spark.createDataFrame([*data, ("b", 1, "Talep Toplama 03.04.2024 -"), ("b", 2, "06.04.2024"), ("c", 1, "11.04.2024 ile 12.04.2024 tarihleri"), ("c", 2, "arasında satışa"), ("c", 3, "sunulacaktır")], schema)
+    found = evidence.post_offer_evidence(broken.withColumn("source_system", F.lit("issuer_ir")).withColumn("document_type", F.lit("x")), ["page_no"])
+    assert rows(found, "doc_id", "page_no", "cutoff_date") == [("a", 1, date(2024, 4, 5)), ("b", 1, date(2024, 4, 6)), ("c", 1, date(2024, 4, 12))]
+    assert asked == [[("b", 1, True), ("b", 2, True), ("c", 1, True), ("c", 2, False), ("c", 3, False)]]
+
+
+def test_openings_hold_every_beginning_of_a_window(spark):
+    """Wherever a passage is broken at white space, its beginning is an opening."""
+    from pitlake import extraction_rules as r
+
+    cases = [(r.WINDOW_PATTERNS[0], r.WINDOW_OPENINGS[0], ["halka  arz suresi  bu yil 03.04.2024 ile 5/4/2024", "talep toplama a b c 1.4.2024 - 2.4.2024"]),
+             (r.WINDOW_PATTERNS[1], r.WINDOW_OPENINGS[1], ["3.4.2024 - 5.4.2024 tarihleri  arasinda bazi yerlerde satisa sunulacaktir", "3.4.2024 ile 5.4.2024tarihleri arasinda satisa sunulacaktir"]),
+             (r.RESULT_END_PATTERN, r.RESULT_END_OPENING, ["5 mayis 2024 tarihleri arasinda yatirimcilardan talep toplanmistir", "15 ekim 2023 tarihinde talep  toplandi", "7 ocak 2024 tarihleriarasinda talep toplama"])]
+    for pattern, opening, texts in cases:
+        for text in texts:
+            df = spark.createDataFrame([(text[:i], text[i:]) for i in range(1, len(text)) if text[i].isspace()] + [(text, "")], "a string, b string")
+            whole = F.concat_ws("\n", "a", "b").rlike("(?U)" + pattern)
+            for row in df.select("a", "b", whole.alias("whole"), F.col("a").rlike("(?U)" + pattern).alias("own"), F.col("a").rlike("(?U)" + opening).alias("open")).collect():
+                assert row["whole"] and (row["own"] or row["open"]), (pattern, row)
