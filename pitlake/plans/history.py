@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pitlake.operators import evidence, pit, series
 from pitlake.plans.decisions import decide_entities
 from pitlake.session import stage
+from pitlake.tables import per_key
 
 FACT_SOURCE = "kap_extraction.subscription_end_date"
 TIERS = {FACT_SOURCE: 1, "kap_ipo_results.subscription_end_date": 2, "issuer_ir.subscription_end_date": 3}
@@ -46,7 +47,8 @@ def context_at(cutoffs: DataFrame, index: DataFrame, rates: Mapping[str, DataFra
     dated = cutoffs.where(F.col("cutoff_date").isNotNull()).select("entity_id", F.col("cutoff_date").alias("as_of"))
     by_date = series.market_context(index, rates, monthly, dated.select("as_of").distinct())
     name = F.try_element_at(F.create_map(*[F.lit(x) for pair in CONTEXT_NAMES.items() for x in pair]), F.col("feature"))
-    return dated.join(by_date, "as_of").select("entity_id", name.alias("feature"), "value")
+    # A few rows per calendar day; the entities of a day are as many as there are.
+    return dated.join(F.broadcast(by_date), "as_of").select("entity_id", name.alias("feature"), "value")
 
 
 def build_snapshots(
@@ -61,17 +63,18 @@ def build_snapshots(
     are considered have to be read for all the others.
     """
     cutoffs = stage(build_cutoffs(entities, observations, later))
-    judged = snapshot_documents(documents, cutoffs)
+    keyed = per_key(cutoffs)
+    judged = snapshot_documents(documents, keyed)
     counts = judged.groupBy("entity_id").agg(F.count_if("considered").alias("considered_documents"), F.count_if(~F.col("considered")).alias("excluded_documents"))
-    known_documents = judged.where("considered").join(cutoffs.select("entity_id", "cutoff_date"), "entity_id")
-    known = read_known(cutoffs) if read_known else pit.as_of_filter(observations, cutoffs, "published_at").where("considered").drop("considered")
+    known_documents = judged.where("considered").join(keyed.select("entity_id", "cutoff_date"), "entity_id")
+    known = read_known(keyed) if read_known else pit.as_of_filter(observations, keyed, "published_at").where("considered").drop("considered")
     facts = stage(evidence.merge_evidence(known, leading=evidence.OFFERING_LEADING))
-    known_fin = pit.as_of_filter(fin, cutoffs, "published_at").where("considered").drop("considered")
+    known_fin = pit.as_of_filter(fin, keyed, "published_at").where("considered").drop("considered")
     applied = None
     if applications is not None:
-        days = cutoffs.select("entity_id", "cutoff_date")
+        days = keyed.select("entity_id", "cutoff_date")
         applied = applications.join(days, "entity_id").where(F.col("application_date") <= F.col("cutoff_date")).select("entity_id", "application_date")
-    resolved = entities.join(cutoffs.where("cutoff_status = 'resolved'").select("entity_id"), "entity_id", "left_semi")
+    resolved = entities.join(keyed.where("cutoff_status = 'resolved'").select("entity_id"), "entity_id", "left_semi")
     tables = decide_entities(resolved, known_documents, facts, known_fin, pit.end_of_day(F.col("cutoff_date")), context_at(cutoffs, *context_series), None, applied)
-    out = cutoffs.select("entity_id", "cutoff_status", "cutoff_date", "cutoff_source").join(counts, "entity_id", "left").join(tables.decisions, "entity_id", "left")
+    out = keyed.select("entity_id", "cutoff_status", "cutoff_date", "cutoff_source").join(counts, "entity_id", "left").join(tables.decisions, "entity_id", "left")
     return out if outcomes is None else out.join(outcomes, "entity_id", "left")

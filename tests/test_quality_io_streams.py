@@ -340,6 +340,24 @@ def test_snapshots_ignore_everything_after_the_cutoff(spark):
         assert more["e"][column] == base["e"][column]
 
 
+def test_snapshots_broadcast_no_row_per_entity(spark, monkeypatch):
+    """Cutoffs look small in their files at any size, so the joins by entity leave nothing to estimates."""
+    class Seen(Exception):
+        pass
+
+    def look(*tables):
+        raise Seen(tables)
+
+    monkeypatch.setattr(history, "decide_entities", look)
+    with pytest.raises(Seen) as seen:
+        snapshot(spark)
+    entities, documents, _, fin, _, context = seen.value.args[0][:6]
+    for df in (entities, documents, fin):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert "BuildLeft" not in context._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
+
+
 def test_cutoffs_search_for_the_end_of_the_subscription_only(spark):
     """All fields are read only from documents that are considered at a cutoff."""
     from workload import plans
