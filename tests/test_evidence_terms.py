@@ -393,7 +393,7 @@ def test_openings_hold_every_beginning_of_a_window(spark):
 
     cases = [(r.WINDOW_PATTERNS[0], r.WINDOW_OPENINGS[0], ["halka  arz suresi  bu yil 03.04.2024 ile 5/4/2024", "talep toplama a b c 1.4.2024 - 2.4.2024"]),
              (r.WINDOW_PATTERNS[1], r.WINDOW_OPENINGS[1], ["3.4.2024 - 5.4.2024 tarihleri  arasinda bazi yerlerde satisa sunulacaktir", "3.4.2024 ile 5.4.2024tarihleri arasinda satisa sunulacaktir"]),
-             (r.RESULT_END_PATTERN, r.RESULT_END_OPENING, ["5 mayis 2024 tarihleri arasinda yatirimcilardan talep toplanmistir", "15 ekim 2023 tarihinde talep  toplandi", "7 ocak 2024 tarihleriarasinda talep toplama"])]
+             (r.RESULT_END_PATTERN, r.RESULT_END_OPENING, ["5 mayis 2024 tarihleri arasinda yatirimcilardan talep toplanmistir", "15 ekim 2023 tarihlerinde talep  toplandi", "7 ocak 2024 tarihleriarasinda talep toplama"])]
     for pattern, opening, texts in cases:
         for text in texts:
             df = spark.createDataFrame([(text[:i], text[i:]) for i in range(1, len(text)) if text[i].isspace()] + [(text, "")], "a string, b string")
